@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, sharding, url_filter
+from . import exact_dedup, mixing, sharding, substring_dedup, url_filter
 from .common import table
 
 
@@ -20,8 +20,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_exact_dedup": lambda s, d: exact_dedup.op5(_docs(s, d)),
         "op6_sharding": lambda s, d: sharding.op6(_docs(s, d)),
         "op7_mixing": lambda s, d: mixing.op7(_docs(s, d)),
+        "op8_substring_dedup": lambda s, d: substring_dedup.op8(_docs(s, d)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": url_filter.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE, "op6_sharding": sharding.ORACLE, "op7_mixing": mixing.ORACLE}
+    return {"op3_url_filter": url_filter.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE, "op6_sharding": sharding.ORACLE, "op7_mixing": mixing.ORACLE, "op8_substring_dedup": substring_dedup.ORACLE}

@@ -124,6 +124,20 @@ class Words:
         return at, span_hash(hashes, at, at + width, _WBASE)
 
 
+def word_texts(words: Words, which: np.ndarray) -> list[str]:
+    """The chosen words as strings, gathered in one go."""
+    size = words.end[which] - words.begin[which]
+    offsets = np.zeros(len(which) + 1, np.int64)
+    np.cumsum(size, out=offsets[1:])
+    at = np.arange(offsets[-1]) + np.repeat(words.begin[which] - offsets[:-1], size)
+    data = words.buf[at]
+    try:
+        return pa.LargeStringArray.from_buffers(len(which), pa.py_buffer(offsets), pa.py_buffer(data)).cast(pa.large_binary()).cast(pa.large_string()).to_pylist()
+    except pa.ArrowInvalid:  # bytes that aren't UTF-8
+        raw = data.tobytes()
+        return [raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+
+
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """Texts as UTF-8; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

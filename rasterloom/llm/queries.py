@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, sharding, substring_dedup, url_filter
+from . import exact_dedup, fertility, mixing, sharding, substring_dedup, url_filter
 from .common import table
 
 
@@ -16,6 +16,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_fertility": lambda s, d: fertility.op1(_docs(s, d)),
         "op3_url_filter": url_filter.queries_op3,
         "op5_exact_dedup": lambda s, d: exact_dedup.op5(_docs(s, d)),
         "op6_sharding": lambda s, d: sharding.op6(_docs(s, d)),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fertility, mixing, sharding, substring_dedup, url_filter
+from . import exact_dedup, fertility, mixing, packing, sharding, substring_dedup, url_filter
 from .common import table
 
 
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_sharding": lambda s, d: sharding.op6(_docs(s, d)),
         "op7_mixing": lambda s, d: mixing.op7(_docs(s, d)),
         "op8_substring_dedup": lambda s, d: substring_dedup.op8(_docs(s, d)),
+        "op9_packing": lambda s, d: packing.op9(_docs(s, d)),
     }
 
 

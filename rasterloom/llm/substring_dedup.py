@@ -1,16 +1,18 @@
 """Substring dedup by seed and extend.
 
 Seeds: in every document the hashes of all runs of ``seed_words`` words are winnowed; the smallest
-hash of each ``window`` words is an anchor, so any repeat of ``window`` words or more has an anchor
-in common with its other occurrence.  Documents meet on anchors.  Anchors found in one document
-only are dropped there; at the others the match is extended both ways: each run of ``window``
-words that holds the anchor gets a hash of all its words, and the runs that also start in a
-document with a smaller id are kept.  Overlapping runs join into maximal repeats, which are
-removed from the later document.
-
-What is shuffled: anchors (about 2 per ``window - seed_words`` words), the runs at shared anchors,
-and texts once (both joins with texts use one exchange).  Anchors and runs shared by very many
-documents are only ever counted with map-side sums and joined, never gathered.
+hash of each ``window`` words is their anchor, so any repeat of ``window`` words or more has an
+anchor in common with its other occurrence.  Documents meet on anchors.  Anchors found in one
+document only are dropped there.  At the others the match is extended both ways: neighbouring runs
+of ``window`` words with one anchor form a stretch, and a stretch found word for word in a document
+with a smaller id is a repeat as a whole.  Only of one document for each different stretch (that
+with the smallest id) are the runs looked up one by one.  Overlapping repeats join into maximal
+ones, which are removed from the later document.
+
+What is shuffled: anchors (about 2 per ``window - seed_words`` words), stretches at shared anchors,
+the runs of different stretches, and texts once (both joins with texts use one exchange).  Anchors,
+stretches and runs shared by very many documents are only summed map-side and joined, never
+gathered.
 
 Null texts have no words.  A row without id counts as after all others.  Repeated rows don't
 remove anything from each other.  Texts shorter than a run keep all words.  An empty table gives
@@ -27,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, signed, slices, span_hash
+from .common import Words, scratch, signed, slices, span_hash
 
-_WIDE = 0xA0761D6478BD642F
+_WIDE, _LONG = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -79,11 +81,15 @@ def _extended(window: int, seed_words: int):
             words = Words([texts[i] for i in live])
             at, anchor, whole = runs(words, window, seed_words)
             found = np.isin(signed(anchor), seeds)
-            at, whole = at[found], whole[found]
+            at, anchor, whole = at[found], anchor[found], whole[found]
             if len(at):
                 doc = words.doc_of()[at]
-                rows = pa.array(np.asarray(live)[doc])
-                yield pa.record_batch([batch.column("_id").take(rows), batch.column("_h").take(rows), pa.array((at - words.first[doc]).astype(np.int32)), pa.array(signed(whole))], ["_id", "_h", "_at", "_run"])
+                head = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)])
+                edges = np.r_[head, len(at)]
+                stretch = span_hash(words.hashes(), at[head], at[edges[1:] - 1] + window, _LONG)
+                lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(signed(whole)))
+                rows = pa.array(np.asarray(live)[doc[head]])
+                yield pa.record_batch([batch.column("_id").take(rows), batch.column("_h").take(rows), pa.array((at[head] - words.first[doc[head]]).astype(np.int32)), pa.array(signed(stretch)), lists], ["_id", "_h", "_at", "_stretch", "_runs"])
 
     return each
 
@@ -101,9 +107,10 @@ def _cut(window: int, with_text: bool):
                 keep = np.ones(hi - lo, bool)
                 if starts:
                     edge = np.zeros(hi - lo + 1, np.int64)
-                    begin = np.unique(np.asarray(starts, np.int64))
+                    code = np.asarray(starts, np.int64)  # first run << 32 | number of runs
+                    begin, number = code >> 32, code & 0xFFFFFFFF
                     np.add.at(edge, begin, 1)
-                    np.add.at(edge, np.minimum(begin + window, hi - lo), -1)
+                    np.add.at(edge, begin + number - 1 + window, -1)
                     keep = np.cumsum(edge[:-1]) == 0
                 kept = lo + np.flatnonzero(keep)
                 joined = b" ".join([raw[b:e] for b, e in zip(words.begin[kept].tolist(), words.end[kept].tolist())]) if starts else b" ".join(raw[words.doc_at[d] : words.doc_at[d + 1]].split())
@@ -131,9 +138,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = anchors.groupBy("_anchor").agg(F.min("_id").alias("_lo"), F.max("_id").alias("_hi")).where("_lo < _hi").select("_anchor")
     by_doc = anchors.join(shared, "_anchor").groupBy("_id").agg(F.collect_set("_anchor").alias("_shared"))
 
-    found = rows.join(by_doc, "_id", "left").mapInArrow(_extended(window, seed_words), "_id long, _h int, _at int, _run long")
-    first = found.groupBy("_run").agg(F.min("_id").alias("_lo"), F.max("_id").alias("_hi")).where("_lo < _hi").select("_run", "_lo")
-    covered = found.join(first, "_run").where("_lo < _id").groupBy(*key).agg(F.collect_list("_at").alias("_covered"))
+    found = scratch(rows.join(by_doc, "_id", "left").mapInArrow(_extended(window, seed_words), "_id long, _h int, _at int, _stretch long, _runs array<long>"), "stretches")
+    first = found.groupBy("_stretch").agg(F.min(F.struct("_id", "_h", "_at")).alias("_first"), F.first("_runs").alias("_runs"), F.max("_id").alias("_hi"))
+    code = lambda at, number: (F.shiftleft(at.cast("long"), 32) + number).alias("_code")
+    copied = first.where(F.col("_first._id") < F.col("_hi")).select("_stretch", F.col("_first._id").alias("_lo"))
+    whole = found.join(copied, "_stretch").where("_lo < _id").select(*key, code(F.col("_at"), F.size("_runs")))
+    single = first.select("_first.*", F.posexplode("_runs").alias("_i", "_run"))
+    again = single.groupBy("_run").agg(F.min("_id").alias("_lo"), F.max("_id").alias("_hi")).where("_lo < _hi").select("_run", "_lo")
+    part = single.join(again, "_run").where("_lo < _id").select(*key, code(F.col("_at") + F.col("_i"), F.lit(1)))
+    covered = whole.unionByName(part).groupBy(*key).agg(F.collect_list("_code").alias("_covered"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
     return rows.join(covered, key, "left").mapInArrow(_cut(window, with_text), schema)
 

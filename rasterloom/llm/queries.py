@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fertility, mixing, packing, sharding, substring_dedup, url_filter
+from . import exact_dedup, fertility, mixing, packing, sharding, substring_dedup, toxicity, url_filter
 from .common import table
 
 
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_mixing": lambda s, d: mixing.op7(_docs(s, d)),
         "op8_substring_dedup": lambda s, d: substring_dedup.op8(_docs(s, d)),
         "op9_packing": lambda s, d: packing.op9(_docs(s, d)),
+        "op10_toxicity": lambda s, d: toxicity.op10(_docs(s, d), table(s, d, "labels")),
     }
 
 

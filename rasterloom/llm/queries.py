@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fertility, mixing, packing, sharding, substring_dedup, toxicity, url_filter
+from . import exact_dedup, fertility, mixing, packing, pu_classifier, sharding, substring_dedup, toxicity, url_filter
 from .common import table
 
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fertility": lambda s, d: fertility.op1(_docs(s, d)),
         "op3_url_filter": url_filter.queries_op3,
+        "op4_quality": lambda s, d: pu_classifier.op4(_docs(s, d), table(s, d, "labels")),
         "op5_exact_dedup": lambda s, d: exact_dedup.op5(_docs(s, d)),
         "op6_sharding": lambda s, d: sharding.op6(_docs(s, d)),
         "op7_mixing": lambda s, d: mixing.op7(_docs(s, d)),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fertility, mixing, packing, pu_classifier, sharding, substring_dedup, toxicity, url_filter
+from . import exact_dedup, fertility, mixing, near_dedup, packing, pu_classifier, sharding, substring_dedup, toxicity, url_filter
 from .common import table
 
 
@@ -17,6 +17,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fertility": lambda s, d: fertility.op1(_docs(s, d)),
+        "op2_near_dedup": lambda s, d: near_dedup.op2(_docs(s, d)),
         "op3_url_filter": url_filter.queries_op3,
         "op4_quality": lambda s, d: pu_classifier.op4(_docs(s, d), table(s, d, "labels")),
         "op5_exact_dedup": lambda s, d: exact_dedup.op5(_docs(s, d)),
@@ -29,4 +30,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": url_filter.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE, "op6_sharding": sharding.ORACLE, "op7_mixing": mixing.ORACLE, "op8_substring_dedup": substring_dedup.ORACLE}
+    return {"op2_near_dedup": near_dedup.ORACLE, "op3_url_filter": url_filter.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE, "op6_sharding": sharding.ORACLE, "op7_mixing": mixing.ORACLE, "op8_substring_dedup": substring_dedup.ORACLE}

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, scratch, signed, slices, span_hash
+from .common import Words, signed, slices, span_hash
 
 _WIDE, _LONG = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
 
@@ -99,7 +99,8 @@ def _cut(window: int, with_text: bool):
         for batch, texts in slices(batches, "_text"):
             words = Words(texts)
             lists = batch.column("_covered").fill_null([]) if batch.column("_covered").null_count else batch.column("_covered")
-            lists = lists.to_pylist()
+            mine = batch.column("_h").to_pylist()
+            lists = [[c["_code"] for c in x if c["_h"] == h] for x, h in zip(lists.to_pylist(), mine)]
             out_n, out_removed, out_sha, out_text = [], [], [], []
             raw = words.buf.tobytes()
             for d, starts in enumerate(lists):
@@ -138,17 +139,18 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = anchors.groupBy("_anchor").agg(F.min("_id").alias("_lo"), F.max("_id").alias("_hi")).where("_lo < _hi").select("_anchor")
     by_doc = anchors.join(shared, "_anchor").groupBy("_id").agg(F.collect_set("_anchor").alias("_shared"))
 
-    found = scratch(rows.join(by_doc, "_id", "left").mapInArrow(_extended(window, seed_words), "_id long, _h int, _at int, _stretch long, _runs array<long>"), "stretches")
+    found = rows.join(by_doc, "_id", "left").mapInArrow(_extended(window, seed_words), "_id long, _h int, _at int, _stretch long, _runs array<long>")
     first = found.groupBy("_stretch").agg(F.min(F.struct("_id", "_h", "_at")).alias("_first"), F.first("_runs").alias("_runs"), F.max("_id").alias("_hi"))
     code = lambda at, number: (F.shiftleft(at.cast("long"), 32) + number).alias("_code")
-    copied = first.where(F.col("_first._id") < F.col("_hi")).select("_stretch", F.col("_first._id").alias("_lo"))
-    whole = found.join(copied, "_stretch").where("_lo < _id").select(*key, code(F.col("_at"), F.size("_runs")))
-    single = first.select("_first.*", F.posexplode("_runs").alias("_i", "_run"))
+    # both uses of ``first`` read all its columns, so that it is computed once
+    copied = first.where(F.col("_first._id") < F.col("_hi")).select("_stretch", F.col("_first._id").alias("_lo"), F.size("_runs").alias("_number"))
+    whole = found.join(copied, "_stretch").where("_lo < _id").select(*key, code(F.col("_at"), F.col("_number")))
+    single = first.where(F.col("_first._id") <= F.col("_hi")).select("_first.*", F.posexplode("_runs").alias("_i", "_run"))
     again = single.groupBy("_run").agg(F.min("_id").alias("_lo"), F.max("_id").alias("_hi")).where("_lo < _hi").select("_run", "_lo")
     part = single.join(again, "_run").where("_lo < _id").select(*key, code(F.col("_at") + F.col("_i"), F.lit(1)))
-    covered = whole.unionByName(part).groupBy(*key).agg(F.collect_list("_code").alias("_covered"))
+    covered = whole.unionByName(part).groupBy("_id").agg(F.collect_list(F.struct("_h", "_code")).alias("_covered"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    return rows.join(covered, key, "left").mapInArrow(_cut(window, with_text), schema)
+    return rows.join(covered, "_id", "left").mapInArrow(_cut(window, with_text), schema)
 
 
 def op8(docs: DataFrame) -> DataFrame:

@@ -145,13 +145,13 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.large_binary()).to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def slices(batches: Iterator[pa.RecordBatch], text: str | int, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Cut batches so that each holds about ``most`` bytes of text (one text at least), with the texts.
 
     The whole of every text is kept: a text beyond ``most`` is a slice of its own.
     """
     for batch in batches:
-        column = batch.column(batch.schema.get_field_index(text)).cast(pa.large_binary())
+        column = batch.column(text if isinstance(text, int) else batch.schema.get_field_index(text)).cast(pa.large_binary())
         sizes = np.diff(np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]) if len(column) else np.zeros(0, np.int64)
         start, held = 0, 0
         for i, size in enumerate(sizes.tolist()):

@@ -37,7 +37,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), budget:
 
     With sources in rising order of most * size / weight, the first k sources are at their stop
     and the rest share what is left; k is the first place where the share per weight no longer
-    passes the next source's stop.
+    passes the next source's stop (beyond it the share per weight falls, so it is the largest that fits).
     """
     turn = Window.orderBy(F.col("_source").asc_nulls_last())
     every = Window.partitionBy()
@@ -48,7 +48,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), budget:
     before = rise.rowsBetween(Window.unboundedPreceding, -1)
     after = rise.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     s = s.withColumn("_level", (F.col("_all") - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / F.sum("_w").over(after))
-    level = F.min(F.when(F.col("_level") <= F.col("_ratio"), F.col("_level"))).over(every)
+    level = F.max(F.when(F.col("_level") <= F.col("_ratio"), F.col("_level"))).over(every)
     s = s.withColumn("_share", level)
     target = F.when(F.col("_share").isNull(), F.col("_cap")).otherwise(F.least(F.col("_cap"), F.col("_w") * F.col("_share")))
     return s.select("_source", "source_size", target.alias("target"))
@@ -107,7 +107,7 @@ w AS (SELECT *, [5.0e0, 2.0e0, 1.0e0][CAST((row_number() OVER (ORDER BY source N
 r AS (SELECT *, cap / weight AS ratio FROM w),
 l AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0e0))
                 / sum(weight) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
-g AS (SELECT *, min(CASE WHEN level <= ratio THEN level END) OVER () AS share FROM l),
+g AS (SELECT *, max(CASE WHEN level <= ratio THEN level END) OVER () AS share FROM l),
 t AS (SELECT source, source_size, CASE WHEN share IS NULL THEN cap ELSE least(cap, weight * share) END AS target FROM g),
 q AS (SELECT d.*, t.source_size, t.target,
              CAST(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS start

@@ -89,7 +89,8 @@ def _extended(window: int, seed_words: int):
                 stretch = span_hash(words.hashes(), at[head], at[edges[1:] - 1] + window, _LONG)
                 lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(signed(whole)))
                 rows = pa.array(np.asarray(live)[doc[head]])
-                yield pa.record_batch([batch.column("_id").take(rows), batch.column("_h").take(rows), pa.array((at[head] - words.first[doc[head]]).astype(np.int32)), pa.array(signed(stretch)), lists], ["_id", "_h", "_at", "_stretch", "_runs"])
+                own = batch.column("_h").take(rows).to_numpy().astype(np.int64) << 32  # text hash << 32 | place of the first word
+                yield pa.record_batch([batch.column("_id").take(rows), pa.array(own | (at[head] - words.first[doc[head]])), pa.array(signed(stretch)), lists], ["_id", "_at", "_stretch", "_runs"])
 
     return each
 
@@ -100,7 +101,7 @@ def _cut(window: int, with_text: bool):
             words = Words(texts)
             lists = batch.column("_covered").fill_null([]) if batch.column("_covered").null_count else batch.column("_covered")
             mine = batch.column("_h").to_pylist()
-            lists = [[c["_code"] for c in x if c["_h"] == h] for x, h in zip(lists.to_pylist(), mine)]
+            lists = [[(c["_at"] & 0xFFFFFFFF, c["_n"]) for c in x if c["_at"] >> 32 == h] for x, h in zip(lists.to_pylist(), mine)]
             out_n, out_removed, out_sha, out_text = [], [], [], []
             raw = words.buf.tobytes()
             for d, starts in enumerate(lists):
@@ -108,8 +109,7 @@ def _cut(window: int, with_text: bool):
                 keep = np.ones(hi - lo, bool)
                 if starts:
                     edge = np.zeros(hi - lo + 1, np.int64)
-                    code = np.asarray(starts, np.int64)  # first run << 32 | number of runs
-                    begin, number = code >> 32, code & 0xFFFFFFFF
+                    begin, number = np.asarray(starts, np.int64).T
                     np.add.at(edge, begin, 1)
                     np.add.at(edge, begin + number - 1 + window, -1)
                     keep = np.cumsum(edge[:-1]) == 0
@@ -133,22 +133,20 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, n_words, n_removed, kept_sha256, and the kept words as ``kept_text`` if asked for."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("_id"), F.hash(text).alias("_h"), text.alias("_text"))
-    key = ["_id", "_h"]
 
     anchors = rows.select("_id", "_text").mapInArrow(_anchors(window, seed_words), "_id long, _anchor long")
     shared = anchors.groupBy("_anchor").agg(F.min("_id").alias("_lo"), F.max("_id").alias("_hi")).where("_lo < _hi").select("_anchor")
     by_doc = anchors.join(shared, "_anchor").groupBy("_id").agg(F.collect_set("_anchor").alias("_shared"))
 
-    found = rows.join(by_doc, "_id", "left").mapInArrow(_extended(window, seed_words), "_id long, _h int, _at int, _stretch long, _runs array<long>")
-    first = found.groupBy("_stretch").agg(F.min(F.struct("_id", "_h", "_at")).alias("_first"), F.first("_runs").alias("_runs"), F.max("_id").alias("_hi"))
-    code = lambda at, number: (F.shiftleft(at.cast("long"), 32) + number).alias("_code")
+    found = rows.join(by_doc, "_id", "left").mapInArrow(_extended(window, seed_words), "_id long, _at long, _stretch long, _runs array<long>")
+    first = found.groupBy("_stretch").agg(F.min(F.struct("_id", "_at")).alias("_first"), F.first("_runs").alias("_runs"), F.max("_id").alias("_hi"))
     # both uses of ``first`` read all its columns, so that it is computed once
     copied = first.where(F.col("_first._id") < F.col("_hi")).select("_stretch", F.col("_first._id").alias("_lo"), F.size("_runs").alias("_number"))
-    whole = found.join(copied, "_stretch").where("_lo < _id").select(*key, code(F.col("_at"), F.col("_number")))
-    single = first.where(F.col("_first._id") <= F.col("_hi")).select("_first.*", F.posexplode("_runs").alias("_i", "_run"))
+    whole = found.join(copied, "_stretch").where("_lo < _id").select("_id", "_at", F.col("_number").alias("_n"))
+    single = first.where(F.col("_first._id") <= F.col("_hi")).select("_first.*", F.posexplode("_runs").alias("_i", "_run")).select("_id", (F.col("_at") + F.col("_i")).alias("_at"), "_run")
     again = single.groupBy("_run").agg(F.min("_id").alias("_lo"), F.max("_id").alias("_hi")).where("_lo < _hi").select("_run", "_lo")
-    part = single.join(again, "_run").where("_lo < _id").select(*key, code(F.col("_at") + F.col("_i"), F.lit(1)))
-    covered = whole.unionByName(part).groupBy("_id").agg(F.collect_list(F.struct("_h", "_code")).alias("_covered"))
+    part = single.join(again, "_run").where("_lo < _id").select("_id", "_at", F.lit(1).alias("_n"))
+    covered = whole.unionByName(part).groupBy("_id").agg(F.collect_list(F.struct("_at", "_n")).alias("_covered"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
     return rows.join(covered, "_id", "left").mapInArrow(_cut(window, with_text), schema)
 

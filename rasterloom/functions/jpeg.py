@@ -175,7 +175,7 @@ def decode(stream: bytes) -> Picture:
                 part.dc, part.ac = body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15
                 chosen.append(part)
             at = _scan(stream, at, chosen, parts, width, height, huff, interval)
-    if not parts or any(not p.blocks for p in parts):
+    if not parts or any(not len(p.blocks) for p in parts):
         raise Invalid("JPEG: no picture")
     return _planes(parts, width, height, quant, adobe)
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import zlib
 
+import numpy as np
+
 from ..operators.errors import Invalid, Unsupported
 
 OUTPUT_CAP = 64 << 20  # most bytes a Deflate or Zstandard segment may decode to
@@ -106,47 +108,67 @@ def lzw_decode(data: bytes, expected: int) -> bytes:
 
 
 def lzw_encode(data: bytes) -> bytes:
-    """The table is cleared as soon as its last 12-bit code is used."""
-    out = bytearray()
-    held, bits, width = CLEAR, 9, 9
-    table: dict[int, int] = {}
-    free = 258
-    code = -1
-    look = table.get
-    for byte in data:
-        if code < 0:
-            code = byte
-            continue
-        key = code << 8 | byte
-        found = look(key)
-        if found is not None:
-            code = found
-            continue
-        held = held << width | code
-        bits += width
-        while bits >= 8:
-            bits -= 8
-            out.append(held >> bits)
-            held &= (1 << bits) - 1
-        table[key] = free
-        free += 1
-        if free == 4095:
-            held = held << width | CLEAR
-            bits += width
-            table.clear()
-            free, width = 258, 9
-        elif free == (1 << width):
-            width += 1
-        code = byte
-    if code >= 0:
-        held = held << width | code
-        bits += width
-        if free + 1 == (1 << width) and width < 12:
+    """Longest matches by search on their length; the table is cleared before code 4095 is needed.
+
+    Every prefix of a table string is in the table too, so the longest match is found by doubling
+    and halving a length instead of byte by byte.  Codes are packed into bits at the end.
+    """
+    codes, widths = [CLEAR], [9]
+    table: dict[bytes, int] = {}
+    free, width, i, n, good = 258, 9, 0, len(data), 1
+    while i < n:
+        # matches differ little in length from one to the next: try that length and its neighbours first
+        guess = good if good > 1 else 2
+        if i + guess <= n and data[i : i + guess] in table:
+            good, step = guess, 1
+            while i + good + step <= n and data[i : i + good + step] in table:
+                good += step
+                step *= 2
+            bad = min(good + step, n - i + 1)
+        else:
+            bad, step = min(guess, n - i + 1), 1
+            good = bad - 1
+            while good > 1 and data[i : i + good] not in table:
+                bad = good
+                step *= 2
+                good = max(1, good - step)
+            good = max(good, 1)
+        while bad - good > 1:
+            middle = (good + bad) >> 1
+            if data[i : i + middle] in table:
+                good = middle
+            else:
+                bad = middle
+        codes.append(table[data[i : i + good]] if good > 1 else data[i])
+        widths.append(width)
+        if i + good < n:
+            table[data[i : i + good + 1]] = free
+            free += 1
+            if free == 4095:
+                codes.append(CLEAR)
+                widths.append(width)
+                table = {}
+                free, width = 258, 9
+            elif free == 1 << width:
+                width += 1
+        elif free + 1 == 1 << width and width < 12:
             width += 1
-    held = held << width | END
-    bits += width
-    pad = -bits % 8
-    return bytes(out) + (held << pad).to_bytes((bits + pad) // 8, "big")
+        i += good
+    codes.append(END)
+    widths.append(width)
+    return pack_codes(codes, widths)
+
+
+def pack_codes(codes: list[int], widths: list[int]) -> bytes:
+    """Codes of up to 12 bits, most significant bit first."""
+    c, w = np.asarray(codes, np.int64), np.asarray(widths, np.int64)
+    start = np.cumsum(w) - w
+    size = -(-int(w.sum()) // 8)
+    window = c << (24 - w - (start & 7))  # three bytes from the byte in which the code begins
+    out = np.zeros(size + 3, np.int64)
+    for k in range(3):
+        np.add.at(out, (start >> 3) + k, (window >> (16 - 8 * k)) & 255)
+    return out[:size].astype(np.uint8).tobytes()
 
 
 # ------------------------------------------------------------------ Deflate, Zstandard

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import scratch, slices
 
 EXCHANGES = 20_000  # of a group's local search; what is then left open stays so
+SPECIAL = {"<|endoftext|>": 50256}  # added to the vocabulary by byte_bpe_50k.json; a mark inside a text is this one id
 
 
 @lru_cache(maxsize=4)
@@ -41,12 +42,11 @@ def encoder(path: str):
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        coder = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda text: coder.encode_to_numpy(text, disallowed_special=())
+        coder = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
+        return lambda text: coder.encode_to_numpy(text, allowed_special="all")
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
 

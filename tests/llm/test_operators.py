@@ -284,6 +284,26 @@ def test_packing(docs, rows, empty):
     assert packing.op9(empty).count() == 0
 
 
+def test_packing_special_mark(spark):
+    """The mark of the .json file inside texts is one id, as the tokenizers library has it by default."""
+    import numpy as np
+    import public_tokenizers as p
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(p.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y  <|endoftext|>\n", "<|endoftext|", "é<|endoftext|>ß <|ENDOFTEXT|>", "<|endoftext|> " * 1500]
+    want = [np.array(coder.encode(t, add_special_tokens=False).ids, "<u4") for t in texts]
+    assert list(want[0]) == [64, 220, 50256, 275]
+    for name in ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json"):
+        assert [list(packing.encoder(p.path(name))(t)) for t in texts] == [list(w) for w in want]
+    got = packing.op9(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    sums = {r.doc_id: (r.length, r.ids_crc32) for r in got.where("start = 0 and piece = 0").collect()}
+    for i, w in enumerate(want):
+        ids = np.append(w, 0).astype("<u4")
+        cut = len(ids) if len(ids) <= 2048 else len(ids) % 2048
+        assert sums[i] == (cut, zlib.crc32(ids[:cut].tobytes()))
+
+
 def test_local_search():
     """Bins that best fit leaves are emptied where exchanges can, and no bin overflows or loses an item."""
     for trial in range(30):

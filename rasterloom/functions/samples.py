@@ -180,11 +180,12 @@ def untile(tile: Column, dx: Column, dy: Column, tw: int, th: int, across: int |
     return ((tile % across) * tw + dx).cast("int"), (div(tile, across) * th + dy).cast("int")
 
 
-def pad_tiles(df: DataFrame, width: int, height: int, tw: int, th: int) -> DataFrame:
+def pad_tiles(df: DataFrame, width: int, height: int | Column, tw: int, th: int) -> DataFrame:
     """(y, x, v) of the whole tile grid: samples outside the image repeat its last column and row."""
-    pw, ph = -(-width // tw) * tw, -(-height // th) * th
+    height = F.lit(height).cast("int")
+    pw, ph = -(-width // tw) * tw, div(height + (th - 1), th) * th
     xs = F.when(F.col("x") == width - 1, F.sequence(F.lit(width - 1), F.lit(pw - 1))).otherwise(F.array(F.col("x")))
-    ys = F.when(F.col("y") == height - 1, F.sequence(F.lit(height - 1), F.lit(ph - 1))).otherwise(F.array(F.col("y")))
+    ys = F.when(F.col("y") == height - 1, F.sequence(height - 1, ph - 1)).otherwise(F.array(F.col("y")))
     return df.withColumn("x", F.explode(xs)).withColumn("y", F.explode(ys))
 
 

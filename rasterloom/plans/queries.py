@@ -116,9 +116,22 @@ def _padded(s: SparkSession, d: str) -> DataFrame:
     return S.pad_tiles(raster(s, d).where("y < 10"), W, 10, 32, 16).select("y", "x", "v")
 
 
+def _padded_whole(s: SparkSession, d: str) -> DataFrame:
+    r = raster(s, d)
+    size = F.broadcast(r.agg((F.max("y") + 1).alias("h")))  # one row
+    return S.pad_tiles(r.crossJoin(size), W, F.col("h"), 32, 16).select("y", "x", "v")
+
+
 _add("tile_grid", _tiles, "SELECT CAST((y // 16) * 4 + x // 32 AS INTEGER) AS tile, CAST(y % 16 AS INTEGER) AS dy, CAST(x % 32 AS INTEGER) AS dx, v FROM r")
 _add("tile_crop", _untiled, "SELECT y, x, v FROM r")
 _add("tile_edge_replicate", _padded, "SELECT CAST(g.y AS INTEGER) AS y, CAST(h.x AS INTEGER) AS x, v FROM (SELECT unnest(range(16)) AS y) g, (SELECT unnest(range(128)) AS x) h, (SELECT * FROM r) r WHERE r.x = least(h.x, 99) AND r.y = least(g.y, 9)")
+_add(
+    "tile_edge_replicate_whole",
+    _padded_whole,
+    """, s AS (SELECT max(y) + 1 AS h FROM r),
+g AS (SELECT unnest(range(CAST((h + 15) // 16 * 16 AS BIGINT))) AS y, h FROM s)
+SELECT CAST(g.y AS INTEGER) AS y, CAST(c.x AS INTEGER) AS x, v FROM g CROSS JOIN (SELECT unnest(range(128)) AS x) c JOIN r ON r.x = least(c.x, 99) AND r.y = least(g.y, g.h - 1)""",
+)
 
 
 def _strips(s: SparkSession, d: str) -> DataFrame:

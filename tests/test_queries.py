@@ -56,3 +56,14 @@ def test_columns_agree_with_numpy(spark):
     assert np.array_equal(lab, pixels.lab_to_rgb(v[:, :3]))
     half = spark.range(65536).select(samples.half_to_float(F.col("id")).alias("f")).toPandas()["f"].to_numpy()
     assert np.array_equal(half.astype(np.float32), pixels.half_to_float(np.arange(65536)), equal_nan=True)
+
+
+def test_tile_padding_covers_the_whole_raster(spark):
+    """Every event is in the padded grid, and the grid is whole tiles."""
+    rows = {(r.y, r.x): r.v for r in Q.queries()["tile_edge_replicate_whole"](spark, D).collect()}
+    events = {(r.y, r.x): r.v for r in Q.raster(spark, D).collect()}
+    h = max(y for y, _ in events) + 1
+    assert len(rows) == -(-h // 16) * 16 * 128
+    assert all(rows[y, x] == events[min(y, h - 1), min(x, 99)] for y, x in rows) and set(events) <= set(rows)
+    few = Q.S.pad_tiles(Q.raster(spark, D).where("y < 5"), 100, 5, 32, 4)
+    assert few.count() == 8 * 128 and few.agg({"y": "max"}).first()[0] == 7

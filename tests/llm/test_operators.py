@@ -340,6 +340,23 @@ def test_classifiers_on_odd_rows(spark, docs, rows, empty, op, column):
     assert op(docs, labels.where("false")).count() == len(rows)
 
 
+def test_toxicity_reads_whole_words():
+    """Words with one start differ, every byte of a run without blanks counts, and texts stay apart."""
+    def of(t):
+        return set(toxicity.grams([t.encode()])[0].tolist())
+
+    for a, b in (("worthless", "worth"), ("pathetic", "path"), ("loser", "lose"), ("idiot", "idiom"), ("中文很好", "中文很坏"), ("ab", "ac")):
+        assert of(a) - of(b)
+    long = "这是一个没有空格的句子而且很长"
+    assert all(of(long) != of(long[:k] + "禁" + long[k + 1 :]) for k in range(len(long)))
+    texts = ["One two", "", "  \n", "idiot", "x", "中文 ok", ""]
+    key, before, first = toxicity.grams([t.encode() for t in texts])
+    assert len(first) == len(texts) + 1 and first[-1] == len(key) == len(before)
+    for t, a, b in zip(texts, first[:-1], first[1:]):
+        alone, prior, _ = toxicity.grams([t.encode()])
+        assert key[a:b].tolist() == alone.tolist() and before[a:b].tolist() == prior.tolist() and (b > a) == bool(t.strip())
+
+
 def auc(pairs):
     ranked = sorted(pairs)
     pos = [k for k, (_, y) in enumerate(ranked) if y]

@@ -9,14 +9,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = "[^\\x20\\x09-\\x0D]+"
+WRITTEN: list[str] = []  # scratch tables of this process
 SLICE_BYTES = 2_000_000  # text bytes worked on at once in a Python worker
 
 
@@ -27,19 +28,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder as Parquet and read it back: lineage ends there.
 
-    The folder is ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a
-    temporary folder is chosen and remembered in the session.
+    The folder is ``spark.checkpoint.dir``.  Only a session on one machine (master ``local``) may leave it
+    unset: a temporary folder is then chosen and remembered in the session.  Tables written in a session
+    are listed in ``WRITTEN``; ``clear_scratch`` deletes them.
     """
     spark = df.sparkSession
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.rasterloom.scratch", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="rasterloom-")
         spark.conf.set("spark.rasterloom.scratch", root)
     path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables that this process has written, when their results have been used; returns their number."""
+    n = 0
+    while WRITTEN:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        n += 1
+    return n
+
+
+def stored(docs: DataFrame) -> DataFrame:
+    """``docs`` itself if it is read from files (row numbers are then the same in every pass), else a scratch copy."""
+    try:
+        docs.select("_metadata.file_path").schema  # noqa: B018  resolves for file tables only
+        return docs
+    except AnalysisException:
+        return scratch(docs, "stored")
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -50,37 +74,46 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_BASE = 0x9E3779B97F4A7C15 | 5
-_WBASE = 0xD1342543DE82EF95
-
-
-@lru_cache(maxsize=4)
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    inv = pow(base, -1, 1 << 64)
-    up, down = np.full(n, base, np.uint64), np.full(n, inv, np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, int(n).bit_length())
-    return _powers(base, size)
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply) applied element by element."""
     z = x + np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) & (2**64 - 1))
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
-
-
-def span_hash(values: np.ndarray, begin: np.ndarray, end: np.ndarray, base: int = _BASE) -> np.ndarray:
-    """Hash of values[begin:end] for every pair, in one pass: prefix sums of a power series mod 2**64."""
-    up, down = powers(base, len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=total[1:], dtype=np.uint64)
-    return mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
+    z ^= z >> np.uint64(30)
+    z *= np.uint64(0xBF58476D1CE4E5B9)
+    z ^= z >> np.uint64(27)
+    z *= np.uint64(0x94D049BB133111EB)
+    z ^= z >> np.uint64(31)
+    return z
+
+
+def _at(values: np.ndarray, place: np.ndarray, seed: int) -> np.ndarray:
+    """A value and its place in a span as one pseudo-random number."""
+    return mix(values.astype(np.uint64) + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), seed)
+
+
+def span_hash(values: np.ndarray, begin: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hash of values[begin:end] for every pair: sums of numbers drawn for each value and its place (no polynomial)."""
+    size = end - begin
+    edge = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=edge[1:])
+    place = np.arange(edge[-1]) - np.repeat(edge[:-1], size)
+    total = np.zeros(edge[-1] + 1, np.uint64)
+    np.cumsum(_at(values[place + np.repeat(begin, size)], place, seed), out=total[1:], dtype=np.uint64)
+    return mix(total[edge[1:]] - total[edge[:-1]] + size.astype(np.uint64), seed)
+
+
+def run_hash(values: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
+    """Hash of each ``width`` neighbours, from hashes of 1, 2, 4, ... neighbours."""
+    have, done, out, reach = values, 1, None, 0
+    while True:
+        if width & done:
+            out = have if out is None else mix(out[: max(len(have) - reach, 0)] + have[reach:] * np.uint64(0x9FB21C651E98DF25), seed + done)
+            reach += done
+        if done * 2 > width:
+            return out
+        have = mix(have[:-done] + have[done:] * np.uint64(0xD1342543DE82EF95), seed - done) if len(have) > done else have[:0]
+        done *= 2
 
 
 class Words:
@@ -111,8 +144,16 @@ class Words:
     def doc_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
-    def hashes(self) -> np.ndarray:
-        return span_hash(self.buf, self.begin, self.end)
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """A hash of each word; other seeds give independent ones."""
+        size = self.end - self.begin
+        at = np.flatnonzero(self.solid)
+        place = at - np.repeat(self.begin, size)
+        total = np.zeros(len(at) + 1, np.uint64)
+        np.cumsum(_at(self.buf[at], place, seed), out=total[1:], dtype=np.uint64)
+        edge = np.zeros(len(size) + 1, np.int64)
+        np.cumsum(size, out=edge[1:])
+        return mix(total[edge[1:]] - total[edge[:-1]] + size.astype(np.uint64), seed)
 
     def windows(self, hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """(index of first word, hash) of every run of ``width`` words inside one document."""
@@ -121,7 +162,7 @@ class Words:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         left = self.first[1:].repeat(self.counts)[: n - width + 1]
         at = np.flatnonzero(np.arange(n - width + 1) + width <= left)
-        return at, span_hash(hashes, at, at + width, _WBASE)
+        return at, run_hash(hashes, width)[at]
 
 
 def word_texts(words: Words, which: np.ndarray) -> list[str]:

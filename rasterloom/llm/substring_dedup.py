@@ -29,9 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, signed, slices, span_hash
+from .common import Words, run_hash, signed, slices, span_hash
 
-_WIDE, _LONG = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -50,8 +49,7 @@ def runs(words: Words, window: int, seed_words: int) -> tuple[np.ndarray, np.nda
     n = len(hashes)
     if n < window:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    at = np.arange(n - seed_words + 1)
-    seeds = span_hash(hashes, at, at + seed_words, _WIDE)  # those across documents lie in no run
+    seeds = run_hash(hashes, seed_words, 3)  # those across documents lie in no run
     least = _sliding_min(seeds, window - seed_words + 1)
     at, whole = words.windows(hashes, window)
     return at, least[at], whole
@@ -86,7 +84,7 @@ def _extended(window: int, seed_words: int):
                 doc = words.doc_of()[at]
                 head = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)])
                 edges = np.r_[head, len(at)]
-                stretch = span_hash(words.hashes(), at[head], at[edges[1:] - 1] + window, _LONG)
+                stretch = span_hash(words.hashes(), at[head], at[edges[1:] - 1] + window, 9)
                 lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(signed(whole)))
                 rows = pa.array(np.asarray(live)[doc[head]])
                 own = batch.column("_h").take(rows).to_numpy().astype(np.int64) << 32  # text hash << 32 | place of the first word

@@ -14,6 +14,9 @@ Canonical form: scheme, fragment, user, port 80/443, a leading ``www.`` or ``m.`
 or ``.html``, and query parameters that only track (utm_*, ref, fbclid, gclid) dropped, host in
 lower case, other parameters sorted.
 
+Only possible hits go into the exact join; all other pages pass by it.  In the query, URLs without a
+number at their end, or with one beyond 64 bits, name no document and add nothing to the list.
+
 Null URLs, and those without ``://``, have an empty host and path and no canonical form: no rule
 fits, verdict allow.  Repeated rows are judged alike; an empty list or table is allowed.
 """
@@ -83,24 +86,27 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str,
     name, verdict = match_rule(F.col("host"), F.col("path"), rules)
     rows = pages.select(F.col(id_col).alias("page_id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"), canonical(F.col(url_col)).alias("_url"))
     rows = rows.withColumn("rule", name).withColumn("_v", verdict)
-    known = F.col("_v").isNotNull() | F.col("_url").isNull()
-    rows = rows.select("*", *_bits(F.when(~known, F.col("_url")), blocks))
+    asked = F.col("_v").isNull() & F.col("_url").isNotNull()
     bits = bloom(urls, blocks)
-    bits = F.broadcast(bits) if blocks * 40 <= broadcast_bytes else bits
-    rows = rows.withColumn("_blk", F.when(~known, F.col("_blk")))
-    met = rows.join(bits, "_blk", "left")
     hit = F.lit(True)
     for i in range(8):
         hit = hit & (F.coalesce(F.col(f"_w{i}"), F.lit(0)).bitwiseAND(F.col(f"_m{i}")) != 0)
-    met = met.select("page_id", "host", "path", "rule", "_v", F.when(~known & hit, F.col("_url")).alias("_maybe"))
-    exact = met.join(urls.withColumnRenamed("_url", "_listed"), F.col("_maybe") == F.col("_listed"), "left")
-    listed_now = F.col("_listed").isNotNull()
-    return exact.select("page_id", "host", "path", "rule", F.coalesce("_v", F.when(listed_now, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), listed_now.alias("listed"))
+    kept = ["page_id", "host", "path", "rule", "_v", "_url"]
+    if blocks * 40 <= broadcast_bytes:
+        met = rows.select(*kept, *_bits(F.col("_url"), blocks)).join(F.broadcast(bits), "_blk", "left").select(*kept, (asked & hit).alias("_maybe"))
+        sure, maybe = met.where(~F.col("_maybe")), met.where("_maybe")
+    else:  # only pages that no rule decides meet their block
+        met = rows.where(asked).select(*kept, *_bits(F.col("_url"), blocks)).join(bits, "_blk", "left").select(*kept, hit.alias("_maybe"))
+        sure, maybe = rows.where(~asked).select(*kept).unionByName(met.where(~F.col("_maybe")).select(*kept)), met.where("_maybe")
+    found = maybe.join(urls.withColumnRenamed("_url", "_listed"), F.col("_url") == F.col("_listed"), "left")
+    sure = sure.select("page_id", "host", "path", "rule", F.coalesce("_v", F.lit("allow")).alias("verdict"), F.lit(False).alias("listed"))
+    found = found.select("page_id", "host", "path", "rule", F.when(F.col("_listed").isNotNull(), F.lit("block")).otherwise(F.lit("allow")).alias("verdict"), F.col("_listed").isNotNull().alias("listed"))
+    return sure.unionByName(found)
 
 
 def op3(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """Production list: the URLs under which documents labelled toxic were found (their number ends the path)."""
-    number = F.regexp_extract(url_path(F.col("url")), r"/(\d+)(?:\.html|/)?$", 1).cast("long")
+    number = F.regexp_extract(url_path(F.col("url")), r"/(\d+)(?:\.html|/)?$", 1).try_cast("long")
     listed = pages.select("url", number.alias("doc_id")).join(labels.where("toxic = 1").select("doc_id").distinct(), "doc_id")
     return filter_urls(pages, listed)
 

@@ -3,11 +3,14 @@
 Public vocabularies cut each word (with the blank before it) into tokens.  A document's measures,
 for each vocabulary: characters per token, share of byte tokens (pieces smaller than a code point:
 byte fallback) and entropy of its tokens in bits.  A document belongs to the band of its language
-(one of ``LIMITS``), else of the script of most of its letters.  A band has fixed limits and is
-narrowed to ``width`` median absolute deviations around the median of all documents of the band
-that have ``least_tokens`` tokens or more (a deviation counts as a hundredth of the median at
-least).  A document with that many tokens and a measure outside its band is rejected; shorter ones
-are held against the fixed limits of characters and byte tokens only.
+(one of ``LIMITS``), else of the script of most of its letters.  A band has fixed limits (those of ``other``
+admit any share of byte tokens) and is narrowed around the median of all its documents that pass the base rules:
+characters per token, and entropy as a share of the most that so many tokens can have, may differ by
+``width`` median absolute deviations (a deviation counts as a hundredth of the median at least) times
+sqrt(1 + ``scatter`` / tokens), as figures of few tokens scatter more.  One rule holds for all lengths: a
+document with a measure outside its band is rejected.
+
+Words are cut apart, each with the blank before it; line feeds, indentation and double blanks are not tokenised.
 
 One pass over the texts without a shuffle; its figures (no text) go to a scratch table, from which
 medians (of values rounded to 0.001, so what a task holds is bounded) and verdicts come.  Bands are
@@ -249,28 +252,27 @@ def measure(docs: DataFrame, vocabularies: tuple[str, ...], limits: Mapping = LI
     return rows.mapInArrow(_measure(tuple(vocabularies), limits), schema)
 
 
-def fertility_rules(docs: DataFrame, vocabularies: tuple[str, ...], limits: Mapping = LIMITS, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", least_tokens: int = 100, width: float = 8.0) -> DataFrame:
+def fertility_rules(docs: DataFrame, vocabularies: tuple[str, ...], limits: Mapping = LIMITS, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", width: float = 8.0, scatter: float = 100.0) -> DataFrame:
     """vocabularies: paths of .model (sentencepiece) or .tiktoken files, the same on every executor."""
     figures = scratch(measure(docs, vocabularies, limits, id_col, text_col, lang_col), "fertility")
-    columns = [f"{m}_{i}" for i in range(len(vocabularies)) for m in ("chars_per_token", "entropy")]
-    enough = figures.where(F.col("n_words") >= 20).where(F.col("tokens_0") >= least_tokens)
-    middle = F.broadcast(enough.groupBy("band").agg(*[F.median(F.round(c, 3)).alias(f"_mid_{c}") for c in columns]))
-    spread = F.broadcast(enough.join(middle, "band").groupBy("band").agg(*[F.median(F.round(F.abs(F.col(c) - F.col(f"_mid_{c}")), 3)).alias(f"_mad_{c}") for c in columns]))
-    out = figures.join(middle, "band", "left").join(spread, "band", "left")
+    evenness = lambda i: F.col(f"entropy_{i}") / F.log2(F.greatest(F.col(f"tokens_{i}"), F.lit(2)).cast("double"))
+    inner = {f"chars_{i}": F.col(f"chars_per_token_{i}") for i in range(len(vocabularies))} | {f"even_{i}": evenness(i) for i in range(len(vocabularies))}
     failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
+    passed = figures.where(~failed)
+    middle = F.broadcast(passed.groupBy("band").agg(*[F.median(F.round(v, 3)).alias(f"_mid_{c}") for c, v in inner.items()]))
+    spread = F.broadcast(passed.join(middle, "band").groupBy("band").agg(*[F.median(F.round(F.abs(v - F.col(f"_mid_{c}")), 3)).alias(f"_mad_{c}") for c, v in inner.items()]))
+    out = figures.join(middle, "band", "left").join(spread, "band", "left")
     kept = ~failed
     for i in range(len(vocabularies)):
         for m in MEASURES:
-            value, long_enough = F.col(f"{m}_{i}"), F.col(f"tokens_{i}") >= least_tokens
             low, high = F.lit(None).cast("double"), F.lit(None).cast("double")
             for band, limit in limits.items():
                 low, high = F.when(F.col("band") == band, F.lit(limit[m][0])).otherwise(low), F.when(F.col("band") == band, F.lit(limit[m][1])).otherwise(high)
-            inside = (value >= low) & (value <= high)
-            kept = kept & (inside if m != "entropy" else inside | ~long_enough)
-            if m != "byte_share":
-                mid = F.col(f"_mid_{m}_{i}")
-                room = F.greatest(F.col(f"_mad_{m}_{i}"), mid * 0.01) * F.lit(width)
-                kept = kept & (~long_enough | F.coalesce(F.abs(value - mid) <= room, F.lit(True)))
+            kept = kept & (F.col(f"{m}_{i}") >= low) & (F.col(f"{m}_{i}") <= high)
+        for c in (f"chars_{i}", f"even_{i}"):
+            mid = F.col(f"_mid_{c}")
+            room = F.greatest(F.col(f"_mad_{c}"), mid * 0.01) * F.lit(width) * F.sqrt(1 + F.lit(scatter) / F.greatest(F.col(f"tokens_{i}"), F.lit(1)))
+            kept = kept & F.coalesce(F.abs(inner[c] - mid) <= room, F.lit(True))
     figures_first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return out.select(*figures_first, failed.alias("base_failed"), kept.alias("kept"), *[c for c in figures.columns if c not in figures_first])
 

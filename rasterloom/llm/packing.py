@@ -6,7 +6,7 @@ own.  The others are dealt by row number into groups of about ``group_pieces`` a
 packed on its own: pieces in falling length go to the fullest bin that holds them; then, while
 there are more bins than the tokens need, pieces of the emptiest bin are moved to bins with room
 or exchanged, one for one and two for one, for shorter ones of other underfull bins, which raises
-the sum of squared fills, until the bin is empty or no exchange is left.
+the sum of squared fills, until the bin is empty or no bin has an exchange left.
 
 A group's work doesn't grow with the input, and what a group leaves open is about one sequence.
 Pieces (without ids) go through a scratch table, so texts are cut into tokens once.
@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 
 from .common import scratch, slices
 
-EXCHANGES = 20_000  # of a group's local search; what is then left open stays so
 SPECIAL = {"<|endoftext|>": 50256}  # added to the vocabulary by byte_bpe_50k.json; a mark inside a text is this one id
 
 
@@ -98,75 +97,60 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], sizes: list[int], capacity: int, exchanges: int = EXCHANGES) -> list[list[int]]:
-    """Empties underfull bins by moves and exchanges; each one raises the sum of squared fills."""
+def local_search(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
+    """Empties underfull bins by moves and exchanges; each one raises the sum of squared fills.
+
+    The emptiest bin gives: an item that fits moves into the tightest room of another underfull bin at least as full; else
+    one or two items go for a smaller one, the pair with the largest gain over all such bins (found by
+    search among the sorted sums of one and two of its items).  A bin without an exchange gives way to the next;
+    the search ends when the number of bins is the least possible or no bin has an exchange.
+    Fills are whole numbers and their squares only rise, so it ends.
+    """
     need = -(-sum(sizes) // capacity)
-    bins = [list(b) for b in bins if b]
-    room = [capacity - sum(sizes[i] for i in b) for b in bins]
-    left, stuck = exchanges, set()
-    alive = len(bins)
-
-    def step(v: int, others: list[int]) -> bool:
-        mine = sorted(bins[v], key=lambda i: -sizes[i])
-        for b in others:
-            if not room[b]:
-                continue
-            for p in mine:  # move
-                if sizes[p] <= room[b]:
-                    bins[v].remove(p)
-                    bins[b].append(p)
-                    room[v] += sizes[p]
-                    room[b] -= sizes[p]
-                    return True
-        best = None
-        for b in others:
-            r = room[b]
-            if not r:
-                continue
-            theirs = bins[b]
-            for q in theirs:  # one for one: the largest gain
-                low = sizes[q]
-                for p in mine:
-                    gain = sizes[p] - low
-                    if gain <= 0:
-                        break
-                    if gain <= r and (best is None or gain > best[0]):
-                        best = (gain, b, [p], q)
-            if best is None or best[0] < r:  # two for one
-                for x in range(len(mine)):
-                    for y in range(x + 1, len(mine)):
-                        pair = sizes[mine[x]] + sizes[mine[y]]
-                        for q in theirs:
-                            gain = pair - sizes[q]
-                            if 0 < gain <= r and (best is None or gain > best[0]):
-                                best = (gain, b, [mine[x], mine[y]], q)
-        if best is None:
-            return False
-        gain, b, give, take = best
-        for p in give:
-            bins[v].remove(p)
-        bins[b].remove(take)
-        bins[b] += give
-        bins[v].append(take)
-        room[b] -= gain
-        room[v] += gain
-        return True
-
-    while alive > need and left > 0:
-        under = [b for b in range(len(bins)) if bins[b] and room[b]]
-        victims = [b for b in under if b not in stuck]
-        if len(under) < 2 or not victims:
+    size = np.asarray(sizes, np.int64)
+    where = np.full(len(size), -1, np.int64)
+    for b, items in enumerate(bins):
+        where[items] = b
+    room = capacity - np.bincount(where, weights=size, minlength=len(bins)).astype(np.int64)
+    alive = int((room < capacity).sum())
+    stuck = np.zeros(len(bins), bool)
+    while alive > need:
+        open_to = (room > 0) & (room < capacity)
+        victims = np.flatnonzero(open_to & ~stuck)
+        if not len(victims):
             break
-        v = max(victims, key=lambda b: room[b])
-        # only bins at least as full: taking from the emptier one raises the squares
-        others = sorted((b for b in under if b != v and room[b] <= room[v]), key=lambda b: -room[b])[:64]
-        if step(v, others):
-            left -= 1
-            stuck.clear()
-            alive -= not bins[v]
+        v = victims[room[victims].argmax()]
+        mine = np.flatnonzero(where == v)
+        others = open_to & (room <= room[v])
+        others[v] = False
+        rooms = np.where(others, room, 0)
+        fits = mine[size[mine] <= rooms.max()] if len(rooms) else mine[:0]
+        if len(fits):
+            p = fits[size[fits].argmax()]
+            b = np.where(rooms >= size[p], rooms, capacity + 1).argmin()
+            where[p] = b
+            room[b] -= size[p]
+            room[v] += size[p]
         else:
-            stuck.add(v)
-    return [b for b in bins if b]
+            theirs = np.flatnonzero(others[where])
+            one = size[mine]
+            x, y = np.triu_indices(len(mine), 1)
+            sums, first = np.unique(np.r_[one, one[x] + one[y]], return_index=True)
+            at = np.searchsorted(sums, size[theirs] + room[where[theirs]], side="right") - 1
+            gain = np.where(at >= 0, sums[at] - size[theirs], 0)
+            if not len(gain) or gain.max() <= 0:
+                stuck[v] = True
+                continue
+            k = gain.argmax()
+            b, f = where[theirs[k]], first[at[k]]
+            give = mine[[f]] if f < len(mine) else mine[[x[f - len(mine)], y[f - len(mine)]]]
+            where[give], where[theirs[k]] = b, v
+            room[b] -= gain[k]
+            room[v] += gain[k]
+        stuck[:] = False
+        alive -= int(room[v] == capacity)
+    order = np.argsort(where, kind="stable")
+    return [part.tolist() for part in np.split(order, np.flatnonzero(np.diff(where[order])) + 1)] if len(order) else []
 
 
 def _pack(capacity: int):

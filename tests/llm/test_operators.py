@@ -462,7 +462,7 @@ def test_toxicity_by_hand(spark, tmp_path, broadcast_rows):
             if i in known:
                 by_class[known[i]][g] += 1
     n = {c: sum(by_class[c].values()) for c in (0, 1)}
-    table = [g for g in every if by_class[1][g] >= 2 and by_class[1][g] / n[1] > by_class[0][g] / n[0]]
+    table = [g for g in every if by_class[1][g] >= 2 and by_class[1][g] / n[1] >= 2 * by_class[0][g] / n[0]]
     whole, inside = sum(every.values()), sum(every[g] for g in table)
     kept = lambda n: 0.0 if n <= 1 else n - 0.75
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import ccitt, codecs, constants
 from ..functions import samples as S
 from ..sources import relations, sink
+from . import proofs
 
 W = 100
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,17 +88,17 @@ def _oriented(s: SparkSession, d: str, o: int) -> DataFrame:
 for _o, (_x, _y) in {1: ("x", "y"), 2: ("99 - x", "y"), 3: ("99 - x", "h - 1 - y"), 4: ("x", "h - 1 - y"), 5: ("y", "x"), 6: ("h - 1 - y", "x"), 7: ("h - 1 - y", "99 - x"), 8: ("y", "99 - x")}.items():
     _add(f"orientation_{_o}", lambda s, d, o=_o: _oriented(s, d, o), f"SELECT CAST({_y} AS INTEGER) AS y, CAST({_x} AS INTEGER) AS x, v FROM r, (SELECT max(y) + 1 AS h FROM r)")
 
-# planes: three samples to a pixel
-_THREE = "SELECT CAST(x // 3 AS INTEGER) AS px, CAST(x % 3 AS INTEGER) AS c, y, v FROM r WHERE x < 99"
-_add("planar_split", lambda s, d: raster(s, d).where("x < 99").select((F.col("x") % 3).alias("c"), "y", F.floor(F.col("x") / 3).cast("int").alias("x"), "v"), f"SELECT c, y, px AS x, v FROM ({_THREE})")
+# planes: four samples to a pixel
+_FOUR = "SELECT CAST(x // 4 AS INTEGER) AS px, CAST(x % 4 AS INTEGER) AS c, y, v FROM r"
+_add("planar_split", lambda s, d: raster(s, d).select((F.col("x") % 4).alias("c"), "y", F.floor(F.col("x") / 4).cast("int").alias("x"), "v"), f"SELECT c, y, px AS x, v FROM ({_FOUR})")
 
 
 def _interleave(s: SparkSession, d: str) -> DataFrame:
-    planes = raster(s, d).where("x < 99").select((F.col("x") % 3).alias("c"), "y", F.floor(F.col("x") / 3).cast("int").alias("x"), "v")
-    return planes.groupBy("y", "x").pivot("c", [0, 1, 2]).agg(F.first("v")).toDF("y", "x", "c0", "c1", "c2")
+    planes = raster(s, d).select((F.col("x") % 4).alias("c"), "y", F.floor(F.col("x") / 4).cast("int").alias("x"), "v")
+    return planes.groupBy("y", "x").pivot("c", [0, 1, 2, 3]).agg(F.first("v")).toDF("y", "x", "c0", "c1", "c2", "c3")
 
 
-_add("planar_interleave", _interleave, f"SELECT y, px AS x, max(CASE WHEN c = 0 THEN v END) AS c0, max(CASE WHEN c = 1 THEN v END) AS c1, max(CASE WHEN c = 2 THEN v END) AS c2 FROM ({_THREE}) GROUP BY y, px")
+_add("planar_interleave", _interleave, f"SELECT y, px AS x, max(CASE WHEN c = 0 THEN v END) AS c0, max(CASE WHEN c = 1 THEN v END) AS c1, max(CASE WHEN c = 2 THEN v END) AS c2, max(CASE WHEN c = 3 THEN v END) AS c3 FROM ({_FOUR}) GROUP BY y, px")
 
 # tiles of 32 x 16: 4 across, of which the last hangs over
 
@@ -347,22 +348,21 @@ for _big, _name in ((False, "classic"), (True, "bigtiff")):
 def _validation(s: SparkSession, d: str) -> DataFrame:
     """Tag combinations from lineitem columns against the rules on layout, in the reader's order."""
     t = _table(s, d, "lineitem").select((F.col("l_partkey") % 6).alias("planar"), (F.col("l_suppkey") % 5).alias("predictor"), (F.col("l_orderkey") % 10).alias("orientation"), F.element_at(F.array(*[F.lit(b) for b in (1, 2, 4, 8, 12, 16, 32)]), (F.col("l_linenumber") % 7 + 1).cast("int")).alias("bits")).distinct()
-    status = F.when(~F.col("planar").isin(1, 2), "invalid").when(~F.col("predictor").isin(1, 2, 3), "unsupported").when(~F.col("orientation").between(1, 8), "invalid").when(~F.col("bits").isin(1, 4, 8, 16), "unsupported").when(F.col("predictor") == 3, "invalid").otherwise("ok")
-    return t.select("*", status.alias("status"))
+    t = t.select(*[F.col(c).cast("long").alias(c) if c != "bits" else F.col(c) for c in t.columns])
+    return t.mapInArrow(proofs.layout_status, "planar long, predictor long, orientation long, bits int, status string")
 
 
 _add(
     "validation_matrix",
     _validation,
-    "SELECT *, CASE WHEN planar NOT IN (1, 2) THEN 'invalid' WHEN predictor NOT IN (1, 2, 3) THEN 'unsupported' WHEN orientation NOT BETWEEN 1 AND 8 THEN 'invalid' WHEN bits NOT IN (1, 4, 8, 16) THEN 'unsupported' WHEN predictor = 3 THEN 'invalid' ELSE 'ok' END AS status FROM (SELECT DISTINCT l_partkey % 6 AS planar, l_suppkey % 5 AS predictor, l_orderkey % 10 AS orientation, ([1, 2, 4, 8, 12, 16, 32])[l_linenumber % 7 + 1] AS bits FROM lineitem)",
+    "SELECT *, CASE WHEN planar NOT IN (1, 2) THEN 'invalid' WHEN predictor NOT IN (1, 2, 3) THEN 'unsupported' WHEN orientation NOT BETWEEN 1 AND 8 THEN 'invalid' WHEN bits NOT IN (1, 4, 8, 16) THEN 'unsupported' WHEN predictor = 3 OR predictor = 2 AND bits = 1 THEN 'invalid' ELSE 'ok' END AS status FROM (SELECT DISTINCT l_partkey % 6 AS planar, l_suppkey % 5 AS predictor, l_orderkey % 10 AS orientation, ([1, 2, 4, 8, 12, 16, 32])[l_linenumber % 7 + 1] AS bits FROM lineitem)",
 )
 
 
 def _probe(s: SparkSession, d: str) -> DataFrame:
     head = F.element_at(F.array(*[F.lit(h) for h in ("49492A00", "4D4D002A", "49492B00", "4D4D002B", "89504E47")]), (F.col("n_nationkey") % 5 + 1).cast("int"))
     path = F.concat(F.lower("n_name"), F.when(F.col("n_regionkey") % 2 == 0, F.lit(".TIF")).otherwise(F.lit(".png")))
-    score = F.when(head.isin("49492A00", "4D4D002A", "49492B00", "4D4D002B"), 100).when(F.lower(path).rlike("\\.tiff?$"), 50).otherwise(0)
-    return _table(s, d, "nation").select(path.alias("path"), head.alias("head"), score.alias("score"))
+    return _table(s, d, "nation").select(path.alias("path"), head.alias("head")).mapInArrow(proofs.probed, "path string, head string, score int")
 
 
 _add(
@@ -385,6 +385,9 @@ _add("read_directories", lambda s, d: relations.ifds(_files(s, d), "FAILFAST").s
 _add("compression_names", lambda s, d: s.createDataFrame([(k, v) for k, v in constants.COMPRESSIONS.items()], "code int, name string"), "SELECT CAST(code AS INTEGER) AS code, name FROM (VALUES (1, 'none'), (2, 'ccitt_mh'), (3, 'ccitt_t4'), (4, 'ccitt_t6'), (5, 'lzw'), (6, 'jpeg_old'), (7, 'jpeg'), (8, 'deflate'), (32773, 'packbits'), (50000, 'zstd'), (50001, 'webp')) t(code, name)")
 
 
+FOUND.update(proofs.FOUND)
+
+
 def queries() -> dict[str, Query]:
     return {n: q for n, (q, _) in FOUND.items()}
 

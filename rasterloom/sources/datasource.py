@@ -83,12 +83,15 @@ class TiffReader(DataSourceReader):
 class TiffWriter(DataSourceWriter):
     """Rows (path, content): each file is written under a temporary name and renamed when all tasks are done."""
 
-    def __init__(self, options: dict):
+    def __init__(self, options: dict, overwrite: bool = False):
         self.folder = options["path"].removeprefix("file://")
+        self.overwrite = overwrite
 
     def write(self, iterator) -> Written:
         moves = []
         for row in iterator:
+            if row["content"] is None:
+                raise ValueError(f"{row['path']}: no content (a page that couldn't be encoded); leave such rows out")
             target = os.path.join(self.folder, os.path.basename(row["path"]))
             os.makedirs(self.folder, exist_ok=True)
             part = os.path.join(self.folder, f"._{uuid.uuid4().hex}")
@@ -98,6 +101,14 @@ class TiffWriter(DataSourceWriter):
         return Written(moves)
 
     def commit(self, messages: list) -> None:
+        names = [target for m in messages for _, target in (m.moves if m else ())]
+        if len(set(names)) < len(names):
+            self.abort(messages)
+            raise ValueError(f"several rows would be written to {next(n for n in names if names.count(n) > 1)}")
+        if self.overwrite and os.path.isdir(self.folder):
+            for name in os.listdir(self.folder):
+                if name.lower().endswith((".tif", ".tiff")) and not name.startswith("._"):
+                    os.remove(os.path.join(self.folder, name))
         for m in messages:
             for part, target in m.moves if m else ():
                 os.replace(part, target)
@@ -121,7 +132,7 @@ class TiffSource(DataSource):
         return TiffReader(dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> TiffWriter:
-        return TiffWriter(dict(self.options))
+        return TiffWriter(dict(self.options), overwrite)
 
 
 def register(spark) -> None:

@@ -7,10 +7,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.errors import RasterError
+from ..functions import constants as K
+from ..operators.errors import Invalid
 from ..plans import encode
 
-PAGE = "path string, page_index int, width int, height int, kind string, compression string, predictor boolean, planar boolean, tile_w int, tile_h int, rows_per_strip int, big boolean, samples binary, palette array<int>, metadata map<string, string>"
+PAGE = "path string, page_index int, width int, height int, kind string, compression string, predictor boolean, planar boolean, tile_w int, tile_h int, rows_per_strip int, big boolean, samples binary, palette array<int>, metadata map<string, string>, "
+PAGE += "xmp binary, icc_profile binary, x_resolution struct<num:bigint,den:bigint>, y_resolution struct<num:bigint,den:bigint>, page_number array<int>, "
+PAGE += "t4_two_d boolean, associated_alpha boolean, subsampling array<int>, reduced boolean, multi_page boolean, "
+PAGE += "exif array<struct<tag:int,field_type:int,count:bigint,data:binary>>, gps array<struct<tag:int,field_type:int,count:bigint,data:binary>>"
 FILE = "path string, content binary, _status string, _error string"
 
 
@@ -23,16 +27,26 @@ def page_of(row: dict) -> encode.Page:
     for k in ("orientation", "resolution_unit"):
         if k in text:
             text[k] = int(text[k])
+    unknown = set(text) - set(K.TEXT_FIELDS) - {"orientation", "resolution_unit"}
+    if unknown:
+        raise Invalid(f"metadata {sorted(unknown)} has columns of its own or isn't known")
+    text |= {k: row[k] for k in ("xmp", "icc_profile", "page_number") if row.get(k) is not None}
+    text |= {k: (row[k]["num"], row[k]["den"]) for k in ("x_resolution", "y_resolution") if row.get(k) is not None}
+    slots = {k: [(e["tag"], e["field_type"], e["count"], e["data"] or b"") for e in row.get(k) or ()] for k in ("exif", "gps")}
+    more = {k: True for k in ("t4_two_d", "associated_alpha", "reduced", "multi_page") if row.get(k)}
+    if row.get("subsampling"):
+        more["subsampling"] = tuple(row["subsampling"])
     tile = (row["tile_w"], row["tile_h"]) if row.get("tile_w") else None
-    return encode.Page(s, row["kind"], row.get("compression") or "none", bool(row.get("predictor")), bool(row.get("planar")), tile, row.get("rows_per_strip"), bool(row.get("big")), palette=[tuple(palette[i : i + 3]) for i in range(0, len(palette), 3)], metadata=text)
+    return encode.Page(s, row["kind"], row.get("compression") or "none", bool(row.get("predictor")), bool(row.get("planar")), tile, row.get("rows_per_strip"), bool(row.get("big")), palette=[tuple(palette[i : i + 3]) for i in range(0, len(palette), 3)], metadata=text, **slots, **more)
 
 
 def _encode(group: pa.Table) -> pa.Table:
-    rows = sorted(group.to_pylist(), key=lambda r: r["page_index"])
+    rows = group.to_pylist()
     try:
+        rows.sort(key=lambda r: r["page_index"] or 0)
         content, status, error = encode.encode([page_of(r) for r in rows]), "ok", None
-    except (RasterError, ValueError, KeyError) as e:
-        content, status, error = None, getattr(e, "status", "invalid"), str(e)
+    except Exception as e:  # noqa: BLE001  whatever a bad row raises is that file's status, not the job's end
+        content, status, error = None, getattr(e, "status", "invalid"), str(e) or type(e).__name__
     return pa.table({"path": [rows[0]["path"]], "content": pa.array([content], pa.binary()), "_status": [status], "_error": pa.array([error], pa.string())})
 
 
@@ -48,4 +62,12 @@ def encode_files(pages: DataFrame) -> DataFrame:
 
 
 def _fields() -> list[str]:
-    return PAGE.replace("map<string, string>", "map<string,string>").split(", ")
+    """name type of each page column; commas inside brackets don't part columns."""
+    out, depth = [""], 0
+    for c in PAGE.replace("map<string, string>", "map<string,string>"):
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return [f.strip() for f in out]

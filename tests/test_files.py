@@ -208,3 +208,43 @@ def test_relations_source_sink_and_stream(spark, tmp_path):
     q = stream_pages(spark, folder).writeStream.format("memory").queryName("pages_seen").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("pages_seen").count() == 3
+
+
+def test_sink_gives_a_status_for_bad_rows(spark):
+    """Whatever a row lacks or has too much of is that file's status; other files are written."""
+    schema = "path string, page_index int, width int, height int, kind string, samples binary, metadata map<string,string>, x_resolution struct<num:bigint,den:bigint>, subsampling array<int>"
+    good = bytes(6)
+    rows = [
+        ("ok.tif", 0, 3, 2, "gray8", good, {"artist": "a"}, (300, 1), None),
+        ("key.tif", 0, 3, 2, "gray8", good, {"x_resolution": "300"}, None, None),
+        ("xmp.tif", 0, 3, 2, "gray8", good, {"xmp": "<x/>"}, None, None),
+        ("null.tif", 0, 3, 2, "gray8", None, None, None, None),
+        ("short.tif", 0, 3, 2, "gray8", b"12", None, None, None),
+        ("kind.tif", 0, 3, 2, None, good, None, None, None),
+        ("zero.tif", None, 3, 2, "gray8", good, None, (1, 0), None),
+        ("sides.tif", 0, None, None, "gray8", good, None, None, None),
+        ("sub.tif", 0, 3, 2, "ycbcr_sub24", bytes(18), None, None, [3, 3]),
+    ]
+    from rasterloom.sources import sink
+
+    got = {r.path: r for r in sink.encode_files(spark.createDataFrame(rows, schema)).collect()}
+    assert {p for p, r in got.items() if r._status == "ok"} == {"ok.tif"} and len(got) == len(rows)
+    assert all(r.content is None and r._error for p, r in got.items() if p != "ok.tif")
+
+
+def test_writer_overwrites_and_refuses_clashes(spark, tmp_path):
+    from rasterloom.sources import datasource
+
+    datasource.register(spark)
+    folder = str(tmp_path / "out")
+    page = encode([Page(ramp(4, 4).astype(np.uint8), "gray8")])
+    write = lambda rows, mode: spark.createDataFrame(rows, "path string, content binary").write.format("tiff").mode(mode).save(folder)
+    write([("a.tif", page), ("b.tif", page)], "append")
+    write([("c.tif", page)], "overwrite")
+    import os
+
+    assert sorted(os.listdir(folder)) == ["c.tif"]
+    for rows in ([("x/d.tif", page), ("y/d.tif", page)], [("e.tif", None)]):
+        with pytest.raises(Exception, match="d.tif|no content"):
+            write(rows, "append")
+    assert sorted(os.listdir(folder)) == ["c.tif"]

@@ -56,14 +56,24 @@ def clear_scratch(spark: SparkSession) -> int:
 
 
 def stored(docs: DataFrame) -> DataFrame:
-    """``docs`` itself if it is read from files (row numbers are then the same in every pass), else a scratch copy."""
+    """``docs`` itself if it is read from files (rows then have a ``row_key``), else a scratch copy."""
     try:
-        docs.select("_metadata.file_path").schema  # noqa: B018  resolves for file tables only
+        docs.select(row_key(docs)).schema  # noqa: B018  resolves for Parquet tables only
         return docs
     except AnalysisException:
         return scratch(docs, "stored")
 
 
+def row_key(docs: DataFrame) -> Column:
+    """What names a row of a stored table in every pass: its file and its place there.
+
+    Numbers by partition wouldn't do: how files are dealt into partitions depends on the cores at hand, so a lost
+    executor could change them between two passes.
+    """
+    where = docs.metadataColumn("_metadata")
+    return F.struct(F.xxhash64(where.getField("file_path")).alias("file"), where.getField("row_index").alias("place"))
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

@@ -513,3 +513,26 @@ def test_toxicity_decisions_held_out(spark, scale, least, false):
     got = toxicity.op10(spark.read.parquet(f"{d}/documents.parquet"), labels).where("held_out").join(labels, "doc_id").select("predicted", "toxic").collect()
     toxic = [r.predicted for r in got if r.toxic]
     assert sum(toxic) >= least * len(toxic) and sum(r.predicted for r in got if not r.toxic) <= false
+
+
+def test_row_names_last_over_passes(spark, tmp_path):
+    """File and place name each row once, whatever the splits; a column called _metadata is no hindrance."""
+    from rasterloom.llm.common import row_key, stored
+
+    spark.range(1000).selectExpr("id AS doc_id", "cast(id AS string) AS _metadata").repartition(3).write.parquet(str(tmp_path / "t"))
+    docs = stored(spark.read.parquet(str(tmp_path / "t")))
+    before = {r.k: r.doc_id for r in docs.select(row_key(docs).alias("k"), "doc_id").collect()}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        after = {r.k: r.doc_id for r in docs.select(row_key(docs).alias("k"), "doc_id").collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(before) == 1000 and before == after
+
+
+def test_near_dedup_texts_by_join(docs, monkeypatch):
+    """Beyond MOST_SENT nodes texts are joined, not met by a broadcast; the result is the same."""
+    names = ("doc_id", "n_shingles", "component_id", "kept")
+    own = Counter(tuple(r) for r in near_dedup.near_duplicates(docs).select(*names).collect())
+    monkeypatch.setattr(near_dedup, "MOST_SENT", 0)
+    assert Counter(tuple(r) for r in near_dedup.near_duplicates(docs).select(*names).collect()) == own

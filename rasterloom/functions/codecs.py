@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -32,9 +33,12 @@ def packbits_decode(data: bytes, expected: int) -> bytes:
     return bytes(out)
 
 
+_RUN = re.compile(rb"(.)\1{2,127}", re.DOTALL)
+
+
 def packbits_encode(data: bytes) -> bytes:
     """Runs of three or more bytes are repeats of at most 128, all else literals of at most 128."""
-    out, n, i, start = bytearray(), len(data), 0, 0
+    out, start = bytearray(), 0
 
     def literals(stop: int) -> None:
         for a in range(start, stop, 128):
@@ -42,82 +46,112 @@ def packbits_encode(data: bytes) -> bytes:
             out.append(len(part) - 1)
             out.extend(part)
 
-    while i < n:
-        run = 1
-        while run < 128 and i + run < n and data[i + run] == data[i]:
-            run += 1
-        if run >= 3:
-            literals(i)
-            out += bytes((257 - run, data[i]))
-            i += run
-            start = i
-        else:
-            i += run
-    literals(n)
+    for run in _RUN.finditer(data):
+        begin, end = run.span()
+        literals(begin)
+        out += bytes((257 - (end - begin), data[begin]))
+        start = end
+    literals(len(data))
     return bytes(out)
 
 
 # ------------------------------------------------------------------ LZW
 
 CLEAR, END = 256, 257
+FULL = 4095 - 258  # strings that the writer gives a table before it is cleared
+# bits of the code at each place after a clear: 9 until 512 codes are in use, and so on up to 12
+WIDTHS = np.minimum(12, 1 + np.floor(np.log2(np.maximum(258 + np.arange(FULL + 260), 256))).astype(np.int64))
+TRIED, LONG = 64, 2  # a table whose first TRIED strings are LONG bytes on average is searched by length
 
 
 def lzw_decode(data: bytes, expected: int) -> bytes:
-    """MSB-first codes of 9 to 12 bits; the width grows one code early."""
+    """MSB-first codes of 9 to 12 bits; the width grows one code early.
+
+    A code's width follows from its place after the last clear, so codes are cut out of the bits by the thousand.
+    """
     base = [bytes((i,)) for i in range(256)] + [b"", b""]
-    table = list(base)
+    raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int64)
     out: list[bytes] = []
-    have = held = bits = 0
-    width, last, total = 9, b"", len(data)
-    at = 0
+    have, bit, place, total = 0, 0, 0, 8 * len(data)
+    table, last = list(base), b""
     while have < expected:
-        while bits < width:
-            if at >= total:
-                return b"".join(out)
-            held = (held << 8) | data[at]
-            at += 1
-            bits += 8
-        bits -= width
-        code = held >> bits
-        held &= (1 << bits) - 1
-        if code == END:
+        some = min(4096, (total - bit) // 9)
+        widths = WIDTHS[np.minimum(np.arange(place, place + some), len(WIDTHS) - 1)]
+        ends = bit + np.cumsum(widths)
+        ends = ends[ends <= total]
+        if not len(ends):
             break
-        if code == CLEAR:
-            table, width, last = list(base), 9, b""
-            continue
-        if not last:
-            if code > 255:
-                raise Invalid("LZW: the first code after a clear isn't a literal")
-            word = base[code]
-        else:
+        widths = widths[: len(ends)]
+        begin = ends - widths
+        at = begin >> 3
+        codes = (((raw[at] << 16) | (raw[at + 1] << 8) | raw[at + 2]) >> (24 - widths - (begin & 7))) & ((1 << widths) - 1)
+        stop = np.flatnonzero((codes == CLEAR) | (codes == END))
+        used = int(stop[0]) if len(stop) else len(codes)
+        for code in codes[:used].tolist():
+            if have >= expected:
+                break
             size = len(table)
-            if code < size:
-                word = table[code]
-            elif code == size and size < 4096:
-                word = last + last[:1]
+            if not last:
+                if code > 255:
+                    raise Invalid("LZW: the first code after a clear isn't a literal")
+                word = base[code]
             else:
-                raise Invalid("LZW: code beyond the table")
-            if size < 4096:
-                table.append(last + word[:1])
-                if size + 2 >= (1 << width) and width < 12:
-                    width += 1
-        out.append(word)
-        have += len(word)
-        last = word
+                if code < size:
+                    word = table[code]
+                elif code == size and size < 4096:
+                    word = last + last[:1]
+                else:
+                    raise Invalid("LZW: code beyond the table")
+                if size < 4096:
+                    table.append(last + word[:1])
+            out.append(word)
+            have += len(word)
+            last = word
+        if len(stop) and codes[used] == END:
+            break
+        if len(stop):
+            bit, place, table, last = int(ends[used]), 0, list(base), b""
+        else:
+            bit, place = int(ends[-1]), place + used
     return b"".join(out)
 
 
-def lzw_encode(data: bytes) -> bytes:
-    """Longest matches by search on their length; the table is cleared before code 4095 is needed.
+def _codes_by_byte(data: bytes, i: int) -> tuple[list[int], int] | None:
+    """Codes of one table from byte i on, and where they end; each byte is a step to a longer string.
 
-    Every prefix of a table string is in the table too, so the longest match is found by doubling
-    and halving a length instead of byte by byte.  Codes are packed into bits at the end.
+    None if the first strings are long: then a search on their length is faster.
     """
-    codes, widths = [CLEAR], [9]
+    codes: list[int] = []
+    table: dict[int, int] = {}  # (code of the string's head) * 256 + last byte -> code * 256
+    get = table.get
+    free, start, left = 258 << 8, i, TRIED
+    head = data[i] << 8
+    for byte in memoryview(data)[i + 1 :]:
+        i += 1
+        longer = get(head + byte)
+        if longer is not None:
+            head = longer
+            continue
+        codes.append(head >> 8)
+        table[head + byte] = free
+        free += 256
+        head = byte << 8
+        left -= 1
+        if not left:
+            if i - start > TRIED * LONG:
+                return None
+        elif left == TRIED - FULL:
+            return codes, i
+    return [*codes, head >> 8], len(data)
+
+
+def _codes_by_length(data: bytes, i: int) -> tuple[list[int], int]:
+    """The same codes; the longest string is found by doubling and halving a length (each head of a string is in the table)."""
+    codes: list[int] = []
     table: dict[bytes, int] = {}
-    free, width, i, n, good = 258, 9, 0, len(data), 1
-    while i < n:
-        # matches differ little in length from one to the next: try that length and its neighbours first
+    n, good = len(data), 1
+    while i < n and len(table) < FULL:
+        # strings differ little in length from one to the next: try that length and its neighbours first
         guess = good if good > 1 else 2
         if i + guess <= n and data[i : i + guess] in table:
             good, step = guess, 1
@@ -140,28 +174,29 @@ def lzw_encode(data: bytes) -> bytes:
             else:
                 bad = middle
         codes.append(table[data[i : i + good]] if good > 1 else data[i])
-        widths.append(width)
         if i + good < n:
-            table[data[i : i + good + 1]] = free
-            free += 1
-            if free == 4095:
-                codes.append(CLEAR)
-                widths.append(width)
-                table = {}
-                free, width = 258, 9
-            elif free == 1 << width:
-                width += 1
-        elif free + 1 == 1 << width and width < 12:
-            width += 1
+            table[data[i : i + good + 1]] = 258 + len(table)
         i += good
-    codes.append(END)
-    widths.append(width)
-    return pack_codes(codes, widths)
+    return codes, i
 
 
-def pack_codes(codes: list[int], widths: list[int]) -> bytes:
+def lzw_encode(data: bytes) -> bytes:
+    """Longest matches; the table is cleared before code 4095 is needed.  Codes are packed into bits at the end."""
+    codes, widths, i = [CLEAR], [WIDTHS[:1]], 0
+    while i < len(data):
+        own, i = _codes_by_byte(data, i) or _codes_by_length(data, i)
+        codes += own
+        codes.append(CLEAR if i < len(data) else END)
+        widths.append(WIDTHS[: len(own) + 1])
+    if not data:
+        codes.append(END)
+        widths.append(WIDTHS[:1])
+    return pack_codes(codes, np.concatenate(widths))
+
+
+def pack_codes(codes: list[int], widths: np.ndarray) -> bytes:
     """Codes of up to 12 bits, most significant bit first."""
-    c, w = np.asarray(codes, np.int64), np.asarray(widths, np.int64)
+    c, w = np.asarray(codes, np.int64), widths
     start = np.cumsum(w) - w
     size = -(-int(w.sum()) // 8)
     window = c << (24 - w - (start & 7))  # three bytes from the byte in which the code begins

@@ -27,6 +27,20 @@ def test_codec_round_trip(name):
             assert dec(enc(data), n) == data
 
 
+def test_lzw_searches_agree():
+    """Both searches find the same codes, table by table, and every cut of the output is a prefix."""
+    for data in (RNG.bytes(9000), bytes(9000), (bytes(range(16)) * 600)[:9000], RNG.bytes(200) + bytes(30000), np.repeat(np.frombuffer(RNG.bytes(900), np.uint8), 40).tobytes()):
+        i = 0
+        while i < len(data):
+            codes, end = codecs._codes_by_length(data, i)
+            other = codecs._codes_by_byte(data, i)
+            assert other is None or other == (codes, end)
+            i = end
+        packed = codecs.lzw_encode(data)
+        for n in (1, 300, len(data) - 1):
+            assert data.startswith(codecs.lzw_decode(packed, n)[:n]) and len(codecs.lzw_decode(packed, n)) >= n
+
+
 def test_golden_bytes():
     assert codecs.packbits_encode(b"\xaa\xaa\xaa\x80\x00\x2a\xaa\xaa\xaa\xaa\x80\x00\x2a\x22" + b"\xaa" * 10) == bytes.fromhex("FEAA 02 80002A FDAA 03 80002A22 F7AA".replace(" ", ""))
     assert codecs.packbits_decode(b"\x80\xfe\xaa", 3) == b"\xaa\xaa\xaa"

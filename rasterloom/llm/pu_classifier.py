@@ -9,8 +9,8 @@ squared loss the unbiased PU risk
 depends on first and second moments of the basis only.  Those of U are summed over all documents,
 those of P over the trusted positives, so every step of the descent sees the whole corpus.  Where
 the last two terms together would fall below zero, a step goes against them alone (the non-negative
-correction).  The class prior pi is the smallest ratio of U's to P's share above a threshold of a
-first model's values (held-back positives, values in fixed bins, all documents).  A logistic curve
+correction).  The class prior pi is the ratio of U's to P's share above a threshold of a first model's
+values (held-back positives, values in fixed bins, all documents), the one with the least upper bound.  A logistic curve
 fitted to a held-back quarter of the labelled rows sets the scale of the score; no label is used
 otherwise.
 
@@ -168,12 +168,20 @@ def _values(weights: np.ndarray):
     return each
 
 
-def class_prior(bins: np.ndarray, everyone: np.ndarray, positives: np.ndarray, least: float = 0.2) -> float:
-    """Smallest ratio of shares above a threshold that ``least`` of the positives pass."""
+def class_prior(bins: np.ndarray, everyone: np.ndarray, positives: np.ndarray, risk: float = 0.1) -> float:
+    """Ratio of the shares of all documents and of positives above the threshold where an upper bound of it is least.
+
+    The bound holds with probability 1 - ``risk``; it keeps off thresholds that few positives pass, where the ratio is noise.
+    """
+    n_u, n_p = everyone.sum(), positives.sum()
+    if not n_p:
+        return 0.5
     order = np.argsort(-bins)
-    u, p = np.cumsum(everyone[order]) / max(everyone.sum(), 1), np.cumsum(positives[order]) / max(positives.sum(), 1)
-    use = p >= least
-    return float(np.clip((u[use] / p[use]).min(), 0.02, 0.98)) if use.any() else 0.5
+    u, p = np.cumsum(everyone[order]) / n_u, np.cumsum(positives[order]) / n_p
+    u, p = u[p > 0], p[p > 0]
+    doubt = np.sqrt(np.log(4 / risk) / 2) * (n_u**-0.5 + n_p**-0.5)
+    best = int(((u + doubt) / p).argmin())
+    return float(np.clip(u[best] / p[best], 0.02, 0.98))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 4, fold: int = 2, max_labelled: int = 65_536) -> DataFrame:

@@ -322,6 +322,137 @@ def test_fertility_tokens():
         assert entropy[0] == pytest.approx(-sum(v / len(ids) * np.log2(v / len(ids)) for v in count.values()))
 
 
+def test_fertility_bands(spark, rows):
+    """Measures, medians of bands and verdicts by plain loops, each word cut on its own."""
+    import base64
+    import math
+    from statistics import median
+
+    import public_tokenizers as p
+    import sentencepiece
+    import tiktoken
+
+    rnd = random.Random(8)
+    made = lambda letters, n, size: " ".join("".join(rnd.choice(letters) for _ in range(size)) for _ in range(n))
+    odd = [(made("αβγδεζηθ", 40, 6), "el"), (made("zqxjkvw", 60, 9), "en"), (made("☃☂☀", 50, 3), "en"), (made("0123456789abcdef", 50, 32), "fr"), (made("абвгд", 30, 5), None)]
+    texts = [(k, t, lang) for k, (t, lang) in enumerate([(t, lang) for _, t, lang, *_ in rows] + odd)]
+    got = {r.doc_id: r for r in fertility.op1(spark.createDataFrame(texts, "doc_id long, text string, lang string")).collect()}
+
+    model = sentencepiece.SentencePieceProcessor(model_file=p.path(fertility.VOCABULARIES[0]))
+    with open(p.path(fertility.VOCABULARIES[1]), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    coder = tiktoken.Encoding("plain", pat_str=p.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    broken = {i for t, i in ranks.items() if "\ufffd" in t.decode("utf-8", "replace") and b"\xef\xbf\xbd" not in t}
+    cuts = [(model.encode, model.is_byte), (lambda w: coder.encode_ordinary(" " + w), broken.__contains__)]
+
+    def script(text):
+        votes = Counter("Latin" if c < "\u0250" else "Greek" if "\u0370" <= c < "\u0400" else "Cyrillic" if "\u0400" <= c < "\u0530" else "other" for c in text if c >= "A")
+        return votes.most_common(1)[0][0] if votes else "other"
+
+    rounded = lambda v: math.floor(v * 1000 + 0.5) / 1000
+    plain, bands = {}, defaultdict(lambda: defaultdict(list))
+    for k, t, lang in texts:
+        ws, figures = words_of(t), []
+        for cut, is_part in cuts:
+            ids = [i for w in ws for i in cut(w)]
+            n, seen = max(len(ids), 1), Counter(ids)
+            figures.append((len(ids), sum(map(len, ws)) / n, sum(map(bool, map(is_part, ids))) / n, -sum(c / n * math.log2(c / n) for c in seen.values())))
+        band = lang if lang in ("en", "de", "fr", "es") else script(t or "")
+        plain[k] = band, figures
+        assert got[k].band == band
+        for v, (tokens, *measures) in enumerate(figures):
+            assert got[k][f"tokens_{v}"] == tokens
+            assert [got[k][f"{m}_{v}"] for m in fertility.MEASURES] == pytest.approx(measures)
+            if not got[k].base_failed:
+                bands[band][v, "chars"].append(measures[0])
+                bands[band][v, "even"].append(measures[2] / math.log2(max(tokens, 2)))
+    beyond_limits = beyond_band = 0
+    for k, (band, figures) in plain.items():
+        inside = near = True
+        for v, (tokens, *measures) in enumerate(figures):
+            for m, value in zip(fertility.MEASURES, measures):
+                low, high = fertility.LIMITS[band][m]
+                inside &= low <= value <= high
+            for name, value in (("chars", measures[0]), ("even", measures[2] / math.log2(max(tokens, 2)))):
+                others = bands[band][v, name]
+                if others:
+                    mid = median(map(rounded, others))
+                    mad = median(rounded(abs(o - mid)) for o in others)
+                    near &= abs(value - mid) <= max(mad, 0.01 * mid) * 8 * math.sqrt(1 + 100 / max(tokens, 1))
+        assert got[k].kept == (not got[k].base_failed and inside and near), k
+        beyond_limits += not got[k].base_failed and not inside
+        beyond_band += not got[k].base_failed and inside and not near
+    assert beyond_limits and beyond_band
+
+
+def test_packing_ids_of_a_whole_table(spark):
+    """Pieces of all documents hold the ids that the tokenizers library gives by the .json file."""
+    import numpy as np
+    import public_tokenizers as p
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    coder = Tokenizer.from_file(p.path("byte_bpe_50k.json"))
+    want = Counter()
+    for i, t in docs.collect():
+        ids = np.array([*coder.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        edges = [0, len(ids)] if len(ids) <= 2048 else sorted({0, *range(len(ids) % 2048, len(ids) + 1, 2048)})
+        want.update((i, k, a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(edges, edges[1:])))
+    assert Counter((r.doc_id, r.piece, r.start, r.ids_crc32) for r in packing.op9(docs).collect()) == want
+
+
+def test_risk_by_hand(spark, tmp_path):
+    """Sums over documents, the non-negative risk's minimum and the scores against loops over all documents on one machine."""
+    import numpy as np
+
+    rnd = random.Random(4)
+    clean = lambda: " ".join(rnd.choice(["The", "river", "winds", "slowly", "past", "old", "mills."]) for _ in range(rnd.randint(15, 60)))
+    junk = lambda: " ".join(rnd.choice(["BUY", "$$$", "win!!!", "1234", "<b>", "now"]) for _ in range(rnd.randint(3, 60)))
+    good = [rnd.random() < 0.4 for _ in range(400)]
+    spark.createDataFrame([(i, clean() if g else junk()) for i, g in enumerate(good)], "doc_id long, text string").repartition(5).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    labels = spark.createDataFrame([(i, int(g)) for i, g in enumerate(good) if i % 2], "doc_id long, quality int")
+    got = {r.doc_id: r for r in pu_classifier.score_quality(docs, labels).collect()}
+    assert len(got) == 400
+
+    text = dict(docs.collect())
+    b = {i: pu_classifier.basis(pu_classifier.figures([t.encode()]))[0] for i, t in text.items()}
+    use = [i for i in range(1, 400, 2) if zlib.crc32(str(i).encode()) % 4 != 2]
+    kept_back = {r[0] for r in spark.createDataFrame([(i,) for i in use], "_lid long").where(pu_classifier.calibration()).collect()}
+    trusted = [i for i in use if good[i] and i not in kept_back]
+    mean = lambda ids, of: sum(of(b[i]) for i in ids) / len(ids)
+    moments = [mean(b, lambda v: np.outer(v, v)), mean(trusted, lambda v: np.outer(v, v)), mean(b, lambda v: v), mean(trusted, lambda v: v)]
+
+    def parts(w, prior):
+        loss = lambda ids, sign: sum((1 - sign * (v @ w)) ** 2 for v in map(b.get, ids)) / len(ids)
+        return prior * loss(trusted, 1), loss(b, -1) - prior * loss(trusted, -1)
+
+    def risk(w, prior):
+        positive, negative = parts(w, prior)
+        return positive + max(negative, 0) + 1e-3 * (w @ w)
+
+    unbiased = lambda prior: np.linalg.solve(moments[0] + 1e-3 * np.eye(len(moments[2])), 2 * prior * moments[3] - moments[2])
+    w = pu_classifier.descend(*moments, 0.1)  # nothing to correct: the unbiased risk's minimum
+    shake = np.random.default_rng(1)
+    assert parts(w, 0.1)[1] > 0 and w == pytest.approx(unbiased(0.1), abs=1e-9)
+    assert all(risk(w, 0.1) < risk(w + shake.normal(0, s, len(w)), 0.1) for s in (1e-3, 1e-2, 0.1) for _ in range(10))
+    assert parts(unbiased(0.9), 0.9)[1] < -1 and parts(pu_classifier.descend(*moments, 0.9), 0.9)[1] > -0.3
+
+    first = pu_classifier.descend(*moments, 0.5)
+    bin_of = lambda i: int(np.floor((np.clip(b[i] @ first, -2, 2) + 2) * (pu_classifier.BINS / 4)))
+    everyone, positives = Counter(map(bin_of, b)), Counter(bin_of(i) for i in use if good[i] and i in kept_back)
+    bins = sorted(everyone)
+    prior = pu_classifier.class_prior(np.array(bins), np.array([everyone[k] for k in bins]), np.array([positives[k] for k in bins]))
+    assert 0.3 < prior < 0.5  # 0.4 by construction
+    w = pu_classifier.descend(*moments, prior)
+    value = {i: b[i] @ w for i in b}
+    known = [i for i in use if i in kept_back]
+    slope, intercept = pu_classifier.logistic_fit(np.array([value[i] for i in known]), np.array([float(good[i]) for i in known]))
+    for i, r in got.items():
+        assert r.value == pytest.approx(value[i], abs=1e-6)
+        assert r.score == pytest.approx(1 / (1 + np.exp(-(slope * value[i] + intercept))), abs=1e-6)
+
+
 def test_packing(docs, rows, empty):
     import numpy as np
     import public_tokenizers as p

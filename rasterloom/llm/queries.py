@@ -1,4 +1,4 @@
-"""Queries op1 to op10 over whole tables, and SQL for those that SQL can express."""
+"""Queries op1 to op13 over whole tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fertility, mixing, near_dedup, packing, pu_classifier, sharding, substring_dedup, toxicity, url_filter
+from . import centroids, exact_dedup, fertility, mixing, near_dedup, packing, pu_classifier, sharding, substring_dedup, token_counts, toxicity, url_filter, whitening
 from .common import table
 
 
@@ -26,8 +26,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": lambda s, d: substring_dedup.op8(_docs(s, d)),
         "op9_packing": lambda s, d: packing.op9(_docs(s, d)),
         "op10_toxicity": lambda s, d: toxicity.op10(_docs(s, d), table(s, d, "labels")),
+        "op11_whitening": lambda s, d: whitening.op11(table(s, d, "embeddings")),
+        "op12_token_counts": lambda s, d: token_counts.op12(_docs(s, d)),
+        "op13_centroids": lambda s, d: centroids.op13(table(s, d, "embeddings")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_dedup": near_dedup.ORACLE, "op3_url_filter": url_filter.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE, "op6_sharding": sharding.ORACLE, "op7_mixing": mixing.ORACLE, "op8_substring_dedup": substring_dedup.ORACLE}
+    return {"op2_near_dedup": near_dedup.ORACLE, "op3_url_filter": url_filter.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE, "op6_sharding": sharding.ORACLE, "op7_mixing": mixing.ORACLE, "op8_substring_dedup": substring_dedup.ORACLE, "op13_centroids": centroids.ORACLE}

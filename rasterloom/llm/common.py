@@ -56,12 +56,21 @@ def clear_scratch(spark: SparkSession) -> int:
 
 
 def stored(docs: DataFrame) -> DataFrame:
-    """``docs`` itself if it is read from files (rows then have a ``row_key``), else a scratch copy."""
-    try:
-        docs.select(row_key(docs)).schema  # noqa: B018  resolves for Parquet tables only
-        return docs
-    except AnalysisException:
-        return scratch(docs, "stored")
+    """``docs`` itself if each of its rows is one row of a file (and so has a ``row_key`` of its own), else a scratch copy.
+
+    That holds for a scan of files with projections and filters that always give the same.  Under an explode, a join, a union or a sample
+    a file's row may come several times, or not again; those are written first.
+    """
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias") and plan.deterministic():
+        plan = plan.children().head()
+    if plan.getClass().getSimpleName() == "LogicalRelation":
+        try:
+            docs.select(row_key(docs)).schema  # noqa: B018  resolves for Parquet tables only
+            return docs
+        except AnalysisException:
+            pass
+    return scratch(docs, "stored")
 
 
 def row_key(docs: DataFrame) -> Column:

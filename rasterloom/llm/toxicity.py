@@ -1,35 +1,38 @@
-"""Toxicity by class-conditional Kneser-Ney models.
-
-Expressions are windows of whole words: the last ``GRAM`` bytes of a word read so far (ASCII in lower
-case, with the blank on either side of the word), at every byte from the word's third and at its end, so
-that every byte of every word counts, in runs without blanks too.  A class counts in how many of its
-labelled documents an expression is found, so a document that repeats itself counts once.  Each class model
-is interpolated Kneser-Ney: counts are discounted (a single one wholly, others by ``DISCOUNT``), and
-what is taken off goes to the continuation counts that the classes share (in how many of all documents
-an expression is found).  The rarer an expression is expected to be, the more its class probability is
-drawn to the shared one: with e expected documents by e / (e + ``RARE``).
-
-Most words of a toxic document are ordinary, so the likelihood of a text under the toxic class takes
-each expression from the toxic model with a small probability and else from the ordinary one.  For three
-such ``SHARES`` the two log-likelihoods are divided by the text's length (its expressions) and compared.
-A language's common words, whose ratios are near 1, don't move them.  A logistic curve over the three
-differences gives the score; it is fitted to differences of labelled documents by models without their
-own fold (``FOLDS`` folds), so all labelled rows serve for counts and curve.
-
-Gathering: expressions that speak for the toxic class are found among the labelled documents first (two toxic
-documents or more have them, and their part of the toxic counts is ``SPEAKS`` times that of the ordinary ones or more;
-for all others the models are taken to be equal), then one pass over all documents counts them.  Labelled
-rows: at most ``max_labelled``, the first by a hash of the id; this is the only sample.  The table of
-expressions is broadcast if it has ``broadcast_rows`` rows at most; beyond that texts meet it in a
-shuffled join, with the same scores.
-
-Null texts count as empty; a text without words has no evidence.  Of several labels of one id the
+"""Toxicity by class-conditional Kneser-Ney models of words.
+
+A word is a run of letters and digits (bytes beyond ASCII are letters but for blanks and punctuation there; ASCII in
+lower case); in scripts without blanks, two neighbouring characters.  The models are Kneser-Ney models over the word as a history:
+a word backs off to its beginning of ``LEVELS[-1]`` letters, that to the next shorter one, and so on.
+
+* A word is counted in documents: in how many labelled documents of the class it is found.
+* A beginning is counted in continuations, as Kneser and Ney have it: in how many different words of the class it
+  goes on.  A beginning that one word only has is no evidence, so ``idiom`` isn't ``idiot`` and ``path`` isn't ``pathetic``; a
+  stem with many endings is.
+* Every count is discounted by ``DISCOUNT`` (continuation counts of one wholly); what is taken off goes to the counts that the classes share: of
+  words, in how many of all documents they are found; of beginnings, the continuations of both classes together.
+* With n' discounted counts where e are expected by the shared counts, the class's probability is the shared one times
+  (n' + t b) / (e + t), b being the same quotient of the shorter expression and 1 at the root, t ``TRUST_WORD`` or ``TRUST_STEM``.  A
+  word without labelled documents has the quotient of its longest known beginning.
+
+A word's term is log p(word | toxic) - log p(word | ordinary).  A text's two log-likelihoods are compared by length: by the mean
+of its words' likelihood ratios of order ``ORDER``, log(mean(exp(ORDER term))) / ORDER.  Order 0 would be their plain difference divided by the
+number of words; a higher order lets a few strong words speak through many ordinary ones.  A logistic curve over
+this difference gives the score, so that it never falls as evidence grows; it is fitted to differences of labelled documents by models
+without their own fold (``FOLDS`` folds), so all labelled rows serve for counts and curve.
+
+Every word of every labelled document counts, in both classes, and its shared count comes from one pass over all
+documents.  Labelled rows: at most ``max_labelled``, the first by a hash of the id; this is the only sample.  The table
+of words and beginnings is broadcast if it has ``broadcast_rows`` rows at most; beyond that texts meet it in a shuffled join, with the same scores.
+
+Null texts count as empty; a text without words has differences of 0.  Of several labels of one id the
 largest counts.  Labels that are null are left out.  Without labels of both classes every score is
-0.5.  Repeated rows give repeated rows.  An empty table gives an empty result.
+0.5.  Repeated rows give repeated rows.  Columns of any name are kept; the two new ones come last and
+get underscores where their names are taken.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,200 +41,262 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _SPACE, LOWER, mix, scratch, signed, slices
+from .common import LOWER, _at, mix, scratch, signed, slices
 
-GRAM, LEAST = 16, 3  # bytes of a window (a power of two); bytes before one is looked at
-DISCOUNT, RARE = 0.75, 0.5
-SHARES = (0.0003, 0.003, 0.03)
+LEVELS = (3, 4, 5, 6, 7, 8)  # letters of the beginnings
+DISCOUNT, TRUST_WORD, TRUST_STEM = 0.75, 1.0, 4.0
+ORDER = 3.0
 FOLDS = 4
-SPEAKS = 2.0
-SLICE = 100_000  # bytes of text worked on at once
+SLICE = 1_000_000  # bytes of text worked on at once
 EVIDENCE, SCORE = "toxicity_evidence", "toxicity_score"
-_LOGS = [f"_d{i}" for i in range(len(SHARES))]
-
-
-def expressions(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit key of the window at each place, index of each text's first window and the number of windows)."""
-    sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-    ends = np.append(0, np.cumsum(sizes)) + 1  # of each text, its blank included; before all texts is one more blank
-    buf = LOWER[np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)]
-    blank = _SPACE[buf]
-    kept = np.flatnonzero(~(blank & np.append(False, blank[:-1])))
-    blank, buf = blank[kept], np.where(blank, 32, buf)[kept]
-    n = np.arange(len(buf))
-    last = np.maximum.accumulate(np.where(blank, n, 0))
-    since = n - np.append(0, last[:-1])  # bytes from the blank before the word
-    key, width = mix(buf.astype(np.uint64), 31), 1
-    lone = mix(np.array([32], np.uint64), 31)[0]  # the blank before a word, without what is before it
-    while width < GRAM:  # windows of 2, 4, ... bytes from two halves; none reaches before the blank
-        back = np.zeros(len(buf), np.uint64)
-        back[width:] = key[:-width] if width < len(buf) else 0
-        back[since == width] = lone
-        key = np.where(since >= width, mix(key + back * np.uint64(0xD6E8FEB86659FD93), width), key)
-        width *= 2
-    own = np.flatnonzero((n > 0) & ((since >= LEAST) | blank))
-    return signed(key[own]), np.searchsorted(kept[own], ends)
-
-
-def _numbers(key: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """How many different expressions each text has."""
-    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    both = np.sort((mix(key.view(np.uint64), 4) >> np.uint64(24)) | (doc.astype(np.uint64) << np.uint64(40)))
-    new = np.r_[True, both[1:] != both[:-1]] if len(both) else np.zeros(0, bool)
-    return np.bincount((both[new] >> np.uint64(40)).astype(np.int64), minlength=len(first) - 1)
-
-
-def _distinct(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, key) of every expression, once for each text that has it."""
-    order = np.lexsort((key, doc))
-    key, doc = key[order], doc[order]
-    new = np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])] if len(key) else np.zeros(0, bool)
-    return doc[new], key[new]
+_MEAN = "_m"
+
+
+def _letters(buf: np.ndarray) -> np.ndarray:
+    """Which bytes belong to words: ASCII letters and digits, and beyond ASCII all but Latin-1 signs and the general and CJK punctuation blocks."""
+    solid = ((buf >= 97) & (buf <= 122)) | ((buf >= 48) & (buf <= 57)) | (buf >= 128)
+    one, two = np.append(buf[1:], 32), np.append(buf[2:], [32, 32])[: len(buf)]
+    short = (buf == 0xC2) & (one >= 0xA0) & (one <= 0xBF)
+    long = ((buf == 0xE2) & (one <= 0x81) & (one >= 0x80) & (two >= 0x80)) | ((buf == 0xE3) & (one == 0x80))
+    for at, size in ((np.flatnonzero(short), 2), (np.flatnonzero(long), 3)):
+        for k in range(size):
+            solid[np.minimum(at + k, len(buf) - 1)] = False
+    return solid
+
+
+def _unspaced(buf: np.ndarray) -> np.ndarray:
+    """Which bytes begin a character of a script that sets no blanks (Thai, Lao, Burmese, Khmer, kana, Chinese)."""
+    one = np.append(buf[1:], 32)
+    thai = (buf == 0xE0) & (one >= 0xB8) & (one <= 0xBB)
+    khmer = (buf == 0xE1) & ((one >= 0x80) & (one <= 0x82) | (one >= 0x9E) & (one <= 0x9F))
+    return thai | khmer | (buf == 0xE2) & (one >= 0xBA) | (buf >= 0xE3) & (buf <= 0xE9) | (buf == 0xEF) & (one >= 0xA4) & (one <= 0xAB) | (buf == 0xF0) & (one >= 0xA0)
+
+
+class Expressions:
+    """The words of some texts: ``text`` and ``word`` number each place, ``keys`` has for each different word its own key and those of its beginnings (0: none)."""
+
+    def __init__(self, texts: list[bytes]):
+        sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
+        ends = np.append(0, np.cumsum(sizes))
+        buf = LOWER[np.frombuffer(b" ".join(texts) + b" ", np.uint8)] if texts else np.zeros(0, np.uint8)
+        solid = _letters(buf)
+        start = (buf & 0xC0) != 0x80  # of characters
+        lone = _unspaced(buf) & solid
+        after = np.zeros(len(buf), bool)  # the character after one of those is no part of its word
+        at = np.flatnonzero(start)
+        after[at[1:][lone[at[:-1]]]] = True
+        begins = solid & (np.append(True, ~solid[:-1])[: len(buf)] | (lone | after) & start)
+        begin = np.flatnonzero(begins)
+        stops = np.append(~solid[1:] | begins[1:], True)[: len(buf)] & solid
+        end = np.flatnonzero(stops) + 1
+        place = np.flatnonzero(solid)
+        rank = np.cumsum(solid) - solid  # of a byte among the bytes of words
+        total = np.zeros(len(place) + 1, np.uint64)
+        np.cumsum(_at(buf[place], place - np.repeat(begin, end - begin), 31), out=total[1:], dtype=np.uint64)
+        first, size = (rank[begin] if len(begin) else begin), end - begin
+        key = mix(total[first + size] - total[first] + size.astype(np.uint64), 31)
+        alone = lone[begin] if len(begin) else np.zeros(0, bool)
+        pair = np.append(alone[:-1] & alone[1:] & (end[:-1] == begin[1:]), False)[: len(begin)]
+        behind = np.append(False, pair[:-1])[: len(begin)]
+        key[:-1] = np.where(pair[:-1], mix(key[:-1] + key[1:] * np.uint64(0xD6E8FEB86659FD93), 32), key[:-1]) if len(key) else key[:-1]
+        kept = np.flatnonzero(pair | ~behind)  # the last of a run is in the pair before it
+        begin, end, first, size, alone = begin[kept], end[kept], first[kept], size[kept], alone[kept]
+        found, where, self.word = np.unique(key[kept], return_index=True, return_inverse=True)
+        self.text = np.searchsorted(ends, begin, side="right") - 1
+        self.length = np.bincount(self.text, minlength=len(texts))
+        letter = np.flatnonzero(start & solid)
+        index = np.searchsorted(letter, begin[where])
+        self.keys = np.zeros((1 + len(LEVELS), len(found)), np.int64)
+        self.keys[0] = signed(found)
+        for i, n in enumerate(LEVELS):
+            cut = letter[np.minimum(index + n, max(len(letter) - 1, 0))] if len(letter) else begin[where]
+            has = np.flatnonzero((index + n < len(letter)) & (cut < end[where]) & ~alone[where])
+            part = cut[has] - begin[where][has]
+            a = first[where][has]
+            self.keys[1 + i, has] = signed(mix(total[a + part] - total[a] + part.astype(np.uint64), 40 + n))
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """(text, word) once for each text that has the word."""
+        both = np.unique(self.text * max(self.keys.shape[1], 1) + self.word)
+        return both // max(self.keys.shape[1], 1), both % max(self.keys.shape[1], 1)
 
 
 class Table:
-    """Sorted keys with log-ratio columns (one for all folds, then one without each fold)."""
+    """Sorted keys with the log-ratios of all folds, then without each fold."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         order = np.argsort(keys)
         self.keys, self.values = keys[order], values[order]
-        self.some = np.zeros(1 << 24, bool)  # quick refusal by 24 bits of the key
-        self.some[self.keys & 0xFFFFFF] = True
 
-    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places in ``key`` that the table has, their rows)."""
-        live = np.flatnonzero(self.some[key & 0xFFFFFF])
-        at = np.minimum(np.searchsorted(self.keys, key[live]), max(len(self.keys) - 1, 0))
-        ok = self.keys[at] == key[live] if len(self.keys) else np.zeros(0, bool)
-        return live[ok], at[ok]
-
-
-def _gather(chosen):
-    """Documents (by class and fold) that have each expression: rows (_key, all, t0.., o0..); _key null has the sums.
-
-    chosen: None counts the expressions of documents with class 1, a broadcast Table those that it has.
-    What a task holds is merged and passed on beyond two million rows.
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """The row of each key, -1 where there is none."""
+        at = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
+        return np.where(self.keys[at] == key, at, -1) if len(self.keys) else np.full(len(key), -1)
+
+    def longest(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each word, or of its longest beginning."""
+        row = self.find(keys[0])
+        for level in keys[:0:-1]:
+            open_ = np.flatnonzero((row < 0) & (level != 0))
+            row[open_] = self.find(level[open_])
+        return row
+
+
+_CLASSES = [*[f"_t{f}" for f in range(FOLDS)], *[f"_o{f}" for f in range(FOLDS)]]
+_STEMS = [f"_k{n}" for n in LEVELS]
+_WORDS = "_key long, " + ", ".join(f"{c} long" for c in [*_STEMS, *_CLASSES])
+
+
+def _merged(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Rows of equal key added up; the columns between key and counts are the same for a key."""
+    keys, where, back = np.unique(np.concatenate([h[0] for h in held]), return_index=True, return_inverse=True)
+    counts = np.zeros((len(keys), held[0][-1].shape[1]), np.int64)
+    np.add.at(counts, back, np.concatenate([h[-1] for h in held]))
+    return keys, *[np.concatenate([h[i] for h in held])[where] for i in range(1, len(held[0]) - 1)], counts
+
+
+def _labelled_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of labelled documents with their beginnings, and in how many documents of each class and fold they are.  What a task holds is passed on beyond a million rows."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        keys, stems, counts = _merged(held)
+        for a in range(0, len(keys), 100_000):
+            b = slice(a, a + 100_000)
+            yield pa.record_batch([pa.array(keys[b]), *[pa.array(c) for c in stems[b].T.copy()], *[pa.array(c) for c in counts[b].T.copy()]], ["_key", *_STEMS, *_CLASSES])
+
+    for batch, texts in slices(batches, "_text", SLICE):
+        fold = batch.column("_fold").to_numpy(zero_copy_only=False) + np.where(batch.column("_class").to_numpy(zero_copy_only=False) == 1, 0, FOLDS)
+        x = Expressions(texts)
+        text, word = x.distinct()
+        counts = np.bincount(word * 2 * FOLDS + fold[text], minlength=x.keys.shape[1] * 2 * FOLDS).reshape(-1, 2 * FOLDS)
+        held.append((x.keys[0], x.keys[1:].T, counts))
+        if sum(len(h[0]) for h in held) > 500_000:
+            held = [_merged(held)]
+            if len(held[0][0]) > 1_000_000:
+                yield from rows()
+                held = []
+    if held:
+        yield from rows()
+
+
+def _shared(chosen):
+    """(_key, _all): in how many documents each word is found; the row without key has the sum over all words.
+
+    chosen: a broadcast Table of the words that are counted, or None for all.
     """
-    width = 1 + 2 * FOLDS
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        total = np.zeros(width, np.int64)
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys, back = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            out = np.zeros((len(keys), width), np.int64)
-            np.add.at(out, back, np.concatenate([c for _, c in held]))
-            return keys, out
-
+        held: list[tuple[np.ndarray, ...]] = []
+        total = 0
         for batch, texts in slices(batches, "_text", SLICE):
-            kind = batch.column("_class").fill_null(-1).to_numpy(zero_copy_only=False)
-            fold = batch.column("_fold").fill_null(0).to_numpy(zero_copy_only=False)
-            key, first = expressions(texts)
-            column = np.where(kind < 0, 0, 1 + fold + np.where(kind == 1, 0, FOLDS))
-            number = _numbers(key, first)
-            total[0] += number.sum()
-            total[1:] += np.bincount(column, weights=number, minlength=width).astype(np.int64)[1:]
-            at = np.arange(len(key)) if chosen is None else chosen.value.find(key)[0]
-            doc, key = _distinct(key[at], np.searchsorted(first, at, side="right") - 1)
-            column = column[doc]
-            keys, back = np.unique(key, return_inverse=True)
-            counts = np.bincount(back * width + column, minlength=len(keys) * width).reshape(-1, width)
-            counts[:, 0] = counts.sum(axis=1)
-            held.append((keys, counts))
-            if sum(len(k) for k, _ in held) > 1_000_000:
-                held = [merged()]
+            x = Expressions(texts)
+            _, word = x.distinct()
+            times = np.bincount(word, minlength=x.keys.shape[1])
+            total += len(word)
+            at = np.arange(len(times)) if chosen is None else np.flatnonzero(chosen.value.find(x.keys[0]) >= 0)
+            held.append((x.keys[0][at], times[at][:, None]))
+            if sum(len(h[0]) for h in held) > 1_000_000:
+                held = [_merged(held)]
                 if len(held[0][0]) > 2_000_000:
-                    yield from _rows(*held.pop())
+                    yield pa.record_batch([pa.array(held[0][0]), pa.array(held[0][1][:, 0])], ["_key", "_all"])
+                    held = []
         if held:
-            yield from _rows(*merged())
-        yield pa.record_batch([pa.array([None], pa.int64()), *[pa.array([v], pa.int64()) for v in total.tolist()]], _COUNTS)
+            keys, counts = _merged(held)
+            yield pa.record_batch([pa.array(keys), pa.array(counts[:, 0])], ["_key", "_all"])
+        yield pa.record_batch([pa.array([None], pa.int64()), pa.array([total], pa.int64())], ["_key", "_all"])
 
     return each
 
 
-_COUNTS = ["_key", "_all", *[f"_t{f}" for f in range(FOLDS)], *[f"_o{f}" for f in range(FOLDS)]]
-
-
-def _rows(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for a in range(0, len(keys), 100_000):
-        yield pa.record_batch([pa.array(keys[a : a + 100_000]), *[pa.array(c) for c in counts[a : a + 100_000].T.copy()]], _COUNTS)
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All columns but the text, with each expression of the text and its number of places: for the shuffled join."""
-    for batch, texts in slices(batches, "_text"):
-        key, first = expressions(texts)
-        doc = np.repeat(np.arange(len(texts)), np.diff(first))
-        order = np.lexsort((key, doc))
-        key, doc = key[order], doc[order]
-        head = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]) if len(key) else np.zeros(0, np.int64)
-        times = np.diff(np.r_[head, len(key)])
-        rest = batch.drop_columns(["_text"]).take(pa.array(doc[head]))
-        yield pa.record_batch([*rest.columns, pa.array(key[head]), pa.array(times), pa.array(np.diff(first)[doc[head]])], [*rest.schema.names, "_key", "_times", "_length"])
+_VARIANTS: dict[str, int | None] = {"": None} | {str(f): f for f in range(FOLDS)}  # models with all folds, and without fold f
+_RATIOS = [f"_r{v}" for v in _VARIANTS]
 
 
-_RATIOS = ["_r", *[f"_r{f}" for f in range(FOLDS)]]
+def _class_count(c: str, out: int | None) -> Column:
+    return sum((F.col(f"_{c}{f}") for f in range(FOLDS) if f != out), F.lit(0))
 
 
-def _kept(n: Column) -> Column:
-    return F.when(n <= 1, F.lit(0.0)).otherwise(n - F.lit(DISCOUNT))
+def _quotients(rows: DataFrame, total: float | None, ones: bool) -> DataFrame:
+    """The class quotients _q{class}{variant} of rows with counts _n.., shared counts _all and the quotients _b.. they back off to.
 
-
-def log_ratios(counts: DataFrame, sums: dict[str, float]) -> DataFrame:
-    """_key and log p(toxic) - log p(ordinary), by all folds (_r) and without fold f (_r0, ...).
-
-    p(expression | class) = t (max(n - discount, 0) + freed s) / N + (1 - t) p with n of the class's N counts, freed
-    all that discounts take off in the table, s and p the expression's part of the shared counts in the
-    table and in the corpus, and the trust t = e / (e + RARE) of e = N p expected counts.
+    total: sum of all shared counts, those of expressions outside the rows included.  ones: counts of one are
+    discounted wholly (continuation counts).
     """
-    folds = {"_r": None} | {f"_r{f}": f for f in range(FOLDS)}
-    n = {(r, c): sum((F.col(f"_{c}{f}") for f in range(FOLDS) if f != out), F.lit(0)) for r, out in folds.items() for c in "to"}
-    total = {(r, c): max(sum(sums[f"_{c}{f}"] for f in range(FOLDS) if f != out), 1.0) for r, out in folds.items() for c in "to"}
-    freed = counts.agg(F.sum("_all").alias("_all"), *[F.sum(v - _kept(v)).alias(r + c) for (r, c), v in n.items()]).first()
-    shared = F.col("_all") / F.lit(max(sums["_all"], 1.0))
-
-    def model(at: tuple[str, str]) -> Column:
-        kneser_ney = (_kept(n[at]) + F.lit(float(freed["".join(at)] or 0)) * F.col("_all") / F.lit(float(freed["_all"] or 1))) / F.lit(total[at])
-        expected = F.lit(total[at]) * shared
-        trust = expected / (expected + F.lit(RARE))
-        return trust * kneser_ney + (F.lit(1.0) - trust) * shared
-
-    return counts.select("_key", *[(F.log(model((r, "t"))) - F.log(model((r, "o")))).cast("float").alias(r) for r in folds])
-
-
-def likelihood_terms(ratio: np.ndarray) -> np.ndarray:
-    """log of (toxic class / ordinary class) for each expression and each of ``SHARES``."""
-    r = np.exp(ratio.astype(float))[:, None]
-    e = np.array(SHARES)
-    return np.log1p(e * (r - 1.0))
+    names = [f"{c}{v}" for v in _VARIANTS for c in "to"]
+    trust = TRUST_STEM if ones else TRUST_WORD
+
+    def kept(n: Column) -> Column:
+        rest = F.greatest(n - F.lit(DISCOUNT), F.lit(0.0))
+        return F.when(n <= 1, F.lit(0.0)).otherwise(rest) if ones else rest
+
+    sums = rows.agg(F.sum("_all").alias("_all"), *[F.sum(f"_n{x}").alias(f"n{x}") for x in names], *[F.sum(kept(F.col(f"_n{x}"))).alias(f"k{x}") for x in names]).first()
+    part = F.col("_all") / F.lit(float(sums["_all"] or 1))  # of what the table has
+    expected = F.col("_all") / F.lit(max(total, 1.0)) if total else part
+    out = []
+    for x in names:
+        n, k = float(sums[f"n{x}"] or 0), float(sums[f"k{x}"] or 0)
+        out.append(((kept(F.col(f"_n{x}")) + F.lit(n - k) * part + F.lit(trust) * F.col(f"_b{x}")) / (F.lit(n) * expected + F.lit(trust))).alias(f"_q{x}"))
+    return rows.select("_key", *out)
+
+
+def log_ratios(words: DataFrame, shared: DataFrame) -> DataFrame:
+    """_key and log p(toxic) - log p(ordinary) of words and beginnings, by all folds (_r) and without fold f (_r0, ...)."""
+    total = float(shared.where("_key IS NULL").agg(F.sum("_all")).first()[0] or 0)
+    counts = {f"{c}{v}": _class_count(c, out) for v, out in _VARIANTS.items() for c in "to"}
+    done: DataFrame | None = None
+    for i, stem in enumerate(_STEMS):  # from the shortest beginning to the longest
+        parent = F.first(_STEMS[i - 1]) if i else F.lit(0)
+        types = [F.sum((n > 0).cast("long")).alias(f"_n{x}") for x, n in counts.items()]
+        rows = words.where(F.col(stem) != 0).groupBy(F.col(stem).alias("_key")).agg(parent.cast("long").alias("_parent"), F.count(F.lit(1)).alias("_all"), *types)
+        level = scratch(_quotients(_backed(rows, done, list(counts)), None, True), f"stems-{i}")
+        done = level if done is None else done.unionByName(level)
+    rows = words.select("_key", F.coalesce(*[F.nullif(F.col(s), F.lit(0)) for s in reversed(_STEMS)], F.lit(0)).alias("_parent"), *[n.alias(f"_n{x}") for x, n in counts.items()])
+    every = _quotients(_backed(rows.join(shared, "_key"), done, list(counts)), total, False).unionByName(done)
+    return every.select("_key", *[(F.log(f"_qt{v}") - F.log(f"_qo{v}")).cast("float").alias(f"_r{v}") for v in _VARIANTS])
+
+
+def _backed(rows: DataFrame, done: DataFrame | None, names: list[str]) -> DataFrame:
+    """rows with the quotients of their _parent (1 at the root)."""
+    if done is None:
+        return rows.select("*", *[F.lit(1.0).alias(f"_b{x}") for x in names])
+    above = done.select(F.col("_key").alias("_parent"), *[F.col(f"_q{x}").alias(f"_b{x}") for x in names])
+    return rows.join(above, "_parent", "left").na.fill(1.0, [f"_b{x}" for x in names])
+
+
+def differences(term: np.ndarray, x: Expressions) -> np.ndarray:
+    """The difference of the two log-likelihoods of each text, by length: the mean of order ``ORDER`` of its words' ratios."""
+    n = np.maximum(x.length, 1)
+    return np.log1p(np.bincount(x.text, weights=np.expm1(ORDER * term), minlength=len(n)) / n) / ORDER
 
 
 def _score(table, text: int, fold: int | None = None):
-    """All columns and, after them, the length-normalised differences of the text in column number ``text``."""
+    """All columns and, after them, the difference of the text in column number ``text``."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = table.value
-        terms = None if fold is not None else likelihood_terms(t.values[:, 0])
         for batch, texts in slices(batches, text, SLICE):
-            key, first = expressions(texts)
-            at, row = t.find(key)
-            doc = np.searchsorted(first, at, side="right") - 1
-            if fold is None:
-                v = terms[row]
-            else:
-                v = likelihood_terms(t.values[row, 1 + batch.column(fold).to_numpy(zero_copy_only=False)[doc]])
-            length = np.maximum(np.diff(first), 1)
-            sums = [np.bincount(doc, weights=v[:, i], minlength=len(texts)) / length for i in range(len(SHARES))]
-            yield pa.record_batch([*batch.columns, *[pa.array(s) for s in sums]], [*batch.schema.names, *_LOGS])
+            x = Expressions(texts)
+            row = t.longest(x.keys)[x.word]
+            column = 0 if fold is None else 1 + batch.column(fold).to_numpy(zero_copy_only=False)[x.text]
+            term = np.where(row >= 0, t.values[row, column], 0.0).astype(float) if len(t.keys) else np.zeros(len(row))
+            yield pa.record_batch([*batch.columns, pa.array(differences(term, x))], [*batch.schema.names, _MEAN])
 
     return each
 
 
-def features(differences: np.ndarray) -> np.ndarray:
-    """Differences on a scale of shares, with their sign, in logarithms."""
-    d = differences / np.array(SHARES)
-    return np.sign(d) * np.log1p(np.abs(d))
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All columns but the text, with the keys of each different word of each text: for the shuffled join."""
+    for batch, texts in slices(batches, "_text", SLICE):
+        x = Expressions(texts)
+        width = max(x.keys.shape[1], 1)
+        both, times = np.unique(x.text * width + x.word, return_counts=True)
+        text, word = both // width, both % width
+        for level, key in enumerate(x.keys):
+            at = np.flatnonzero(key[word] != 0) if len(word) else word
+            rest = batch.drop_columns(["_text"]).take(pa.array(text[at]))
+            long = np.full(len(at), len(LEVELS) + 1 if level == 0 else level)
+            yield pa.record_batch([*rest.columns, pa.array(word[at]), pa.array(long), pa.array(key[word[at]] if len(at) else key[:0]), pa.array(times[at]), pa.array(x.length[text[at]])], [*rest.schema.names, "_word", "_level", "_key", "_times", "_length"])
 
 
 def logistic_regression(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -259,9 +324,10 @@ def logistic_regression(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> tu
 
 
 def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
-    """Slope (0 at least) and intercept of p = 1 / (1 + exp(-(a x + b)))."""
+    """Slope (0 at least) and intercept of p = 1 / (1 + exp(-(a x + b))); warns where the slope has to be 0."""
     a, b = logistic_regression(x.reshape(-1, 1), y, ridge)
     if len(x) and a[0] <= 0 and 0 < y.mean() < 1:
+        warnings.warn("values don't rise with the label: all scores are the label's share", stacklevel=2)
         return 0.0, float(np.log(y.mean() / (1 - y.mean())))
     return float(a[0]), b
 
@@ -286,69 +352,62 @@ def curve(x: Column, slope: float, intercept: float) -> Column:
 
 
 def _joined(rows: DataFrame, table: DataFrame, ratio: Column, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Differences by a shuffled join of the texts' expressions with the table.  rows: a column _text among others."""
+    """Differences by a shuffled join of the texts' words with the table.  rows: a column _text among others."""
     numbered = scratch(rows.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     small = numbered.select("_row", *extra, "_text")
-    found = small.mapInArrow(_windows, T.StructType([*[f for f in small.schema.fields if f.name != "_text"], *[T.StructField(c, T.LongType()) for c in ("_key", "_times", "_length")]]))
-    terms = [F.sum(F.col("_times") * F.log1p(F.lit(e) * (F.exp(ratio.cast("double")) - 1)) / F.col("_length")).alias(c) for e, c in zip(SHARES, _LOGS)]
-    sums = found.join(table, "_key").groupBy("_row").agg(*terms)
-    return numbered.join(sums, "_row", "left").drop("_row").na.fill(0.0, _LOGS)
+    more = [T.StructField(c, T.LongType()) for c in ("_word", "_level", "_key", "_times", "_length")]
+    found = small.mapInArrow(_candidates, T.StructType([*[f for f in small.schema.fields if f.name != "_text"], *more]))
+    words = found.join(table, "_key").groupBy("_row", "_word").agg(F.max_by(ratio.cast("double"), "_level").alias("_v"), F.first("_times").alias("_times"), F.first("_length").alias("_length"))
+    part = F.col("_times") / F.col("_length")
+    sums = words.groupBy("_row").agg((F.log1p(F.sum(part * F.expm1(F.col("_v") * ORDER))) / ORDER).alias(_MEAN))
+    return numbered.join(sums, "_row", "left").drop("_row").na.fill(0.0, [_MEAN])
+
+
+def _free(name: str, taken: list[str]) -> str:
+    while name.lower() in (t.lower() for t in taken):
+        name += "_"
+    return name
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, fold: int = 1, max_labelled: int = 65_536, broadcast_rows: int = 8_000_000) -> DataFrame:
     """All columns of ``docs``, then EVIDENCE (log odds) and SCORE."""
-    context = docs.sparkSession.sparkContext
+    context, names = docs.sparkSession.sparkContext, docs.columns
+    docs = docs.toDF(*[f"_s{i}" for i in range(len(names))])
+    text = names.index(text_col)
     sample = labelled_sample(labels, label_col, id_col, folds, fold, max_labelled)
     sample = scratch(sample.select("_lid", F.col("_label").alias("_class"), F.pmod(F.xxhash64("_lid", F.lit(99)), F.lit(FOLDS)).cast("int").alias("_fold")), "labelled")
-    rows = docs.select(F.col(id_col).cast("long").alias("_lid"), F.col(text_col).alias("_text"))
-    known = rows.join(F.broadcast(sample), "_lid")  # max_labelled ids at most
-    schema, sums = ", ".join(f"{c} long" for c in _COUNTS), [F.sum(c).alias(c) for c in _COUNTS[1:]]
-    n = {c: sum((F.col(f"_{c}{f}") for f in range(FOLDS)), F.lit(0)) for c in "to"}
-    toxic = known.where("_class = 1").select("_text", "_class", "_fold").mapInArrow(_gather(None), schema).groupBy("_key").agg(*sums)
-    keys = scratch(toxic.where(F.col("_key").isNull() | (n["t"] >= 2)).select("_key", n["t"].alias("_n")), "expressions")
-
-    def counted(rows: DataFrame, keys: DataFrame) -> DataFrame:
-        """Counts of the expressions in ``keys`` (broadcast as an array if they are few), and their sums."""
-        if keys.count() > broadcast_rows:
-            every = rows.mapInArrow(_gather(None), schema).groupBy("_key").agg(*sums)
-            return scratch(every.join(keys.withColumnRenamed("_key", "_k"), F.col("_key").eqNullSafe(F.col("_k")), "left_semi"), "counts")
-        found = keys.where("_key IS NOT NULL").toArrow().column("_key").to_numpy()
-        chosen = context.broadcast(Table(found, np.zeros((len(found), 0), np.float32)))
-        out = scratch(rows.mapInArrow(_gather(chosen), schema).groupBy("_key").agg(*sums), "counts")
+    rows = docs.select(F.col(f"_s{names.index(id_col)}").cast("long").alias("_lid"), F.col(f"_s{text}").alias("_text"))
+    known = rows.join(F.broadcast(sample), "_lid").select("_lid", "_class", "_fold", "_text")  # max_labelled ids at most
+    words = known.select("_text", "_class", "_fold").mapInArrow(_labelled_words, _WORDS)
+    words = scratch(words.groupBy("_key").agg(*[F.first(c).alias(c) for c in _STEMS], *[F.sum(c).alias(c) for c in _CLASSES]), "words")
+    size = words.count()
+    if size <= broadcast_rows:
+        chosen = context.broadcast(Table(words.select("_key").toArrow().column("_key").to_numpy(), np.zeros((size, 0), np.float32)))
+        shared = rows.select("_text").mapInArrow(_shared(chosen), "_key long, _all long")
+    else:
+        every = rows.select("_text").mapInArrow(_shared(None), "_key long, _all long")
+        shared = every.join(words.select("_key"), "_key", "left_semi").unionByName(every.where("_key IS NULL"))
+    shared = scratch(shared.groupBy("_key").agg(F.sum("_all").alias("_all")), "shared")
+    both = words.agg(*[F.sum(_class_count(c, None)).alias(c) for c in "to"]).first()
+    fits = bool(both["t"]) and bool(both["o"])
+    table = log_ratios(words, shared) if fits else words.select("_key", *[F.lit(0.0).cast("float").alias(r) for r in _RATIOS])
+    table = scratch(table, "log-ratios")
+    if size <= broadcast_rows:
         chosen.unpersist()
-        return out
-
-    # those of two toxic documents, in ordinary labelled documents: which speak for the toxic class?
-    ordinary = counted(known.where("_class = 0").select("_text", "_class", "_fold"), keys.select("_key"))
-    both_sums = ordinary.where("_key IS NULL").agg(F.sum(n["o"]).alias("o")).first()["o"] or 1, keys.where("_key IS NULL").agg(F.sum("_n").alias("t")).first()["t"] or 1
-    other = ordinary.select(F.col("_key").alias("_k"), n["o"].alias("_m"))
-    speaks = F.col("_n") / F.lit(float(both_sums[1])) >= F.lit(SPEAKS) * F.coalesce("_m", F.lit(0)) / F.lit(float(both_sums[0]))
-    keys = scratch(keys.join(other, F.col("_key").eqNullSafe(F.col("_k")), "left").where(F.col("_key").isNull() | speaks).select("_key"), "speaking")
-    everyone = rows.join(F.broadcast(sample), "_lid", "left").select("_text", "_class", "_fold")
-    counts = counted(everyone, keys)
-    small = keys.count() <= broadcast_rows
-    total = counts.where("_key IS NULL").first()
-    totals = {c: float(total[c] or 0) if total else 0.0 for c in _COUNTS[1:]}
-    both = all(sum(totals[f"_{c}{f}"] for f in range(FOLDS)) > 0 for c in "to")
-    table = log_ratios(counts.where("_key IS NOT NULL"), totals) if both else keys.where("_key IS NOT NULL").select("_key", *[F.lit(0.0).cast("float").alias(c) for c in _RATIOS])
-    if small:
+    if table.count() <= broadcast_rows:
         got = table.toArrow()
-        model = context.broadcast(Table(got.column("_key").to_numpy(), np.stack([got.column(c).to_numpy() for c in _RATIOS], axis=1)))
-        logs = [T.StructField(c, T.DoubleType()) for c in _LOGS]
-        known = known.select("_lid", "_class", "_fold", "_text")
-        seen = known.mapInArrow(_score(model, 3, 2), T.StructType([*known.schema.fields, *logs]))
-        scored = docs.mapInArrow(_score(model, docs.columns.index(text_col)), T.StructType([*docs.schema.fields, *logs]))
+        model = context.broadcast(Table(got.column("_key").to_numpy(), np.stack([got.column(r).to_numpy() for r in _RATIOS], axis=1)))
+        more = [T.StructField(_MEAN, T.DoubleType())]
+        seen = known.mapInArrow(_score(model, 3, 2), T.StructType([*known.schema.fields, *more]))
+        scored = docs.mapInArrow(_score(model, text), T.StructType([*docs.schema.fields, *more]))
     else:
-        table = scratch(table, "log-ratios")
-        seen = _joined(known, table, F.element_at(F.array(*[F.col(c) for c in _RATIOS[1:]]), F.col("_fold") + 1), ("_fold",))
-        scored = _joined(docs.withColumn("_text", F.col(text_col)), table, F.col("_r")).drop("_text")
-    fit = seen.groupBy("_lid").agg(F.first("_class").alias("_class"), *[F.first(c).alias(c) for c in _LOGS]).toArrow()  # max_labelled rows at most
-    x = np.stack([fit.column(c).to_numpy() for c in _LOGS], axis=1)
-    weights, evidence = logistic_regression(features(x), fit.column("_class").to_numpy().astype(float))
-    evidence = F.lit(evidence)
-    for w, share, c in zip(weights, SHARES, _LOGS):
-        evidence = evidence + F.lit(float(w)) * F.signum(c) * F.log1p(F.abs(F.col(c)) / F.lit(share))
-    return scored.withColumn(EVIDENCE, evidence).withColumn(SCORE, F.lit(1.0) / (F.exp(-F.col(EVIDENCE)) + 1)).drop(*_LOGS)
+        seen = _joined(known, table, F.element_at(F.array(*[F.col(r) for r in _RATIOS[1:]]), F.col("_fold") + 1), ("_fold",))
+        scored = _joined(docs.withColumn("_text", F.col(f"_s{text}")), table, F.col("_r")).drop("_text")
+    fit = seen.groupBy("_lid").agg(F.first("_class").alias("_class"), F.max(_MEAN).alias(_MEAN)).toArrow()  # max_labelled rows at most
+    slope, intercept = logistic_fit(fit.column(_MEAN).to_numpy(), fit.column("_class").to_numpy().astype(float), ridge=1e-4)
+    scored = scored.withColumn("_evidence", F.col(_MEAN) * F.lit(slope) + F.lit(intercept)).withColumn("_score", F.lit(1.0) / (F.exp(-F.col("_evidence")) + 1)).drop(_MEAN)
+    last = [*names, _free(EVIDENCE, names)]
+    return scored.toDF(*last, _free(SCORE, last))
 
 
 def op10(docs: DataFrame, labels: DataFrame) -> DataFrame:

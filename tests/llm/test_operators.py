@@ -547,40 +547,51 @@ def test_classifiers_on_odd_rows(spark, docs, rows, empty, op, column):
     assert op(docs, labels.where("false")).count() == len(rows)
 
 
-def test_toxicity_reads_whole_words():
-    """Words with one start differ, every byte of a run without blanks counts, and texts stay apart."""
-
-    def of(t):
-        return set(toxicity.expressions([t.encode()])[0].tolist())
-
-    for a, b in (("worthless", "worth"), ("pathetic", "path"), ("loser", "lose"), ("idiot", "idiom"), ("中文很好", "中文很坏"), ("ab", "ac")):
-        assert of(a) - of(b)
-    long = "这是一个没有空格的句子而且很长"
-    assert all(of(long) != of(long[:k] + "禁" + long[k + 1 :]) for k in range(len(long)))
-    texts = ["One two", "", "  \n", "idiot", "x", "中文 ok", ""]
-    key, first = toxicity.expressions([t.encode() for t in texts])
-    assert len(first) == len(texts) + 1 and first[-1] == len(key)
-    for t, a, b in zip(texts, first[:-1], first[1:]):
-        assert key[a:b].tolist() == toxicity.expressions([t.encode()])[0].tolist() and (b > a) == bool(t.strip())
-
-
-def windows_by_hand(t):
-    """The last 16 bytes of a word read so far, the blanks around it included, from its third byte and at its end."""
+def words_by_hand(t):
+    """Runs of letters and digits (beyond ASCII all but some blanks and punctuation), and pairs of neighbours in scripts without blanks."""
     out = []
-    for w in words_of("".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")):
-        b = b" " + w.encode() + b" "
-        out += [b[max(0, k - 15) : k + 1] for k in range(1, len(b)) if k >= 3 or k == len(b) - 1]
+    for run in re.findall("(?:[a-z0-9]|[^\x00-\x7f\x80-\xbf\u2000-\u207f\u3000-\u303f])+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")):
+        for part in re.findall("[\u0e00-\u0eff\u1000-\u10bf\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+|[^\u0e00-\u0eff\u1000-\u10bf\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+", run):
+            if ord(part[0]) >= 0xE00 and part[0] > "\u0dff" and re.match("[\u0e00-\u0eff\u1000-\u10bf\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]", part[0]):
+                out += [part[k : k + 2] for k in range(max(len(part) - 1, 1))]
+            else:
+                out.append(part)
     return out
 
 
+def test_toxicity_words():
+    """Words, their beginnings and lengths of texts, against plain strings; a text's words don't depend on its neighbours."""
+    texts = ["One two", "", "  \n", "idiot", "x", "\u4e2d\u6587\u5f88\u597d ok", "", "caf\u00e9\u201d \u201cna\u00efve\u00a0y", "\u0e44\u0e17\u0e22abc", "\u6f22", "a_b-c" * 3, "\u3001\u65e5\u672c\u3002", "pathetic pathway path", "w" * 40_000]
+    x = toxicity.Expressions([t.encode() for t in texts])
+    by_key = {}
+    for i, t in enumerate(texts):
+        own = toxicity.Expressions([t.encode()])
+        mine = x.keys[0][x.word[x.text == i]].tolist()
+        assert mine == own.keys[0][own.word].tolist() and x.length[i] == len(words_by_hand(t)) == len(mine), t
+        for w, k in zip(words_by_hand(t), mine):
+            assert by_key.setdefault(k, w) == w
+    assert len(by_key) == len({w for t in texts for w in words_by_hand(t)})
+    stems = {}
+    for at, k in enumerate(x.keys[0].tolist()):
+        w = by_key[k]
+        lone = ord(w[0]) >= 0xE00
+        for level, n in enumerate(toxicity.LEVELS):
+            stem = x.keys[1 + level, at]
+            assert (stem != 0) == (len(w) > n and not lone), w
+            if stem:
+                assert stems.setdefault(int(stem), w[:n]) == w[:n]
+    assert len(set(stems.values())) == len(stems)
+
+
 @pytest.mark.parametrize("broadcast_rows", [10**6, 0])
 def test_toxicity_by_hand(spark, tmp_path, broadcast_rows):
-    """Class models, likelihoods and differences of a small corpus against plain loops; both ways of meeting the table."""
+    """Quotients, terms and the evidence of a small corpus against plain loops; both ways of meeting the table."""
     import math
 
     rnd = random.Random(4)
     vocab = [f"word{i}" for i in range(30)]
-    rows = [(i, " ".join([rnd.choice(vocab) for _ in range(rnd.randint(1, 25))] + (["Vile"] * rnd.randint(1, 3) if i % 3 == 0 and i < 36 else []))) for i in range(40)] + [(40, None), (41, ""), (41, "twice vile"), (None, "vile")]
+    endings = ["er", "est", "ing", "ish", "ly", "ness", "ful"]
+    rows = [(i, " ".join([rnd.choice(vocab) for _ in range(rnd.randint(1, 25))] + (["Vile"] * rnd.randint(1, 3) + [f"grubby{rnd.choice(endings)}"] if i % 3 == 0 and i < 36 else []))) for i in range(40)] + [(40, None), (41, ""), (41, "twice vile"), (None, "vile"), (None, "grubbyhood")]
     labels = [(i, int(i % 3 == 0)) for i in range(36)]
     spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
     docs = spark.read.parquet(str(tmp_path / "d"))
@@ -588,38 +599,68 @@ def test_toxicity_by_hand(spark, tmp_path, broadcast_rows):
     known = {i: y for i, y in labels if zlib.crc32(str(i).encode()) % 3 != 1}
     every, by_class = Counter(), {0: Counter(), 1: Counter()}
     for i, t in rows:
-        for g in set(windows_by_hand(t)):
-            every[g] += 1
+        for w in set(words_by_hand(t)):
+            every[w] += 1
             if i in known:
-                by_class[known[i]][g] += 1
-    n = {c: sum(by_class[c].values()) for c in (0, 1)}
-    table = [g for g in every if by_class[1][g] >= 2 and by_class[1][g] / n[1] >= 2 * by_class[0][g] / n[0]]
-    whole, inside = sum(every.values()), sum(every[g] for g in table)
-    kept = lambda n: 0.0 if n <= 1 else n - 0.75
-
-    def model(c, g):
-        total = sum(by_class[c].values())
-        freed = sum(by_class[c][x] - kept(by_class[c][x]) for x in table)
-        p = every[g] / whole
-        trust = total * p / (total * p + 0.5)
-        return trust * (kept(by_class[c][g]) + freed * every[g] / inside) / total + (1 - trust) * p
-
-    ratio = {g: model(1, g) / model(0, g) for g in table}
-    assert max(ratio, key=ratio.get) in {b" vil", b" vile", b" vile "}
-    want = {}
-    for i, t in rows:
-        ws = windows_by_hand(t)
-        want[i, t] = [sum(math.log(1 - e + e * ratio.get(g, 1.0)) for g in ws) / max(len(ws), 1) for e in toxicity.SHARES]
-    logits = {(r.doc_id, r.text): r[toxicity.EVIDENCE] for r in got}
-    assert len(got) == len(rows) and logits[40, None] == logits[41, ""]
-    # the evidence is one linear function of the features of the differences
-    import numpy as np
+                by_class[known[i]][w] += 1
+    seen = set(by_class[0]) | set(by_class[1])
+    quotient = {0: {"": 1.0}, 1: {"": 1.0}}
+
+    def add(counts, shared, total, ones, trust, parent):
+        """Quotients of expressions by class counts and shared counts."""
+        kept = lambda n: 0.0 if ones and n <= 1 else max(n - 0.75, 0.0)
+        inside = sum(shared.values())
+        for c in (0, 1):
+            n = sum(counts[c].values())
+            freed = n - sum(kept(v) for v in counts[c].values())
+            for e, s in shared.items():
+                quotient[c][e] = (kept(counts[c][e]) + freed * s / inside + trust * quotient[c][parent(e)]) / (n * s / total + trust)
+
+    for level, n in enumerate(toxicity.LEVELS):
+        of = lambda words: Counter(w[:n] + "-" for w in words if len(w) > n)  # noqa: B023, E731
+        shared = of(seen)
+        add({c: of(by_class[c]) for c in (0, 1)}, shared, sum(shared.values()), True, toxicity.TRUST_STEM, lambda e: e[:-2] + "-" if level else "")  # noqa: B023
+    longest = lambda w: next((w[:n] + "-" for n in reversed(toxicity.LEVELS) if len(w) > n), "")
+    add(by_class, {w: every[w] for w in seen}, sum(every.values()), False, toxicity.TRUST_WORD, longest)
+    assert max(seen, key=lambda w: quotient[1][w] / quotient[0][w]).startswith(("vile", "grubby"))
+
+    def term(w):
+        e = w if w in seen else next((w[:n] + "-" for n in reversed(toxicity.LEVELS) if len(w) > n and w[:n] + "-" in quotient[1]), "")
+        return math.log(quotient[1][e] / quotient[0][e])
+
+    def difference(t):
+        ws = words_by_hand(t)
+        return math.log(sum(math.exp(3 * term(w)) for w in ws) / len(ws)) / 3 if ws else 0.0
+
+    pairs = [(difference(r.text), r[toxicity.EVIDENCE]) for r in got]
+    low, high = min(pairs), max(pairs)
+    slope = (high[1] - low[1]) / (high[0] - low[0])
+    assert slope > 0 and len(got) == len(rows)
+    assert all(abs(low[1] + slope * (x - low[0]) - y) < 1e-4 * (1 + abs(y)) for x, y in pairs)
+    assert difference("grubbyhood") > difference("word1") and "grubby-" in quotient[1]
+
+
+def test_beginnings_of_one_word_say_nothing(spark):
+    """Words that begin like a toxic word are clean, alone and at the end of clean documents; the toxic words aren't."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    clean = ["idiom", "pathway", "a path through the woods", "this is a common idiom of the language", "scumble the paint", "Moroni river", "losing the trashcan", ""]
+    toxic = ["idiot", "you idiot", "idiot scum", "stupid moron the", "what a pathetic loser"]
+    good = [r[0] for r in docs.join(labels, "doc_id").where("toxic = 0 AND length(text) BETWEEN 600 AND 4000").orderBy("doc_id").limit(40).select("text").collect()]
+    extra = [*clean, *good, *[f"{t} a path through idioms" for t in good]], [*toxic, *[f"{t} you pathetic idiot" for t in good]]
+    rows = [(10**12 * (1 + k) + i, t, "en", "x", 0) for k, texts in enumerate(extra) for i, t in enumerate(texts)]
+    scored = toxicity.score_documents(docs.unionByName(spark.createDataFrame(rows, docs.schema)), labels).where("doc_id >= 1000000000000")
+    got = {r.doc_id: r[toxicity.SCORE] for r in scored.select("doc_id", toxicity.SCORE).collect()}
+    assert len(got) == len(rows)
+    assert [t for i, t, *_ in rows if (got[i] >= 0.7) != (i >= 2 * 10**12)] == []
 
-    keys = list(want)
-    x = np.c_[toxicity.features(np.array([want[k] for k in keys])), np.ones(len(keys))]
-    y = np.array([logits[k] for k in keys])
-    assert np.abs(x @ np.linalg.lstsq(x, y, rcond=None)[0] - y).max() < 1e-2 * (1 + np.abs(y).max())
-    assert logits[None, "vile"] > logits[40, None]
+
+def test_toxicity_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(i, f"text {i % 7}", 1.5, "own", 2, 3) for i in range(30)], "doc_id long, text string, _m double, toxicity_score string, _s0 int, _key int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+    got = toxicity.score_documents(df, labels)
+    assert got.columns == [*df.columns, "toxicity_evidence", "toxicity_score_"] and {r.toxicity_score for r in got.collect()} == {"own"}
+    assert all(0 <= r.toxicity_score_ <= 1 for r in got.collect())
 
 
 def auc(pairs):
@@ -637,7 +678,7 @@ def test_held_out_accuracy(spark, op, column, least):
     assert auc([(r.score, r[column]) for r in got]) >= least
 
 
-@pytest.mark.parametrize("scale, least, false", [("sf0.01", 0.5, 3), ("sf0.1", 0.8, 12)])
+@pytest.mark.parametrize("scale, least, false", [("sf0.01", 0.8, 1), ("sf0.1", 0.9, 2)])
 def test_toxicity_decisions_held_out(spark, scale, least, false):
     d = f"/root/testdata/{scale}"
     labels = spark.read.parquet(f"{d}/labels.parquet")
@@ -661,6 +702,23 @@ def test_row_names_last_over_passes(spark, tmp_path):
     assert len(before) == 1000 and before == after
 
 
+def test_derived_tables_are_stored(spark, tmp_path):
+    """A file's row that comes several times, or not again, gets names of its own: explode, joins, unions, samples."""
+    from pyspark.sql import functions as F
+
+    from rasterloom.llm.common import row_key, stored
+
+    spark.range(60).selectExpr("id AS doc_id", "concat('t', id) AS text").write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    twice = docs.withColumn("n", F.explode(F.array(F.lit(1), F.lit(2))))
+    for df, n in ((docs, 60), (docs.where("doc_id > 9").withColumn("x", F.lit(1)), 50), (twice, 120), (docs.join(spark.range(3).toDF("k")), 180), (docs.unionByName(docs), 120), (docs.sample(0.5), None), (docs.where(F.rand() < 0.5), None), (docs.distinct(), 60)):
+        kept = stored(df)
+        rows = kept.select(row_key(kept).alias("k"), "doc_id").collect()
+        assert len({r.k for r in rows}) == len(rows) and n in (None, len(rows))
+        assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in kept.select("doc_id").collect())
+    assert stored(docs) is docs and stored(twice) is not twice
+
+
 def test_near_dedup_texts_by_join(docs, monkeypatch):
     """Beyond MOST_SENT nodes texts are joined, not met by a broadcast; the result is the same."""
     names = ("doc_id", "n_shingles", "component_id", "kept")

@@ -65,3 +65,27 @@ def test_run_and_empty(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact dedup", "near dedup", "mixing", "packing"]
     assert words_of(None) == []
+
+
+def test_stages_on_derived_tables(spark, tmp_path):
+    """Stages called with rows that an explode, a join, a union or a sample makes of files' rows."""
+    from pyspark.sql import functions as F
+
+    from rasterloom.llm import stages
+
+    long = [" ".join(f"w{k}{i}" for i in range(40)) for k in range(3)]
+    spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(long)], "doc_id long, text string, lang string, source string, n_chars int").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    two = spark.range(2).toDF("_k")
+    forms = {
+        "explode": docs.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(1)))).drop("_k"),
+        "join": docs.join(two).drop("_k"),
+        "union": docs.unionByName(docs),
+        "sample": docs.unionByName(docs).sample(1.0),
+    }
+    for name, df in forms.items():
+        for stage in (stages.drop_copies, stages.drop_near_copies):
+            got = stage(spark, df, str(tmp_path))
+            assert sorted(r.doc_id for r in got.collect()) == [0, 1, 2] and got.columns == docs.columns, (name, stage)
+        times = Counter(r.doc_id for r in stages.mix_sources(spark, df, str(tmp_path)).collect())
+        assert set(times) <= {0, 1, 2} and max(times.values()) <= 4, name

@@ -32,6 +32,7 @@ get underscores where their names are taken.  An empty table gives an empty resu
 
 from __future__ import annotations
 
+import gc
 import warnings
 from collections.abc import Iterator
 
@@ -126,7 +127,7 @@ class Table:
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         order = np.argsort(keys)
-        self.keys, self.values = keys[order], values[order]
+        self.keys, self.values = keys[order], values[order] if values.shape[1] else values
 
     def find(self, key: np.ndarray) -> np.ndarray:
         """The row of each key, -1 where there is none."""
@@ -270,15 +271,31 @@ def differences(term: np.ndarray, x: Expressions) -> np.ndarray:
     return np.log1p(np.bincount(x.text, weights=np.expm1(ORDER * term), minlength=len(n)) / n) / ORDER
 
 
+def _arrays(df: DataFrame, kinds: list[str]) -> list[np.ndarray]:
+    """A bounded table's columns on the driver, without what Arrow holds of it."""
+    rows = df.toArrow()
+    out = [rows.column(i).to_numpy().astype(kind) for i, kind in enumerate(kinds)]
+    del rows
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    return out
+
+
+def _model(table: DataFrame, ratios: list[str]):
+    """Broadcast Table of the given log-ratios."""
+    keys, *values = _arrays(table.select("_key", *ratios), ["i8", *["f4"] * len(ratios)])
+    return table.sparkSession.sparkContext.broadcast(Table(keys, np.stack(values, axis=1) if values else np.zeros((len(keys), 0), np.float32)))
+
+
 def _score(table, text: int, fold: int | None = None):
-    """All columns and, after them, the difference of the text in column number ``text``."""
+    """All columns and, after them, the difference of the text in column number ``text``; by models without the fold in column ``fold``, if that is given."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = table.value
         for batch, texts in slices(batches, text, SLICE):
             x = Expressions(texts)
             row = t.longest(x.keys)[x.word]
-            column = 0 if fold is None else 1 + batch.column(fold).to_numpy(zero_copy_only=False)[x.text]
+            column = 0 if fold is None else batch.column(fold).to_numpy(zero_copy_only=False)[x.text]
             term = np.where(row >= 0, t.values[row, column], 0.0).astype(float) if len(t.keys) else np.zeros(len(row))
             yield pa.record_batch([*batch.columns, pa.array(differences(term, x))], [*batch.schema.names, _MEAN])
 
@@ -371,7 +388,7 @@ def _free(name: str, taken: list[str]) -> str:
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, fold: int = 1, max_labelled: int = 65_536, broadcast_rows: int = 8_000_000) -> DataFrame:
     """All columns of ``docs``, then EVIDENCE (log odds) and SCORE."""
-    context, names = docs.sparkSession.sparkContext, docs.columns
+    names = docs.columns
     docs = docs.toDF(*[f"_s{i}" for i in range(len(names))])
     text = names.index(text_col)
     sample = labelled_sample(labels, label_col, id_col, folds, fold, max_labelled)
@@ -382,7 +399,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     words = scratch(words.groupBy("_key").agg(*[F.first(c).alias(c) for c in _STEMS], *[F.sum(c).alias(c) for c in _CLASSES]), "words")
     size = words.count()
     if size <= broadcast_rows:
-        chosen = context.broadcast(Table(words.select("_key").toArrow().column("_key").to_numpy(), np.zeros((size, 0), np.float32)))
+        chosen = _model(words, [])
         shared = rows.select("_text").mapInArrow(_shared(chosen), "_key long, _all long")
     else:
         every = rows.select("_text").mapInArrow(_shared(None), "_key long, _all long")
@@ -395,16 +412,19 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     if size <= broadcast_rows:
         chosen.unpersist()
     if table.count() <= broadcast_rows:
-        got = table.toArrow()
-        model = context.broadcast(Table(got.column("_key").to_numpy(), np.stack([got.column(r).to_numpy() for r in _RATIOS], axis=1)))
         more = [T.StructField(_MEAN, T.DoubleType())]
-        seen = known.mapInArrow(_score(model, 3, 2), T.StructType([*known.schema.fields, *more]))
-        scored = docs.mapInArrow(_score(model, text), T.StructType([*docs.schema.fields, *more]))
+        without = _model(table, _RATIOS[1:])
+        seen = known.mapInArrow(_score(without, 3, 2), T.StructType([*known.schema.fields, *more])).groupBy("_lid").agg(F.first("_class").alias("_class"), F.max(_MEAN).alias(_MEAN))
+        mean, kind = _arrays(seen.select(_MEAN, "_class"), ["f8", "f8"])  # max_labelled rows at most
+        without.unpersist()
+        del without
+        scored = docs.mapInArrow(_score(_model(table, _RATIOS[:1]), text), T.StructType([*docs.schema.fields, *more]))
     else:
         seen = _joined(known, table, F.element_at(F.array(*[F.col(r) for r in _RATIOS[1:]]), F.col("_fold") + 1), ("_fold",))
+        seen = seen.groupBy("_lid").agg(F.first("_class").alias("_class"), F.max(_MEAN).alias(_MEAN))
+        mean, kind = _arrays(seen.select(_MEAN, "_class"), ["f8", "f8"])
         scored = _joined(docs.withColumn("_text", F.col(f"_s{text}")), table, F.col("_r")).drop("_text")
-    fit = seen.groupBy("_lid").agg(F.first("_class").alias("_class"), F.max(_MEAN).alias(_MEAN)).toArrow()  # max_labelled rows at most
-    slope, intercept = logistic_fit(fit.column(_MEAN).to_numpy(), fit.column("_class").to_numpy().astype(float), ridge=1e-4)
+    slope, intercept = logistic_fit(mean, kind, ridge=1e-4)
     scored = scored.withColumn("_evidence", F.col(_MEAN) * F.lit(slope) + F.lit(intercept)).withColumn("_score", F.lit(1.0) / (F.exp(-F.col("_evidence")) + 1)).drop(_MEAN)
     last = [*names, _free(EVIDENCE, names)]
     return scored.toDF(*last, _free(SCORE, last))

@@ -1,4 +1,7 @@
-"""Container parsing: header, directories, entries and their values.  Pure functions on bytes."""
+"""Container parsing: header, directories, entries and their values.
+
+``content`` is bytes, or anything with a length whose slices are bytes (ranges of a file).
+"""
 
 from __future__ import annotations
 
@@ -66,20 +69,24 @@ class Entry:
         return self.data.split(b"\0", 1)[0].decode("utf-8", "replace")
 
 
+def _unpack(form: str, content: bytes, at: int) -> tuple:
+    return struct.unpack(form, content[at : at + struct.calcsize(form)])
+
+
 def parse_header(content: bytes) -> Header:
     if len(content) < 8:
         raise Invalid("shorter than a header")
     order = {b"II": "<", b"MM": ">"}.get(content[:2])
     if order is None:
         raise Invalid("no byte order mark")
-    (magic,) = struct.unpack_from(f"{order}H", content, 2)
+    (magic,) = _unpack(f"{order}H", content, 2)
     if magic == 42:
-        return Header(order, False, struct.unpack_from(f"{order}I", content, 4)[0])
+        return Header(order, False, _unpack(f"{order}I", content, 4)[0])
     if magic != 43:
         raise Invalid(f"magic number {magic}")
     if len(content) < 16:
         raise Invalid("shorter than a BigTIFF header")
-    size, zero, first = struct.unpack_from(f"{order}HHQ", content, 4)
+    size, zero, first = _unpack(f"{order}HHQ", content, 4)
     if size != 8 or zero:
         raise Invalid("BigTIFF offset size")
     return Header(order, True, first)
@@ -92,26 +99,27 @@ def parse_directory(content: bytes, header: Header, offset: int) -> tuple[list[E
     head_size = struct.calcsize(f"={head}")
     if offset + head_size > total:
         raise Invalid("directory lies outside the file")
-    (count,) = struct.unpack_from(f"{o}{head}", content, offset)
+    (count,) = _unpack(f"{o}{head}", content, offset)
     start = offset + head_size
     tail = start + count * step
     if tail + slot > total:
         raise Invalid("directory is cut off")
     entries = []
+    table = content[start : tail + slot]
     for k in range(count):
         at = start + k * step
-        tag, kind, n = struct.unpack_from(f"{o}HH{'Q' if header.big else 'I'}", content, at)
+        tag, kind, n = struct.unpack_from(f"{o}HH{'Q' if header.big else 'I'}", table, at - start)
         place = at + step - slot
         if kind not in FIELD_TYPES:
             entries.append(Entry(tag, kind, n, content[place : place + slot], o))
             continue
         size = FIELD_TYPES[kind][1] * n
         if size > slot:
-            (place,) = struct.unpack_from(f"{o}{next_form}", content, place)
+            (place,) = struct.unpack_from(f"{o}{next_form}", table, place - start)
         if place + size > total:
             raise Invalid(f"tag {tag}: value lies outside the file")
         entries.append(Entry(tag, kind, n, content[place : place + size], o))
-    return entries, struct.unpack_from(f"{o}{next_form}", content, tail)[0]
+    return entries, struct.unpack_from(f"{o}{next_form}", table, tail - start)[0]
 
 
 def walk(content: bytes) -> list[tuple[int, list[Entry]]]:

@@ -259,14 +259,18 @@ def assemble(content: bytes, entries: list[Entry], lay: Layout) -> np.ndarray:
     return np.concatenate(planes, axis=2) if len(planes) > 1 else planes[0]
 
 
-def colour(s: np.ndarray, lay: Layout, entries: list[Entry]) -> tuple[str, np.ndarray]:
-    """(pixel format, values) of assembled samples."""
+def tagged_bounds(entries: list[Entry]) -> tuple[float | None, float | None]:
+    """Display bounds that the page's tags give; None where there is none or it isn't finite."""
+    found = [next(iter(e.floats()), None) if e else None for e in (find(entries, t) for t in (K.S_MIN, K.S_MAX))]
+    return tuple(v if v is not None and np.isfinite(v) else None for v in found)
+
+
+def colour(s: np.ndarray, lay: Layout, entries: list[Entry], bounds: tuple[float | None, float | None] | None = None) -> tuple[str, np.ndarray]:
+    """(pixel format, values) of assembled samples.  bounds: those of the page, if s is a part of it."""
     p, n, bits = lay.photometric, lay.samples, lay.bits
     invert = p == K.WHITE_IS_ZERO
     if lay.kind == "float":
-        bounds = [find(entries, t) for t in (K.S_MIN, K.S_MAX)]
-        low, high = (next(iter(e.floats()), None) if e else None for e in bounds)
-        g = pixels.float_to_gray(s, low, high)
+        g = pixels.float_to_gray(s, *(bounds or tagged_bounds(entries)))
         return ("Rgb24", g) if n == 3 else ("Gray8", 255 - g if invert else g)
     if p in (K.WHITE_IS_ZERO, K.BLACK_IS_ZERO, K.MASK) and n == 1:
         if p == K.MASK and bits != 1:
@@ -331,8 +335,8 @@ def _jpeg_page(content: bytes, entries: list[Entry], lay: Layout) -> tuple[str,
     return ("Gray8" if gray else "Rgb24"), out
 
 
-def _jpeg_old_page(content: bytes, entries: list[Entry], lay: Layout) -> tuple[str, np.ndarray]:
-    """One interchange stream for the whole image; the form with separate tables is recognised and refused."""
+def old_jpeg_stream(entries: list[Entry], total: int) -> tuple[int, int]:
+    """(offset, size) of an old-style page's one interchange stream; the form with separate tables is recognised and refused."""
     process = number(entries, K.JPEG_PROC, 1)
     if process not in (1, 14):
         raise Invalid(f"JPEGProc {process}")
@@ -344,10 +348,13 @@ def _jpeg_old_page(content: bytes, entries: list[Entry], lay: Layout) -> tuple[s
         raise Unsupported("old-style JPEG with separate tables")
     if process == 14:
         raise Unsupported("lossless JPEG")
-    size = number(entries, K.JPEG_LENGTH, len(content) - start)
-    if start + size > len(content) or size < 4:
+    size = number(entries, K.JPEG_LENGTH, total - start)
+    if start + size > total or size < 4:
         raise Invalid("the JPEG stream lies outside the file")
-    stream = content[start : start + size]
+    return start, size
+
+
+def old_jpeg_colour(stream: bytes, lay: Layout) -> tuple[str, np.ndarray]:
     last = stream.rfind(b"\xff\xd9")
     if stream[:2] != b"\xff\xd8" or last < 0:
         raise Invalid("the JPEG stream has no start or end marker")
@@ -363,7 +370,8 @@ def decode_page(content: bytes, entries: list[Entry], order: str) -> Image:
     if lay.compression == "jpeg":
         name, v = _jpeg_page(content, entries, lay)
     elif lay.compression == "jpeg_old":
-        name, v = _jpeg_old_page(content, entries, lay)
+        start, size = old_jpeg_stream(entries, len(content))
+        name, v = old_jpeg_colour(content[start : start + size], lay)
     else:
         name, v = colour(assemble(content, entries, lay), lay, entries)
     v = pixels.orient(v, lay.orientation)
@@ -371,6 +379,71 @@ def decode_page(content: bytes, entries: list[Entry], order: str) -> Image:
     return Image(v.shape[1], v.shape[0], name, np.ascontiguousarray(v, kind).tobytes())
 
 
+# ------------------------------------------------------------------ a page by its segments
+
+PAGE_TAGS = (K.WIDTH, K.LENGTH, K.BITS_PER_SAMPLE, K.COMPRESSION, K.PHOTOMETRIC, K.FILL_ORDER, K.ORIENTATION, K.SAMPLES_PER_PIXEL, K.ROWS_PER_STRIP, K.PLANAR, K.T4_OPTIONS, K.T6_OPTIONS)
+PAGE_TAGS += (K.PREDICTOR, K.COLOR_MAP, K.TILE_WIDTH, K.TILE_LENGTH, K.EXTRA_SAMPLES, K.SAMPLE_FORMAT, K.S_MIN, K.S_MAX, K.JPEG_TABLES, K.YCBCR_SUBSAMPLING)
+
+
+@dataclass(frozen=True)
+class Block:
+    """What one task decodes: the segments of all planes at one place of a page."""
+
+    index: int
+    x: int
+    y: int
+    width: int
+    height: int
+    parts: list[Segment]
+
+
+def list_blocks(entries: list[Entry], lay: Layout, total: int) -> list[Block]:
+    """The page's blocks: a strip or tile each, with its segment of every plane."""
+    if lay.compression == "jpeg_old":
+        start, size = old_jpeg_stream(entries, total)
+        return [Block(0, 0, 0, lay.width, lay.height, [Segment(0, 0, 0, 0, lay.width, lay.height, lay.width, lay.height, start, size)])]
+    segments = list_segments(entries, lay, total)
+    places = sum(s.plane == 0 for s in segments)
+    return [Block(s.index, s.x, s.y, s.seen_width, s.seen_height, [o for o in segments[s.index :: places]]) for s in segments[:places]]
+
+
+def block_samples(lay: Layout, parts: list[Segment], raw: list[bytes]) -> np.ndarray:
+    """(rows, columns, samples) of a block: what of it lies inside the page."""
+    planes = []
+    for part, data in zip(parts, raw):
+        s = segment_samples(lay, part, data)[: part.seen_height, : part.seen_width]
+        if lay.planar and lay.units and part.plane:
+            s = np.repeat(np.repeat(s, lay.units[1], axis=0), lay.units[0], axis=1)[: parts[0].seen_height, : parts[0].seen_width]
+        planes.append(s)
+    return np.concatenate(planes, axis=2) if len(planes) > 1 else planes[0]
+
+
+def block_image(lay: Layout, entries: list[Entry], parts: list[Segment], raw: list[bytes], bounds: tuple[float | None, float | None] | None = None) -> tuple[str, int, int, np.ndarray]:
+    """(pixel format, x, y, values) of a block in display order."""
+    first = parts[0]
+    gray = lay.photometric in (K.WHITE_IS_ZERO, K.BLACK_IS_ZERO)
+    if lay.compression == "jpeg_old":
+        name, v = old_jpeg_colour(raw[0], lay)
+    elif lay.compression == "jpeg":
+        if lay.bits != 8:
+            raise Unsupported("JPEG of other than 8 bits")
+        tables = find(entries, K.JPEG_TABLES)
+        picture = jpeg.decode(jpeg.splice(tables.data if tables else None, raw[0]))
+        if picture.width < first.seen_width or picture.height < first.seen_height:
+            raise Invalid("a JPEG segment is smaller than its place")
+        name, v = ("Gray8" if gray else "Rgb24"), _jpeg_colour(picture, lay)[: first.seen_height, : first.seen_width]
+    else:
+        name, v = colour(block_samples(lay, parts, raw), lay, entries, bounds)
+    h, w = v.shape[:2]
+    o = lay.orientation
+    x = lay.width - first.x - w if o in (2, 3) else first.x
+    y = lay.height - first.y - h if o in (3, 4) else first.y
+    if o >= 5:  # sides are swapped: stored rows run across
+        x = lay.height - first.y - h if o in (6, 7) else first.y
+        y = lay.width - first.x - w if o in (7, 8) else first.x
+    return name, x, y, pixels.orient(v, o)
+
+
 def decode_at(content: bytes, offset: int | None = None) -> tuple[Image, list[Entry]]:
     """The first page, or that whose directory is at ``offset``."""
     header = parse_header(content)

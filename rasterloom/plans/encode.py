@@ -238,13 +238,13 @@ def _aux(slots: Sequence[Slot], big: bool) -> list[Slot]:
 
 class Writer:
     def __init__(self, big: bool):
-        self.big = big
+        self.big, self.base = big, 0  # base: where ``out`` begins in the file
         self.out = bytearray(struct.pack("<2sHHHQ", b"II", 43, 8, 0, 0) if big else struct.pack("<2sHI", b"II", 42, 0))
         self.link = 8 if big else 4  # where the next directory's offset goes
 
     def blob(self, data: bytes, align: int = 2) -> int:
-        self.out += bytes(-len(self.out) % align)
-        at = len(self.out)
+        self.out += bytes(-(self.base + len(self.out)) % align)
+        at = self.base + len(self.out)
         self.out += data
         return at
 
@@ -258,7 +258,7 @@ class Writer:
             value = data.ljust(room, b"\0") if len(data) <= room else struct.pack("<Q" if self.big else "<I", self.blob(data))
             body += struct.pack("<HHQ" if self.big else "<HHI", tag, kind, count) + value
         at = self.blob(struct.pack("<Q" if self.big else "<H", len(slots)) + body + bytes(room))
-        return at, len(self.out) - room
+        return at, self.base + len(self.out) - room
 
     def page(self, p: Page, depth: int = 0) -> tuple[int, int]:
         if depth > MAX_DEPTH:

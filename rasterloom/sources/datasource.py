@@ -3,9 +3,10 @@
     spark.dataSource.register(TiffSource)
     spark.read.format("tiff").option("relation", "pages").load("/folder")
 
-relation: pages (default), meta, ifds or segments.  Options: pages (all, first), ifd_offset, mode.
-A filter on ``path`` or ``page_index`` reaches the reader.  The source reads paths that every
-executor sees through its file system; for other stores use ``relations.files``.
+relation: pages (default), meta, ifds, segments or plan (blocks without their bytes, for ``relations.tiles``).  Options: pages
+(all, first), ifd_offset, mode.  A filter on ``path`` or ``page_index`` reaches the reader.  Files are read by ranges: a relation costs the
+header, the directories and what it decodes.  Paths are those that every executor sees; for stores that only Spark
+reads use ``relations.files``.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, InputPartition, WriterCommitMessage
 
 from . import relations as R
+from .ranges import RangeBytes, listing
 
 FILES_PER_TASK = 16
 EXTENSIONS = (".tif", ".tiff")
@@ -34,13 +36,6 @@ class Written(WriterCommitMessage):
     moves: list[tuple[str, str]]
 
 
-def _list(path: str) -> list[str]:
-    path = path.removeprefix("file://")
-    if os.path.isfile(path):
-        return [path]
-    return sorted(os.path.join(d, f) for d, _, names in os.walk(path) for f in names if f.lower().endswith(EXTENSIONS) and not f.startswith(("_", ".")))
-
-
 class TiffReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
@@ -56,7 +51,7 @@ class TiffReader(DataSourceReader):
             yield f  # Spark checks again, so the reader may also read too much
 
     def partitions(self) -> list[FileGroup]:
-        paths = [p for p in _list(self.options["path"]) if self.path_is is None or p == self.path_is.removeprefix("file://")]
+        paths = [p for p in listing(self.options["path"], EXTENSIONS) if self.path_is is None or p == self.path_is.removeprefix("file://")]
         return [FileGroup(paths[a : a + FILES_PER_TASK]) for a in range(0, len(paths), FILES_PER_TASK)]
 
     def read(self, partition: FileGroup) -> Iterator[pa.RecordBatch]:
@@ -68,18 +63,23 @@ class TiffReader(DataSourceReader):
             "meta": (lambda p, c: R.page_rows(p, c, which, offset, pixels=False), R.META),
             "ifds": (R.ifd_rows, R.IFDS),
             "segments": (R.segment_rows, R.SEGMENTS),
+            "plan": (lambda p, c: R.plan_rows(p, c, raw=False), R.PLAN),
         }[o.get("relation", "pages")]
         mode = o.get("mode", "PERMISSIVE").upper()
         for path in partition.paths:
-            with open(path, "rb") as f:
-                batch = pa.record_batch([pa.array([path]), pa.array([f.read()], pa.binary())], ["path", "content"])
-            for out in R._mapped(rows_of, ddl)(iter([batch])):
+            for out in self._rows(path, rows_of, ddl):
                 bad = [s != "ok" for s in out.column("_status").to_pylist()]
                 if any(bad) and mode == "FAILFAST":
                     raise ValueError(f"{path}: {out.column('_error').to_pylist()[bad.index(True)]}")
                 yield out.filter(pa.array([not b for b in bad])) if mode == "DROPMALFORMED" else out
 
 
+    @staticmethod
+    def _rows(path: str, rows_of, ddl: str) -> Iterator[pa.RecordBatch]:
+        with RangeBytes(path) as content:
+            yield from R.arrow_rows(rows_of(path, content), ddl)
+
+
 class TiffWriter(DataSourceWriter):
     """Rows (path, content): each file is written under a temporary name and renamed when all tasks are done."""
 
@@ -126,7 +126,7 @@ class TiffSource(DataSource):
         return "tiff"
 
     def schema(self) -> str:
-        return {"pages": R.PAGES, "meta": R.META, "ifds": R.IFDS, "segments": R.SEGMENTS}[self.options.get("relation", "pages")]
+        return {"pages": R.PAGES, "meta": R.META, "ifds": R.IFDS, "segments": R.SEGMENTS, "plan": R.PLAN}[self.options.get("relation", "pages")]
 
     def reader(self, schema) -> TiffReader:
         return TiffReader(dict(self.options))

@@ -19,6 +19,7 @@ from ..functions import constants as K
 from ..operators import container, decode
 from ..operators import metadata as meta
 from ..operators.errors import RasterError
+from .ranges import RangeBytes
 
 RATIO = "struct<num: bigint, den: bigint>"
 METADATA = (
@@ -38,6 +39,12 @@ SEGMENTS = (
     "path string, page_index int, plane int, seg_index int, x0 int, y0 int, seg_w int, seg_h int, vis_w int, vis_h int, offset bigint, nbytes bigint, "
     "expected_len bigint, compression string, raw binary, _status string, _error string"
 )
+PART = "struct<plane: int, index: int, x: int, y: int, width: int, height: int, seen_width: int, seen_height: int, offset: bigint, size: bigint, data: binary>"
+PLAN = (
+    "path string, page_index int, seg_index int, n_blocks int, x0 int, y0 int, width int, height int, byte_order string, "
+    f"tags array<struct<tag: int, field_type: int, count: bigint, data: binary>>, parts array<{PART}>, open_bounds boolean, _status string, _error string"
+)
+TILES = "path string, page_index int, seg_index int, x0 int, y0 int, width int, height int, pixel_format string, data binary, _status string, _error string"
 
 
 def files(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
@@ -143,20 +150,46 @@ def segment_rows(path: str, content: bytes) -> Iterator[dict]:
         yield dict.fromkeys(names) | {"path": path, "_status": e.status, "_error": str(e)}
 
 
+def plan_rows(path: str, content: bytes, raw: bool = True) -> Iterator[dict]:
+    """One row for each block (strip or tile, all planes) of every page: its place, its bytes (or only where they are) and the tags that decoding needs."""
+    blank = dict.fromkeys(f.split()[0] for f in _parts(PLAN)) | {"path": path}
+    try:
+        header = container.parse_header(content)
+        for k, (_, entries) in enumerate(container.walk(content)):
+            own = blank | {"page_index": k}
+            found, status, error = decode.guarded(lambda e=entries: (lay := decode.read_layout(e, header.order), decode.list_blocks(e, lay, len(content))))
+            if found is None:
+                yield own | {"_status": status, "_error": error}
+                continue
+            lay, blocks = found
+            tags = [{"tag": e.tag, "field_type": e.kind, "count": e.count, "data": e.data} for e in entries if e.tag in decode.PAGE_TAGS]
+            own |= {"byte_order": header.byte_order, "tags": tags, "n_blocks": len(blocks), "open_bounds": lay.kind == "float" and None in decode.tagged_bounds(entries), "_status": "ok"}
+            for b in blocks:
+                parts = [vars(p) | {"data": content[p.offset : p.offset + p.size] if raw else None} for p in b.parts]
+                yield own | {"seg_index": b.index, "x0": b.x, "y0": b.y, "width": b.width, "height": b.height, "parts": parts}
+    except RasterError as e:
+        yield blank | {"_status": e.status, "_error": str(e)}
+
+
+def arrow_rows(rows: Iterator[dict], ddl: str, at_once: int = 64) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of a relation's schema; columns that it doesn't have are left out."""
+    import decimal
+    import itertools
+
+    schema = _arrow_schema(ddl)
+    names = set(schema.names)
+    while some := [{k: v for k, v in r.items() if k in names} for r in itertools.islice(rows, at_once)]:
+        for r in some:  # counts are unsigned 64-bit numbers
+            for e in r.get("entries") or ():
+                e["count"] = decimal.Decimal(e["count"])
+        yield from pa.Table.from_pylist(some, schema).to_batches()
+
+
 def _mapped(rows_of, ddl: str):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import decimal
-
-        schema = _arrow_schema(ddl)
-        names = set(schema.names)
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                rows = [{k: v for k, v in r.items() if k in names} for r in rows_of(path, content or b"")]
-                for r in rows:  # counts are unsigned 64-bit numbers
-                    for e in r.get("entries") or ():
-                        e["count"] = decimal.Decimal(e["count"])
-                if rows:
-                    yield from pa.Table.from_pylist(rows, schema).to_batches()
+                yield from arrow_rows(iter(rows_of(path, content or b"")), ddl)
 
     return each
 
@@ -190,23 +223,115 @@ def segments(source: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
     return _mode(source.select("path", "content").mapInArrow(_mapped(segment_rows, SEGMENTS), SEGMENTS), mode)
 
 
+def plan(source: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
+    """Blocks (strips, tiles) of the pages of (path, content), each with its own bytes: what ``tiles`` decodes."""
+    return _mode(source.select("path", "content").mapInArrow(_mapped(plan_rows, PLAN), PLAN), mode)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], use) -> Iterator[list[dict]]:
+    """Rows of ``use(row, layout, entries, raw)`` for planned blocks; parts without bytes are read from their file."""
+    opened: RangeBytes | None = None
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            order = "<" if row["byte_order"] == "II" else ">"
+            entries = [container.Entry(t["tag"], t["field_type"], t["count"], t["data"], order) for t in row["tags"]]
+            raw = []
+            for p in row["parts"]:
+                if p["data"] is None:
+                    if opened is None or opened.path != row["path"]:
+                        opened = RangeBytes(row["path"])
+                    p["data"] = opened.read(p["offset"], p["size"])
+                raw.append(p.pop("data"))
+            parts = [decode.Segment(**p) for p in row["parts"]]
+            out += use(row, lambda e=entries, o=order: decode.read_layout(e, o), entries, parts, raw)
+        yield out
+
+
+def _extents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Smallest and largest finite value of each float block."""
+
+    def use(row: dict, layout, entries: list, parts: list, raw: list[bytes]) -> list[dict]:
+        s, _, _ = decode.guarded(lambda: decode.block_samples(layout(), parts, raw))
+        v = np.zeros(0) if s is None else s[np.isfinite(s)].astype(float)
+        return [{"path": row["path"], "page_index": row["page_index"], "low": float(v.min()), "high": float(v.max())}] if v.size else []
+
+    for rows in _blocks(batches, use):
+        yield pa.Table.from_pylist(rows, _arrow_schema("path string, page_index int").append(pa.field("low", pa.float64())).append(pa.field("high", pa.float64()))).combine_chunks().to_batches()[0] if rows else pa.record_batch([pa.array([], t) for t in (pa.string(), pa.int32(), pa.float64(), pa.float64())], ["path", "page_index", "low", "high"])
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [f.split()[0] for f in _parts(TILES)]
+
+    def use(row: dict, layout, entries: list, parts: list, raw: list[bytes]) -> list[dict]:
+        out = dict.fromkeys(names) | {k: row[k] for k in ("path", "page_index", "seg_index")}
+        bounds = (row["_low"], row["_high"]) if row["open_bounds"] else None
+        if bounds:
+            tagged = decode.tagged_bounds(entries)
+            bounds = tuple(b if t is None else t for t, b in zip(tagged, bounds))
+        found, status, error = decode.guarded(lambda: decode.block_image(layout(), entries, parts, raw, bounds))
+        if found:
+            name, x, y, v = found
+            kind = "<u2" if name in ("Gray16Le", "Rgb48Le") else "u1"
+            out |= {"x0": x, "y0": y, "width": v.shape[1], "height": v.shape[0], "pixel_format": name, "data": np.ascontiguousarray(v, kind).tobytes()}
+        return [out | {"_status": status or "ok", "_error": error}]
+
+    for rows in _blocks(batches, use):
+        yield from pa.Table.from_pylist(rows, _arrow_schema(TILES)).to_batches()
+
+
+def tiles(planned: DataFrame, spread: int | None = None, mode: str = "PERMISSIVE") -> DataFrame:
+    """Decoded blocks in display order: (path, page_index, seg_index, x0, y0, width, height, pixel_format, data); no page is ever in one cell.
+
+    planned: rows of ``plan`` (with bytes) or of ``format("tiff")``'s relation ``plan`` (without: each block's task reads its own
+    ranges).  spread: deal the blocks over so many tasks first, evenly and whatever file they are of; without it a file's blocks stay
+    where they were planned.  Float pages without display bounds in their tags take one pass more: bounds are those of all
+    the page's blocks.  Rows that couldn't be planned go through with their status.
+    """
+    if spread:
+        planned = planned.repartition(spread, "path", "page_index", "seg_index") if spread > 1 else planned.coalesce(1)
+    good = planned.where("_status = 'ok'")
+    bounds = good.where("open_bounds").mapInArrow(_extents, "path string, page_index int, low double, high double").groupBy("path", "page_index").agg(F.min("low").alias("_low"), F.max("high").alias("_high"))
+    none = F.lit(None).cast("double")
+    ready = good.where("NOT open_bounds").select("*", none.alias("_low"), none.alias("_high")).unionByName(good.where("open_bounds").join(bounds, ["path", "page_index"], "left").select(*planned.columns, "_low", "_high"))
+    bad = planned.where("_status <> 'ok'").select(*[F.col(c) if c in planned.columns and c not in ("x0", "y0", "width", "height") else F.lit(None).cast(t).alias(c) for c, t in (f.split(" ", 1) for f in _parts(TILES))])
+    return _mode(ready.mapInArrow(_tiles, TILES).unionByName(bad), mode)
+
+
+def tile_samples(tiles_df: DataFrame) -> DataFrame:
+    """(path, page_index, y, x, c, v) of decoded blocks: the rows that ``samples`` gives for whole pages."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["data"] is not None:
+                    yield from _sample_rows(r["path"], r["page_index"], r["pixel_format"], r["width"], r["height"], r["data"], r["x0"], r["y0"])
+
+    return tiles_df.select("path", "page_index", "pixel_format", "width", "height", "data", "x0", "y0").mapInArrow(each, SAMPLES)
+
+
+SAMPLES = "path string, page_index int, y int, x int, c int, v int"
+
+
+def _sample_rows(path: str, page: int, pixel_format: str, width: int, height: int, data: bytes, x0: int = 0, y0: int = 0) -> Iterator[pa.RecordBatch]:
+    v = np.frombuffer(data, "<u2" if "16" in pixel_format or "48" in pixel_format else "u1").reshape(height, width, -1)
+    for y in range(0, height, 64):
+        part = v[y : y + 64]
+        yy, xx, cc = (i.reshape(-1).astype(np.int32) for i in np.indices(part.shape))
+        n = part.size
+        yield pa.record_batch([pa.repeat(pa.scalar(path, pa.string()), n), pa.repeat(pa.scalar(page, pa.int32()), n), pa.array(yy + (y + y0)), pa.array(xx + x0), pa.array(cc), pa.array(part.reshape(-1).astype(np.int32))], ["path", "page_index", "y", "x", "c", "v"])
+
+
 def samples(pages_df: DataFrame) -> DataFrame:
     """(path, page_index, y, x, c, v): one row a sample."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, page, image in zip(*(batch.column(n).to_pylist() for n in ("path", "page_index", "image"))):
-                if image is None:
-                    continue
-                wide = "16" in image["pixel_format"] or "48" in image["pixel_format"]
-                v = np.frombuffer(image["data"], "<u2" if wide else "u1").reshape(image["height"], image["width"], -1)
-                for y in range(0, v.shape[0], 64):
-                    part = v[y : y + 64]
-                    yy, xx, cc = (i.reshape(-1).astype(np.int32) for i in np.indices(part.shape))
-                    n = part.size
-                    yield pa.record_batch([pa.array([path] * n), pa.array(np.full(n, page, np.int32)), pa.array(yy + y), pa.array(xx), pa.array(cc), pa.array(part.reshape(-1).astype(np.int32))], ["path", "page_index", "y", "x", "c", "v"])
-
-    return pages_df.select("path", "page_index", "image").mapInArrow(each, "path string, page_index int, y int, x int, c int, v int")
+                if image is not None:
+                    yield from _sample_rows(path, page, image["pixel_format"], image["width"], image["height"], image["data"])
+
+    return pages_df.select("path", "page_index", "image").mapInArrow(each, SAMPLES)
 
 
 def stream_info(pages_meta: DataFrame) -> DataFrame:

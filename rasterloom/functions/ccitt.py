@@ -182,8 +182,8 @@ def _uncompressed(bits: Bits, changes: list[int], a0: int, colour: int, width: i
             return a0, colour, changes
 
 
-def _skip_eol(bits: Bits) -> None:
-    """Zeros (fill, also that which aligns the code to a byte), then a 1."""
+def _skip_eol(bits: Bits, aligned: bool = False) -> None:
+    """Zeros (fill, also that which aligns the code to a byte), then a 1; aligned: the code has to end with a byte."""
     zeros = 0
     while not bits.take(1):
         zeros += 1
@@ -191,6 +191,8 @@ def _skip_eol(bits: Bits) -> None:
             raise Invalid("CCITT: fill before an end of line is too long")
     if zeros < 11:
         raise Invalid("CCITT: end of line expected")
+    if aligned and bits.at % 8:
+        raise Invalid("CCITT: end of line isn't aligned to a byte")
 
 
 def _paint(rows: list[list[int]], width: int) -> bytes:
@@ -204,13 +206,13 @@ def _paint(rows: list[list[int]], width: int) -> bytes:
     return np.packbits(black, axis=1).tobytes()
 
 
-def decode(data: bytes, width: int, rows: int, kind: str) -> bytes:
+def decode(data: bytes, width: int, rows: int, kind: str, aligned: bool = False) -> bytes:
     """kind: mh, t4 (one-dimensional), t4-2d or t6.  Packed rows, 1 is black."""
     bits, out, before = Bits(data), [], []
     for _ in range(rows):
         two = kind == "t6"
         if kind in ("t4", "t4-2d"):
-            _skip_eol(bits)
+            _skip_eol(bits, aligned)
             two = kind == "t4-2d" and not bits.take(1)
         before = _two_d(bits, before, width) if two else _one_d(bits, width)
         if kind == "mh":

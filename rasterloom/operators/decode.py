@@ -212,7 +212,7 @@ def decompress(lay: Layout, seg: Segment, raw: bytes) -> bytes:
     name = lay.compression
     if name.startswith("ccitt"):
         kind = {"ccitt_mh": "mh", "ccitt_t4": "t4-2d" if lay.t4 & 1 else "t4", "ccitt_t6": "t6"}[name]
-        data = ccitt.decode(codecs.reverse_bits(raw) if lay.reverse else raw, seg.width, seg.height, kind)
+        data = ccitt.decode(codecs.reverse_bits(raw) if lay.reverse else raw, seg.width, seg.height, kind, bool(lay.t4 & 4))
     else:
         if name == "none":
             data = codecs.reverse_bits(raw) if lay.reverse else raw

@@ -114,10 +114,6 @@ def _untiled(s: SparkSession, d: str) -> DataFrame:
 
 
 def _padded(s: SparkSession, d: str) -> DataFrame:
-    return S.pad_tiles(raster(s, d).where("y < 10"), W, 10, 32, 16).select("y", "x", "v")
-
-
-def _padded_whole(s: SparkSession, d: str) -> DataFrame:
     r = raster(s, d)
     size = F.broadcast(r.agg((F.max("y") + 1).alias("h")))  # one row
     return S.pad_tiles(r.crossJoin(size), W, F.col("h"), 32, 16).select("y", "x", "v")
@@ -125,10 +121,9 @@ def _padded_whole(s: SparkSession, d: str) -> DataFrame:
 
 _add("tile_grid", _tiles, "SELECT CAST((y // 16) * 4 + x // 32 AS INTEGER) AS tile, CAST(y % 16 AS INTEGER) AS dy, CAST(x % 32 AS INTEGER) AS dx, v FROM r")
 _add("tile_crop", _untiled, "SELECT y, x, v FROM r")
-_add("tile_edge_replicate", _padded, "SELECT CAST(g.y AS INTEGER) AS y, CAST(h.x AS INTEGER) AS x, v FROM (SELECT unnest(range(16)) AS y) g, (SELECT unnest(range(128)) AS x) h, (SELECT * FROM r) r WHERE r.x = least(h.x, 99) AND r.y = least(g.y, 9)")
 _add(
-    "tile_edge_replicate_whole",
-    _padded_whole,
+    "tile_edge_replicate",
+    _padded,
     """, s AS (SELECT max(y) + 1 AS h FROM r),
 g AS (SELECT unnest(range(CAST((h + 15) // 16 * 16 AS BIGINT))) AS y, h FROM s)
 SELECT CAST(g.y AS INTEGER) AS y, CAST(c.x AS INTEGER) AS x, v FROM g CROSS JOIN (SELECT unnest(range(128)) AS x) c JOIN r ON r.x = least(c.x, 99) AND r.y = least(g.y, g.h - 1)""",
@@ -382,10 +377,24 @@ _add("read_segments", lambda s, d: relations.segments(_files(s, d), "FAILFAST").
 _add("read_metadata", lambda s, d: relations.page_metadata(_files(s, d), mode="FAILFAST").select("path", "byte_order", "variant", "metadata.software", "metadata.orientation", "format.width", "format.height", "format.compression"), f"SELECT 'raster-' || p AS path, 'II' AS byte_order, 'classic' AS variant, 'rasterloom' AS software, CAST(6 AS BIGINT) AS orientation, CAST(100 AS BIGINT) AS width, CAST(h AS BIGINT) AS height, CAST(32773 AS BIGINT) AS compression FROM {_PAGES}")
 _add("read_stream_info", lambda s, d: relations.stream_info(relations.page_metadata(_files(s, d), mode="FAILFAST")).select("path", "width", "height", "pixel_format", F.element_at("fields", "software").alias("software"), F.size("attachments").alias("attachments")), f"SELECT 'raster-' || p AS path, CAST(100 AS BIGINT) AS width, CAST(h AS BIGINT) AS height, 'Gray8' AS pixel_format, 'rasterloom' AS software, CAST(0 AS INTEGER) AS attachments FROM {_PAGES}")
 _add("read_directories", lambda s, d: relations.ifds(_files(s, d), "FAILFAST").select("path", "page_index", "link", "depth", F.transform("entries", lambda e: e["tag"]).alias("tags")).select("path", "link", "depth", F.array_join(F.transform("tags", lambda t: t.cast("string")), ",").alias("tags")), f"SELECT 'raster-' || p AS path, 'chain' AS link, CAST(0 AS INTEGER) AS depth, '254,256,257,258,259,262,273,274,277,278,279,284,305' AS tags FROM {_PAGES}")
-_add("compression_names", lambda s, d: s.createDataFrame([(k, v) for k, v in constants.COMPRESSIONS.items()], "code int, name string"), "SELECT CAST(code AS INTEGER) AS code, name FROM (VALUES (1, 'none'), (2, 'ccitt_mh'), (3, 'ccitt_t4'), (4, 'ccitt_t6'), (5, 'lzw'), (6, 'jpeg_old'), (7, 'jpeg'), (8, 'deflate'), (32773, 'packbits'), (50000, 'zstd'), (50001, 'webp')) t(code, name)")
+_CODE_LIST = (*constants.COMPRESSIONS, 9, 34712)
+
+
+def _names(s: SparkSession, d: str) -> DataFrame:
+    """What the codes that rows of lineitem stand for are called, and how often each comes; null for unknown ones."""
+    known = F.create_map(*[F.lit(v) for pair in constants.COMPRESSIONS.items() for v in pair])
+    codes = _table(s, d, "lineitem").select(proofs.pick(_CODE_LIST, "l_partkey").cast("int").alias("code"))
+    return codes.groupBy("code").agg(F.count(F.lit(1)).alias("n")).select("code", F.try_element_at(known, F.col("code")).alias("name"), "n")
+
+
+_CASES = " ".join(f"WHEN {k} THEN '{v}'" for k, v in constants.COMPRESSIONS.items())
+_add("compression_names", _names, f"SELECT code, CASE code {_CASES} END AS name, count(*) AS n FROM (SELECT CAST({proofs.sql_pick(_CODE_LIST, 'l_partkey')} AS INTEGER) AS code FROM lineitem) GROUP BY 1")
+
 
+from . import blocks  # noqa: E402  its queries use those above
 
 FOUND.update(proofs.FOUND)
+FOUND.update(blocks.found())
 
 
 def queries() -> dict[str, Query]:

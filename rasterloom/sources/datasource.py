@@ -81,7 +81,7 @@ class TiffReader(DataSourceReader):
 
 
 class TiffWriter(DataSourceWriter):
-    """Rows (path, content): each file is written under a temporary name and renamed when all tasks are done."""
+    """Rows (path, content): each file is written under a temporary name and renamed when all tasks are done.  ``append`` refuses names that exist."""
 
     def __init__(self, options: dict, overwrite: bool = False):
         self.folder = options["path"].removeprefix("file://")
@@ -105,13 +105,18 @@ class TiffWriter(DataSourceWriter):
         if len(set(names)) < len(names):
             self.abort(messages)
             raise ValueError(f"several rows would be written to {next(n for n in names if names.count(n) > 1)}")
-        if self.overwrite and os.path.isdir(self.folder):
-            for name in os.listdir(self.folder):
-                if name.lower().endswith((".tif", ".tiff")) and not name.startswith("._"):
-                    os.remove(os.path.join(self.folder, name))
+        there = [n for n in names if os.path.exists(n)]
+        if there and not self.overwrite:
+            self.abort(messages)
+            raise FileExistsError(f"{there[0]} exists already")
         for m in messages:
             for part, target in m.moves if m else ():
                 os.replace(part, target)
+        if self.overwrite and os.path.isdir(self.folder):  # what isn't replaced goes last, so that no moment has neither
+            new = {os.path.basename(n) for n in names}
+            for name in os.listdir(self.folder):
+                if name.lower().endswith((".tif", ".tiff")) and not name.startswith("._") and name not in new:
+                    os.remove(os.path.join(self.folder, name))
 
     def abort(self, messages: list) -> None:
         for m in messages:

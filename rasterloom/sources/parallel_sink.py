@@ -173,6 +173,8 @@ def _fields() -> list[str]:
 
 def _described(pages: DataFrame) -> DataFrame:
     have = set(pages.columns)
+    if "parent" in have:
+        pages = pages.where(F.when(F.col("parent").isNull(), F.lit(True)).otherwise(F.raise_error(F.concat(F.col("path"), F.lit(": SubIFDs aren't written by segments"))).cast("boolean")))
     return pages.select(*[(F.col(n) if n in have else F.lit(None)).cast(t).alias(n) for n, t in (f.split(" ", 1) for f in _fields())]).withColumn("page_index", F.coalesce("page_index", F.lit(0)))
 
 
@@ -312,6 +314,19 @@ def placed(pages: DataFrame, segments: DataFrame, keep=None) -> DataFrame:
     return data.unionByName(arrays).unionByName(rest)
 
 
+def _joined(rows: pa.Table) -> pa.Table:
+    out = bytearray()
+    for at, data in zip(rows.column("at").to_pylist(), rows.column("data").to_pylist()):
+        out.extend(bytes(max(0, at + len(data) - len(out))))
+        out[at : at + len(data)] = data
+    return pa.table({"path": rows.column("path")[:1], "content": pa.array([bytes(out)], pa.binary())})
+
+
+def files(pieces: DataFrame) -> DataFrame:
+    """(path, content) of files that are small enough for a cell, for stores that only Spark writes."""
+    return pieces.groupBy("path").applyInArrow(_joined, "path string, content binary")
+
+
 def _put(folder: str, mark: str):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -284,12 +284,12 @@ def tiles(planned: DataFrame, spread: int | None = None, mode: str = "PERMISSIVE
     """Decoded blocks in display order: (path, page_index, seg_index, x0, y0, width, height, pixel_format, data); no page is ever in one cell.
 
     planned: rows of ``plan`` (with bytes) or of ``format("tiff")``'s relation ``plan`` (without: each block's task reads its own
-    ranges).  spread: deal the blocks over so many tasks first, evenly and whatever file they are of; without it a file's blocks stay
+    ranges).  spread: deal the blocks over so many tasks first, one after the other and whatever file they are of; without it a file's blocks stay
     where they were planned.  Float pages without display bounds in their tags take one pass more: bounds are those of all
     the page's blocks.  Rows that couldn't be planned go through with their status.
     """
     if spread:
-        planned = planned.repartition(spread, "path", "page_index", "seg_index") if spread > 1 else planned.coalesce(1)
+        planned = planned.repartition(spread)
     good = planned.where("_status = 'ok'")
     bounds = good.where("open_bounds").mapInArrow(_extents, "path string, page_index int, low double, high double").groupBy("path", "page_index").agg(F.min("low").alias("_low"), F.max("high").alias("_high"))
     none = F.lit(None).cast("double")

@@ -11,7 +11,7 @@ from ..functions import constants as K
 from ..operators.errors import Invalid
 from ..plans import encode
 
-PAGE = "path string, page_index int, width int, height int, kind string, compression string, predictor boolean, planar boolean, tile_w int, tile_h int, rows_per_strip int, big boolean, samples binary, palette array<int>, metadata map<string, string>, "
+PAGE = "path string, page_index int, parent int, width int, height int, kind string, compression string, predictor boolean, planar boolean, tile_w int, tile_h int, rows_per_strip int, big boolean, samples binary, palette array<int>, metadata map<string, string>, "
 PAGE += "xmp binary, icc_profile binary, x_resolution struct<num:bigint,den:bigint>, y_resolution struct<num:bigint,den:bigint>, page_number array<int>, "
 PAGE += "t4_two_d boolean, associated_alpha boolean, subsampling array<int>, reduced boolean, multi_page boolean, "
 PAGE += "exif array<struct<tag:int,field_type:int,count:bigint,data:binary>>, gps array<struct<tag:int,field_type:int,count:bigint,data:binary>>"
@@ -40,18 +40,52 @@ def page_of(row: dict) -> encode.Page:
     return encode.Page(s, row["kind"], row.get("compression") or "none", bool(row.get("predictor")), bool(row.get("planar")), tile, row.get("rows_per_strip"), bool(row.get("big")), palette=[tuple(palette[i : i + 3]) for i in range(0, len(palette), 3)], metadata=text, **slots, **more)
 
 
+def nested(rows: list[dict]) -> list[encode.Page]:
+    """Pages of one file: rows with a ``parent`` (its page_index) are SubIFDs of that page, in the order of page_index.
+
+    Folded from the deepest level up.  Parents that don't exist, cycles and more than ``MAX_DEPTH`` levels are refused.
+    """
+    by_index = {r["page_index"] or 0: r for r in rows}
+    parent = {k: r.get("parent") for k, r in by_index.items()}
+    if len(by_index) < len(rows) and any(p is not None for p in parent.values()):
+        raise Invalid("a page_index twice in a file with SubIFDs")
+    if len(by_index) < len(rows):
+        return [page_of(r) for r in rows]
+    depth: dict[int, int] = {}
+    for k in parent:
+        seen, at = [], k
+        while at is not None and at not in depth:
+            if at not in parent:
+                raise Invalid(f"page {k}: no parent {at}")
+            if at in seen:
+                raise Invalid(f"page {k} is its own ancestor")
+            seen.append(at)
+            at = parent[at]
+        below = -1 if at is None else depth[at]
+        for page in reversed(seen):
+            below += 1
+            depth[page] = below
+    if max(depth.values(), default=0) > encode.MAX_DEPTH:
+        raise Invalid("directories nested too deep")
+    pages = {k: page_of(r) for k, r in by_index.items()}
+    for k in sorted(pages, key=lambda k: (-depth[k], k)):
+        if parent[k] is not None:
+            pages[parent[k]].children = [*pages[parent[k]].children, pages[k]]
+    return [pages[k] for k in sorted(pages) if parent[k] is None]
+
+
 def _encode(group: pa.Table) -> pa.Table:
     rows = group.to_pylist()
     try:
         rows.sort(key=lambda r: r["page_index"] or 0)
-        content, status, error = encode.encode([page_of(r) for r in rows]), "ok", None
+        content, status, error = encode.encode(nested(rows)), "ok", None
     except Exception as e:  # noqa: BLE001  whatever a bad row raises is that file's status, not the job's end
         content, status, error = None, getattr(e, "status", "invalid"), str(e) or type(e).__name__
     return pa.table({"path": [rows[0]["path"]], "content": pa.array([content], pa.binary()), "_status": [status], "_error": pa.array([error], pa.string())})
 
 
 def encode_files(pages: DataFrame) -> DataFrame:
-    """(path, content, _status, _error): the pages of each path as one file, ordered by page_index.
+    """(path, content, _status, _error): the pages of each path as one file, ordered by page_index; ``parent`` makes SubIFDs.
 
     One shuffle by path brings a file's pages together; a file is built in one task, as it must fit
     in one cell anyway.  Columns missing from ``pages`` take their defaults (null).

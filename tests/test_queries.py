@@ -60,7 +60,7 @@ def test_columns_agree_with_numpy(spark):
 
 def test_tile_padding_covers_the_whole_raster(spark):
     """Every event is in the padded grid, and the grid is whole tiles."""
-    rows = {(r.y, r.x): r.v for r in Q.queries()["tile_edge_replicate_whole"](spark, D).collect()}
+    rows = {(r.y, r.x): r.v for r in Q.queries()["tile_edge_replicate"](spark, D).collect()}
     events = {(r.y, r.x): r.v for r in Q.raster(spark, D).collect()}
     h = max(y for y, _ in events) + 1
     assert len(rows) == -(-h // 16) * 16 * 128

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from ..functions import ccitt, codecs, jpeg, pixels
+from ..functions import ccitt, codecs, jpeg, pixels, webp
 from ..functions import constants as K
 from .container import Entry, find, number, numbers, parse_directory, parse_header, walk
 from .errors import Invalid, RasterError, Unsupported
@@ -126,7 +126,6 @@ def read_layout(entries: list[Entry], order: str) -> Layout:
     if compression == "webp":
         if photometric != K.RGB or bits != 8 or samples not in (3, 4) or planar or predictor != 1 or kind != "unsigned":
             raise Invalid("WebP segments with this layout")
-        codecs.webp_refused()
     if kind == "signed" and not (bits in (8, 16) and samples == 1 and photometric in (0, 1)):
         raise Unsupported("signed samples other than one channel of 8 or 16 bits")
     if kind == "float":
@@ -224,6 +223,8 @@ def decompress(lay: Layout, seg: Segment, raw: bytes) -> bytes:
             data = codecs.deflate_decode(raw, size)
         elif name == "zstd":
             data = codecs.zstd_decode(raw, size)
+        elif name == "webp":
+            data = webp.decode(raw, seg.width, seg.height)[..., : lay.samples].tobytes()
         else:
             raise Unsupported(f"compression {name}")
     if len(data) < size:

@@ -48,6 +48,11 @@ def _planar(s: SparkSession, d: str) -> DataFrame:
     return _decoded(s, p.withColumn("width", (F.col("width") / 4).cast("int")).withColumn("rows_per_strip", F.lit(9)))
 
 
+def _webp(s: SparkSession, d: str) -> DataFrame:
+    p = _pages(s, d).withColumn("kind", F.lit("rgba32")).withColumn("compression", F.lit("webp"))
+    return _decoded(s, p.withColumn("width", (F.col("width") / 4).cast("int")).withColumn("tile_w", F.lit(16)).withColumn("tile_h", F.lit(16)))
+
+
 def _turned(s: SparkSession, d: str) -> DataFrame:
     p = _pages(s, d).withColumn("kind", F.lit("gray8")).withColumn("compression", F.lit("packbits")).withColumn("rows_per_strip", F.lit(16))
     return _decoded(s, p.withColumn("metadata", F.create_map(F.lit("orientation"), F.lit("6"))))
@@ -111,9 +116,11 @@ def _places(s: SparkSession, d: str) -> DataFrame:
 def found() -> dict:
     base = _base()
     whole = "SELECT CAST(y // 100 AS INTEGER) AS raster, CAST(y % 100 AS INTEGER) AS y, x, CAST(0 AS INTEGER) AS c, v FROM r"
+    four = "SELECT CAST(y // 100 AS INTEGER) AS raster, CAST(y % 100 AS INTEGER) AS y, CAST(x // 4 AS INTEGER) AS x, CAST(x % 4 AS INTEGER) AS c, v FROM r WHERE x % 4 < 3"
     return {
         "decode_blocks_tiles": (_tiled, f"WITH {base}\n{whole}"),
-        "decode_blocks_planar": (_planar, f"WITH {base}\nSELECT CAST(y // 100 AS INTEGER) AS raster, CAST(y % 100 AS INTEGER) AS y, CAST(x // 4 AS INTEGER) AS x, CAST(x % 4 AS INTEGER) AS c, v FROM r WHERE x % 4 < 3"),
+        "decode_blocks_webp": (_webp, f"WITH {base}\n{four}"),
+        "decode_blocks_planar": (_planar, f"WITH {base}\n{four}"),
         "decode_blocks_turned": (_turned, f"WITH {base}\nSELECT CAST(y // 100 AS INTEGER) AS raster, x AS y, CAST(max(y % 100) OVER (PARTITION BY y // 100) - y % 100 AS INTEGER) AS x, CAST(0 AS INTEGER) AS c, v FROM r"),
         "decode_blocks_float_bounds": (
             lambda s, d: _decoded(s, _float_pages(s, d)),

@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from ..functions import ccitt, codecs, pixels
+from ..functions import ccitt, codecs, pixels, webp
 from ..functions import constants as K
 from ..operators.errors import Invalid, Unsupported
 
@@ -65,12 +65,14 @@ def check(p: Page) -> np.ndarray:
     if p.kind not in KINDS:
         raise Unsupported(f"kind {p.kind}")
     photometric, n, bits, form = KINDS[p.kind]
-    if p.compression not in ("none", "packbits", "lzw", "deflate", "zstd", "ccitt_mh", "ccitt_t4", "ccitt_t6"):
+    if p.compression not in ("none", "packbits", "lzw", "deflate", "zstd", "ccitt_mh", "ccitt_t4", "ccitt_t6", "webp"):
         raise Unsupported(f"writing {p.compression}")
     s = np.asarray(p.samples)
     s = s[:, :, None] if s.ndim == 2 else s
     if s.ndim != 3 or not s.shape[0] or not s.shape[1] or s.shape[2] != n:
         raise Invalid(f"samples of shape {s.shape} for {p.kind}")
+    if p.compression == "webp" and (p.kind not in ("rgb24", "rgba32") or p.planar or p.predictor):
+        raise Invalid("WebP is for RGB and RGBA of 8 bits, in one plane, without predictor")
     fax = p.compression.startswith("ccitt")
     if fax and bits != 1:
         raise Invalid("CCITT is for one bit a pixel")
@@ -119,6 +121,8 @@ def compress(p: Page, data: bytes, width: int, rows: int) -> bytes:
     if p.compression.startswith("ccitt"):
         kind = {"ccitt_mh": "mh", "ccitt_t4": "t4-2d" if p.t4_two_d else "t4", "ccitt_t6": "t6"}[p.compression]
         return ccitt.encode(data, width, rows, kind)
+    if p.compression == "webp":
+        return webp.encode(np.frombuffer(data, np.uint8).reshape(rows, width, -1))
     coder = {"none": bytes, "packbits": _rows_of_packbits(len(data) // rows if rows else 0), "lzw": codecs.lzw_encode, "deflate": codecs.deflate_encode, "zstd": codecs.zstd_encode}
     return coder[p.compression](data)
 

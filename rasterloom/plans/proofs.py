@@ -122,7 +122,8 @@ def _writer_sql() -> str:
     shown = [f"{sql_pick(*c)} AS {n}" for n, c in _writer_columns().items()]
     return f"""
 SELECT kind, compression, CAST(tile AS INTEGER) AS tile, CAST(rows AS INTEGER) AS rows, predictor, planar,
-       CASE WHEN kind = 'nothing' OR compression = 'webp' THEN 'unsupported'
+       CASE WHEN kind = 'nothing' THEN 'unsupported'
+            WHEN compression = 'webp' AND (kind <> 'rgb24' OR planar OR predictor) THEN 'invalid'
             WHEN compression = 'ccitt_t6' AND (kind <> 'bilevel' OR tile > 0) THEN 'invalid'
             WHEN planar AND kind <> 'rgb24' THEN 'invalid'
             WHEN predictor AND kind = 'bilevel' THEN 'invalid'

@@ -91,6 +91,27 @@ def half_to_float(bits: Column) -> Column:
     return sign * F.when(exponent == 0, small).when(exponent == 31, special).otherwise(normal)
 
 
+def float_bits_to_half(bits: Column) -> Column:
+    """The 16 bits of the half nearest to the 32-bit float with these ``bits`` (a long, 0 to 2^32 - 1), in whole numbers.
+
+    Of two equally near halves the even one; too large ones are infinite; NaNs are quiet and keep their payload's top bits.
+    """
+    sign = F.shiftright(bits, 31) * 32768
+    exponent, mantissa = F.shiftright(bits, 23).bitwiseAND(F.lit(255)), bits.bitwiseAND(F.lit(0x7FFFFF))
+
+    def rounded(whole: Column, power: Column) -> Column:
+        """whole / power to the nearest, of two the even one; power is 2 or a higher power of 2."""
+        low = F.floor(whole / power).cast("long")
+        rest = (whole - low * power) * 2
+        return low + F.when((rest > power) | (rest == power) & (low % 2 == 1), F.lit(1)).otherwise(F.lit(0))
+
+    normal = rounded((exponent - 112) * (1 << 23) + mantissa, F.lit(1 << 13).cast("long"))
+    tiny = rounded(mantissa + (1 << 23), F.pow(F.lit(2.0), F.greatest(F.least(126 - exponent, F.lit(26)), F.lit(1))).cast("long"))
+    nan = F.lit(0x7E00).bitwiseOR(F.shiftright(mantissa, 13).cast("int"))
+    size = F.when((exponent == 255) & (mantissa > 0), nan).when(exponent >= 143, F.lit(0x7C00)).when(exponent >= 113, normal).when(exponent >= 102, tiny).otherwise(F.lit(0))
+    return (sign + size).cast("int")
+
+
 # ------------------------------------------------------------------ colour
 
 
@@ -195,6 +216,35 @@ def box_mean(df: DataFrame, keys: list[str], sh: int, sv: int) -> DataFrame:
     return df.groupBy(*keys, div(F.col("y"), sv).alias("by"), div(F.col("x"), sh).alias("bx")).agg(F.floor((F.sum("v") + F.floor(n / 2)) / n).cast("int").alias("v"))
 
 
+def unit_bytes(df: DataFrame, width: int, height: int | Column, sh: int, sv: int) -> DataFrame:
+    """(i, v): the bytes of data units (sh x sv luma samples, then Cb and Cr) of a raster (y, x, luma, cb, cr).
+
+    Units go row by row.  Places of a unit outside the raster repeat its last column and row, in chroma means too.
+    """
+    across, size = -(-width // sh), sh * sv + 2
+    padded = pad_tiles(df.select("y", "x", "luma", "cb", "cr"), width, height, sh, sv)
+    unit = (div(F.col("y"), sv).cast("long") * across + div(F.col("x"), sh)).alias("_unit")
+    slot = ((F.col("y") % sv) * sh + F.col("x") % sh).alias("_slot")
+    luma = padded.select(unit, slot, F.col("luma").alias("v"))
+    mean = lambda c: F.floor((F.sum(c) + sh * sv // 2) / (sh * sv)).cast("int")
+    chroma = padded.select(unit, "cb", "cr").groupBy("_unit").agg(F.array(mean("cb"), mean("cr")).alias("_c"))
+    both = luma.unionByName(chroma.select("_unit", F.posexplode("_c").alias("_slot", "v")).withColumn("_slot", F.col("_slot") + sh * sv))
+    return both.select((F.col("_unit") * size + F.col("_slot")).alias("i"), F.col("v").cast("int").alias("v"))
+
+
+def unit_samples(df: DataFrame, width: int, height: int | Column, sh: int, sv: int) -> DataFrame:
+    """(y, x, luma, cb, cr) of data units' bytes (i, v): each unit's chroma for all its places; what lies outside is dropped."""
+    across, size = -(-width // sh), sh * sv + 2
+    unit, slot = F.floor(F.col("i") / size).cast("long"), (F.col("i") % size).cast("int")
+    placed = df.select(unit.alias("_unit"), slot.alias("_slot"), "v")
+    luma = placed.where(F.col("_slot") < sh * sv)
+    y = F.floor(F.col("_unit") / across) * sv + F.floor(F.col("_slot") / sh)
+    x = (F.col("_unit") % across) * sh + F.col("_slot") % sh
+    luma = luma.select("_unit", y.cast("int").alias("y"), x.cast("int").alias("x"), F.col("v").alias("luma")).where((F.col("x") < width) & (F.col("y") < (F.lit(height) if isinstance(height, int) else height)))
+    chroma = placed.where(F.col("_slot") >= sh * sv).groupBy("_unit").agg(F.max(F.when(F.col("_slot") == sh * sv, F.col("v"))).alias("cb"), F.max(F.when(F.col("_slot") > sh * sv, F.col("v"))).alias("cr"))
+    return luma.join(chroma, "_unit").select("y", "x", "luma", "cb", "cr")
+
+
 def runs(df: DataFrame, keys: list[str], value: str, order: str = "x") -> DataFrame:
     """(keys, run, v, start, length): neighbours of equal value."""
     w = Window.partitionBy(*keys).orderBy(order)

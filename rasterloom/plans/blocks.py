@@ -113,11 +113,81 @@ def _places(s: SparkSession, d: str) -> DataFrame:
     return inside.select(F.floor((F.col("at") - 16) / (7 * W)).cast("int").alias("strip"), "at", F.octet_length("data").cast("long").alias("nbytes"), F.sha2("data", 256).alias("sha"))
 
 
+# ------------------------------------------------------------------ data units, half floats
+
+UNIT_W = 125  # odd, so that units hang over
+UNITS = f"r AS (SELECT CAST(event_id // {UNIT_W} AS INTEGER) AS y, CAST(event_id % {UNIT_W} AS INTEGER) AS x, CAST(floor(value) AS INTEGER) % 256 AS luma, CAST(event_id * 7 % 256 AS INTEGER) AS cb, CAST(user_id % 256 AS INTEGER) AS cr FROM events)"
+
+
+def _colours(s: SparkSession, d: str) -> DataFrame:
+    """Events as a raster of luma and chroma, 125 wide; its height is known from one aggregate."""
+    e = s.read.parquet(f"{d}/events.parquet")
+    r = e.select(F.floor(F.col("event_id") / UNIT_W).cast("int").alias("y"), (F.col("event_id") % UNIT_W).cast("int").alias("x"), (F.floor("value").cast("int") % 256).alias("luma"), (F.col("event_id") * 7 % 256).cast("int").alias("cb"), (F.col("user_id") % 256).cast("int").alias("cr"))
+    return r
+
+
+def _height(r: DataFrame) -> int:
+    return (r.agg(F.max("y")).first()[0] or 0) + 1
+
+
+def _unit_bytes(sh: int, sv: int):
+    def query(s: SparkSession, d: str) -> DataFrame:
+        r = _colours(s, d)
+        return S.unit_bytes(r, UNIT_W, _height(r), sh, sv)
+
+    return query
+
+
+def _unit_samples(sh: int, sv: int):
+    def query(s: SparkSession, d: str) -> DataFrame:
+        r = _colours(s, d)
+        return S.unit_samples(S.unit_bytes(r, UNIT_W, _height(r), sh, sv), UNIT_W, _height(r), sh, sv)
+
+    return query
+
+
+def _units_sql(sh: int, sv: int) -> tuple[str, str]:
+    """(bytes, samples) in SQL: places by least(), means weighted by how often a place is repeated."""
+    across, size, n = -(-UNIT_W // sh), sh * sv + 2, sh * sv
+    wide = f"(CASE WHEN x = {UNIT_W - 1} THEN {sh} - x % {sh} ELSE 1 END * CASE WHEN y = h - 1 THEN {sv} - y % {sv} ELSE 1 END)"
+    mean = lambda c: f"CAST((sum({c} * {wide}) + {n // 2}) // {n} AS INTEGER) AS {c}"
+    means = f"m AS (SELECT y // {sv} AS uy, x // {sh} AS ux, {mean('cb')}, {mean('cr')} FROM r, s GROUP BY 1, 2)"
+    head = f"WITH {UNITS}, s AS (SELECT max(y) + 1 AS h FROM r), {means}"
+    padded = f"p AS (SELECT CAST(j.y AS INTEGER) AS y, CAST(i.x AS INTEGER) AS x, luma FROM (SELECT unnest(range({across * sh})) AS x) i CROSS JOIN (SELECT unnest(range(CAST((h + {sv - 1}) // {sv} * {sv} AS BIGINT))) AS y, h FROM s) j JOIN r ON r.x = least(i.x, {UNIT_W - 1}) AND r.y = least(j.y, j.h - 1))"
+    at = f"(CAST({{y}} AS BIGINT) * {across} + {{x}}) * {size}"
+    unit = at.format(y=f"(y // {sv})", x=f"x // {sh}")
+    own = at.format(y="uy", x="ux")
+    bytes_ = f"{head}, {padded} SELECT {unit} + (y % {sv}) * {sh} + x % {sh} AS i, luma AS v FROM p UNION ALL SELECT {own} + {n}, cb FROM m UNION ALL SELECT {own} + {n + 1}, cr FROM m"
+    return bytes_, f"{head} SELECT y, x, luma, m.cb, m.cr FROM r JOIN m ON m.uy = y // {sv} AND m.ux = x // {sh}"
+
+
+_PATTERN = "event_id * 2654435761 % 4294967296"
+
+
+def _halves(s: SparkSession, d: str) -> DataFrame:
+    """Bit patterns made of event numbers, as halves."""
+    e = s.read.parquet(f"{d}/events.parquet").select((F.col("event_id") * 2654435761 % 4294967296).cast("long").alias("bits"))
+    near = e.select((F.lit(0x38000000) + F.col("bits") % (1 << 27)).cast("long").alias("bits"))  # those that aren't infinite or zero
+    every = e.withColumn("set", F.lit("any")).unionByName(near.withColumn("set", F.lit("near")))
+    return every.select("set", "bits", S.float_bits_to_half(F.col("bits")).alias("half"))
+
+
+def _halves_sql() -> str:
+    nearest = "{w} // {p} + CASE WHEN {w} % {p} * 2 > {p} OR {w} % {p} * 2 = {p} AND {w} // {p} % 2 = 1 THEN 1 ELSE 0 END"
+    normal = nearest.format(w="((e - 112) * 8388608 + m)", p="8192")
+    tiny = nearest.format(w="(m + 8388608)", p="(1 << CAST(greatest(least(126 - e, 26), 1) AS BIGINT))")
+    return f"""WITH a AS (SELECT CAST({_PATTERN} AS BIGINT) AS bits FROM events), b AS (SELECT 'any' AS set, bits FROM a UNION ALL SELECT 'near', {0x38000000} + bits % {1 << 27} FROM a),
+f AS (SELECT set, bits, bits >> 31 AS s, (bits >> 23) & 255 AS e, bits & 8388607 AS m FROM b)
+SELECT set, bits, CAST(s * 32768 + CASE WHEN e = 255 AND m > 0 THEN 32256 | (m >> 13) WHEN e >= 143 THEN 31744 WHEN e >= 113 THEN {normal} WHEN e >= 102 THEN {tiny} ELSE 0 END AS INTEGER) AS half FROM f"""
+
+
 def found() -> dict:
     base = _base()
+    units = {f"unit_{kind}_{sh}x{sv}": (query(sh, sv), _units_sql(sh, sv)[k]) for sh, sv in ((2, 1), (1, 2), (4, 1), (4, 2)) for k, (kind, query) in enumerate((("bytes", _unit_bytes), ("samples", _unit_samples)))}
     whole = "SELECT CAST(y // 100 AS INTEGER) AS raster, CAST(y % 100 AS INTEGER) AS y, x, CAST(0 AS INTEGER) AS c, v FROM r"
     four = "SELECT CAST(y // 100 AS INTEGER) AS raster, CAST(y % 100 AS INTEGER) AS y, CAST(x // 4 AS INTEGER) AS x, CAST(x % 4 AS INTEGER) AS c, v FROM r WHERE x % 4 < 3"
-    return {
+    return units | {
+        "float_bits_to_half": (_halves, _halves_sql()),
         "decode_blocks_tiles": (_tiled, f"WITH {base}\n{whole}"),
         "decode_blocks_webp": (_webp, f"WITH {base}\n{four}"),
         "decode_blocks_planar": (_planar, f"WITH {base}\n{four}"),

@@ -67,3 +67,41 @@ def test_tile_padding_covers_the_whole_raster(spark):
     assert all(rows[y, x] == events[min(y, h - 1), min(x, 99)] for y, x in rows) and set(events) <= set(rows)
     few = Q.S.pad_tiles(Q.raster(spark, D).where("y < 5"), 100, 5, 32, 4)
     assert few.count() == 8 * 128 and few.agg({"y": "max"}).first()[0] == 7
+
+
+def test_halves_in_columns_equal_numpy(spark):
+    """Every half, the middles between neighbours, one step to either side of them, and NaNs with payloads."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from rasterloom.functions import pixels, samples
+
+    every = np.arange(65536, dtype=np.uint16).view(np.float16).astype(np.float32)
+    own = every.view(np.uint32).astype(np.int64)
+    whole = np.sort(every[np.isfinite(every) & (every >= 0)].astype(np.float64))
+    middle = ((whole[1:] + whole[:-1]) / 2).astype(np.float32).view(np.uint32).astype(np.int64)
+    rare = np.array([0x477FEFFF, 0x477FF000, 0x477FFFFF, 0x47800000, 0x7F800000, 0x7F800001, 0x7FC12345, 0xFFFFFFFF, 0x00000001, 0x33000000, 0x33000001, 0x32FFFFFF, 0x7F7FFFFF], np.int64)
+    bits = np.unique(np.concatenate([own, middle, middle + 1, middle - 1, middle | 1 << 31, rare]))
+    bits = bits[bits >= 0]
+    df = spark.createDataFrame([(int(b),) for b in bits], "bits long")
+    got = {r.bits: r.h for r in df.select("bits", samples.float_bits_to_half(F.col("bits")).alias("h")).collect()}
+    want = pixels.float_to_half(bits.astype(np.uint32).view(np.float32))
+    assert [got[int(b)] for b in bits] == want.tolist()
+
+
+@pytest.mark.parametrize("sh, sv", [(1, 1), (2, 1), (1, 2), (2, 2), (4, 1), (4, 2)])
+def test_data_units_equal_numpy(spark, sh, sv):
+    """Bytes of units and samples read back, on sides that units don't divide."""
+    import numpy as np
+
+    from rasterloom.functions import pixels, samples
+
+    rng = np.random.default_rng(sh * 10 + sv)
+    for h, w in ((5, 7), (1, 1), (4, 8)):
+        v = rng.integers(0, 256, (h, w, 3))
+        df = spark.createDataFrame([(y, x, *map(int, v[y, x])) for y in range(h) for x in range(w)], "y int, x int, luma int, cb int, cr int")
+        coded = samples.unit_bytes(df, w, h, sh, sv)
+        data = bytes(r.v for r in coded.orderBy("i").collect())
+        assert data == pixels.split_units(v, sh, sv)
+        got = np.array([tuple(r) for r in samples.unit_samples(coded, w, h, sh, sv).orderBy("y", "x").select("luma", "cb", "cr").collect()])
+        assert np.array_equal(got.reshape(h, w, 3), pixels.join_units(data, w, h, sh, sv))

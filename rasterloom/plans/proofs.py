@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..functions import rules
 from ..operators import container
 from ..operators.container import Entry
 from ..operators.decode import guarded, read_layout
@@ -91,6 +92,82 @@ FOUND["rules_tiles"] = _matrix(
     "WHEN tile_w = -1 THEN 'ok' WHEN tile_w = 0 OR tile_h = 0 THEN 'invalid' WHEN CAST(tile_w AS BIGINT) * tile_h > 268435456 THEN 'invalid' WHEN tile_w * bits % 8 <> 0 THEN 'unsupported'",
 )
 
+# ------------------------------------------------------------------ the rules as one column
+
+
+def _tag_columns(tags: dict[str, int], counted: dict[str, str], fixed: dict[int, tuple[int, ...]]) -> dict[int, Column]:
+    """tag -> array column of a matrix's numbers; negative numbers leave a tag out."""
+    out = {t: F.array(*[F.lit(x) for x in v]) for t, v in fixed.items()}
+    for n, t in tags.items():
+        times = F.greatest(F.col(counted[n]), F.lit(0)).cast("int") if n in counted else F.lit(1)
+        out[t] = F.when(F.col(n) >= 0, F.array_repeat(F.col(n), times))
+    return out
+
+
+def _column_matrix(columns: dict[str, tuple[tuple, str, int]], tags: dict[str, int], rule: str, fixed: dict[int, tuple[int, ...]] = PLAIN, counted: dict[str, str] | None = None, colour: bool = False):
+    """As ``_matrix``, with the rules evaluated by Spark expressions only."""
+
+    def query(s: SparkSession, d: str) -> DataFrame:
+        t = s.read.parquet(f"{d}/lineitem.parquet").select(*[pick(*c).cast("int").alias(n) for n, c in columns.items()]).distinct()
+        found = rules.of_columns(_tag_columns(tags, counted or {}, fixed))
+        return t.withColumn("status", rules.status(rules.rules(found) + (rules.colour_rules(found) if colour else [])))
+
+    chosen = ", ".join(f"CAST({sql_pick(*c)} AS INTEGER) AS {n}" for n, c in columns.items())
+    return query, f"SELECT *, CASE {rule} ELSE 'ok' END AS status FROM (SELECT DISTINCT {chosen} FROM lineitem)"
+
+
+FOUND["rules_units_orientation"] = _column_matrix(
+    {"unit": ((-1, 0, 1, 2, 3, 4), "l_partkey", 1), "orientation": ((-1, 0, 1, 8, 9), "l_suppkey", 1), "planar": ((-1, 1, 2, 3), "l_quantity", 1)},
+    {"unit": K.RESOLUTION_UNIT, "orientation": K.ORIENTATION, "planar": K.PLANAR},
+    "WHEN planar = 3 THEN 'invalid' WHEN orientation IN (0, 9) THEN 'invalid' WHEN unit IN (0, 4) THEN 'invalid'",
+)
+FOUND["rules_extra_samples"] = _column_matrix(
+    {"photometric": ((0, 1, 2, 3, 5, 8), "l_partkey", 1), "samples": ((1, 2, 3, 4, 5), "l_suppkey", 1), "extra": ((-1, 0, 2, 3), "l_quantity", 1), "n": ((1, 2), "l_orderkey", 1), "bits": ((8, 16), "l_extendedprice", 7)},
+    {"photometric": K.PHOTOMETRIC, "samples": K.SAMPLES_PER_PIXEL, "extra": K.EXTRA_SAMPLES, "bits": K.BITS_PER_SAMPLE},
+    "WHEN extra >= 0 AND NOT (samples = CASE WHEN photometric IN (2, 8) THEN 3 WHEN photometric = 5 THEN 4 ELSE 1 END + n OR photometric = 8 AND samples = 1 + n) THEN 'invalid' WHEN extra = 3 THEN 'invalid'",
+    counted={"extra": "n", "bits": "samples"},
+)
+FOUND["rules_jpeg_planes"] = _column_matrix(
+    {"code": ((1, 6, 7, 8, 50001), "l_partkey", 1), "planar": ((1, 2), "l_suppkey", 1), "samples": ((1, 3, 4), "l_quantity", 1), "predictor": ((1, 2), "l_orderkey", 1), "bits": ((8, 16), "l_extendedprice", 7)},
+    {"code": K.COMPRESSION, "planar": K.PLANAR, "samples": K.SAMPLES_PER_PIXEL, "predictor": K.PREDICTOR, "bits": K.BITS_PER_SAMPLE},
+    "WHEN code IN (6, 7) AND planar = 2 AND samples > 1 THEN 'unsupported' WHEN code = 50001 AND NOT (bits = 8 AND samples IN (3, 4) AND planar = 1 AND predictor = 1) THEN 'invalid'",
+    fixed={k: v for k, v in PLAIN.items() if k != K.PHOTOMETRIC} | {K.PHOTOMETRIC: (2,)},
+    counted={"bits": "samples"},
+)
+FOUND["rules_colours"] = _column_matrix(
+    {"photometric": ((0, 1, 2, 3, 4, 5, 6, 7, 8), "l_partkey", 1), "samples": ((1, 2, 3, 4), "l_suppkey", 1), "bits": ((1, 4, 8, 16), "l_quantity", 1)},
+    {"photometric": K.PHOTOMETRIC, "samples": K.SAMPLES_PER_PIXEL, "bits": K.BITS_PER_SAMPLE},
+    "WHEN photometric IN (0, 1) AND samples = 1 OR photometric = 4 AND samples = 1 AND bits = 1 OR photometric = 2 AND (bits = 8 AND samples >= 3 OR bits = 16 AND samples = 3) "
+    "OR photometric = 5 AND samples = 4 AND bits = 8 OR photometric = 6 AND samples = 3 AND bits = 8 OR photometric = 8 AND bits = 8 AND samples IN (1, 3) OR photometric = 3 AND samples = 1 AND bits = 4 THEN 'ok' "
+    "WHEN TRUE THEN 'invalid'",
+    fixed={k: v for k, v in PLAIN.items() if k != K.PHOTOMETRIC} | {K.COLOR_MAP: tuple(range(48)), K.YCBCR_SUBSAMPLING: (1, 1)},
+    counted={"bits": "samples"},
+    colour=True,
+)
+FOUND["rules_fax_options"] = _column_matrix(
+    {"code": ((1, 2, 3, 4), "l_partkey", 1), "t6": ((-1, 0, 1, 2, 3, 4), "l_suppkey", 1), "t4": ((-1, 0, 5), "l_quantity", 1), "samples": ((1, 2), "l_orderkey", 1)},
+    {"code": K.COMPRESSION, "t6": K.T6_OPTIONS, "t4": K.T4_OPTIONS, "samples": K.SAMPLES_PER_PIXEL},
+    "WHEN code > 1 AND samples > 1 THEN 'invalid' WHEN code = 4 AND t6 IN (1, 3, 4) THEN 'unsupported'",
+    fixed={k: v for k, v in PLAIN.items() if k != K.BITS_PER_SAMPLE},
+)
+
+
+def _segments(s: SparkSession, d: str) -> DataFrame:
+    """Lists of segment places made of lineitem numbers, against the rules on them."""
+    t = s.read.parquet(f"{d}/lineitem.parquet").select(*[pick(*c).cast("int").alias(n) for n, c in _SEGMENT_COLUMNS.items()]).distinct()
+    offsets = F.when(F.col("n") >= 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("n"), F.lit(1)) - 1), lambda i: (i * 100 + 8).cast("bigint")))
+    sizes = F.when(F.col("m") >= 0, F.array_repeat(F.lit(100).cast("bigint"), F.col("m")))
+    offsets = F.when(F.col("n") == 0, F.array().cast("array<bigint>")).otherwise(offsets)
+    return t.withColumn("status", rules.status(rules.segment_rules(offsets, sizes, F.col("grid"), F.col("tiled") == 1, F.col("total"))))
+
+
+_SEGMENT_COLUMNS = {"n": ((-1, 0, 2, 3, 4), "l_partkey", 1), "m": ((-1, 2, 3, 4), "l_suppkey", 1), "grid": ((2, 3), "l_quantity", 1), "tiled": ((0, 1), "l_orderkey", 1), "total": ((208, 307, 308, 408), "l_extendedprice", 7)}
+FOUND["rules_segments"] = (
+    _segments,
+    "SELECT *, CASE WHEN n < 0 OR m < 0 OR n <> m THEN 'invalid' WHEN n < grid THEN 'invalid' WHEN grid * 100 + 8 > total THEN 'invalid' WHEN tiled = 1 AND n <> grid THEN 'invalid' ELSE 'ok' END AS status "
+    f"FROM (SELECT DISTINCT {', '.join(f'CAST({sql_pick(*c)} AS INTEGER) AS {n}' for n, c in _SEGMENT_COLUMNS.items())} FROM lineitem)",
+)
+
 # ------------------------------------------------------------------ the writer's rules
 
 _KINDS, _CODECS = ("bilevel", "gray8", "rgb24", "palette8", "gray_f32", "nothing"), ("none", "lzw", "ccitt_t6", "webp")

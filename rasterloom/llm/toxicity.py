@@ -218,51 +218,56 @@ def _class_count(c: str, out: int | None) -> Column:
     return sum((F.col(f"_{c}{f}") for f in range(FOLDS) if f != out), F.lit(0))
 
 
+def _constant(values: list[float]) -> Column:
+    """Numbers as one array: a value that plans refer to, so that the code made for them is the same in every run."""
+    return F.array(*[F.lit(float(v)) for v in values])
+
+
 def _quotients(rows: DataFrame, total: float | None, ones: bool) -> DataFrame:
-    """The class quotients _q{class}{variant} of rows with counts _n.., shared counts _all and the quotients _b.. they back off to.
+    """_key and _q, the class quotients of rows with class counts _n, shared counts _all and the quotients _b that they back off to.
 
-    total: sum of all shared counts, those of expressions outside the rows included.  ones: counts of one are
-    discounted wholly (continuation counts).
+    Arrays have a place for each class and variant.  total: sum of all shared counts, those of expressions outside
+    the rows included.  ones: counts of one are discounted wholly (continuation counts).
     """
-    names = [f"{c}{v}" for v in _VARIANTS for c in "to"]
     trust = TRUST_STEM if ones else TRUST_WORD
 
     def kept(n: Column) -> Column:
         rest = F.greatest(n - F.lit(DISCOUNT), F.lit(0.0))
         return F.when(n <= 1, F.lit(0.0)).otherwise(rest) if ones else rest
 
-    sums = rows.agg(F.sum("_all").alias("_all"), *[F.sum(f"_n{x}").alias(f"n{x}") for x in names], *[F.sum(kept(F.col(f"_n{x}"))).alias(f"k{x}") for x in names]).first()
-    part = F.col("_all") / F.lit(float(sums["_all"] or 1))  # of what the table has
-    expected = F.col("_all") / F.lit(max(total, 1.0)) if total else part
-    out = []
-    for x in names:
-        n, k = float(sums[f"n{x}"] or 0), float(sums[f"k{x}"] or 0)
-        out.append(((kept(F.col(f"_n{x}")) + F.lit(n - k) * part + F.lit(trust) * F.col(f"_b{x}")) / (F.lit(n) * expected + F.lit(trust))).alias(f"_q{x}"))
-    return rows.select("_key", *out)
+    places = range(2 * len(_VARIANTS))
+    sums = rows.agg(F.sum("_all").alias("_all"), *[F.sum(F.col("_n")[i]).alias(f"n{i}") for i in places], *[F.sum(kept(F.col("_n")[i])).alias(f"k{i}") for i in places]).first()
+    n = _constant([sums[f"n{i}"] or 0 for i in places])
+    freed = _constant([(sums[f"n{i}"] or 0) - (sums[f"k{i}"] or 0) for i in places])
+    inside = _constant([sums["_all"] or 1, max(total or sums["_all"] or 1, 1.0)])
+    part, expected = F.col("_all") / inside[0], F.col("_all") / inside[1]
+    up = F.zip_with(F.zip_with("_n", freed, lambda v, f: kept(v) + f * part), "_b", lambda v, b: v + b * trust)
+    return rows.select("_key", F.zip_with(up, n, lambda v, c: v / (c * expected + trust)).alias("_q"))
 
 
 def log_ratios(words: DataFrame, shared: DataFrame) -> DataFrame:
     """_key and log p(toxic) - log p(ordinary) of words and beginnings, by all folds (_r) and without fold f (_r0, ...)."""
     total = float(shared.where("_key IS NULL").agg(F.sum("_all")).first()[0] or 0)
-    counts = {f"{c}{v}": _class_count(c, out) for v, out in _VARIANTS.items() for c in "to"}
+    counts = [_class_count(c, out) for out in _VARIANTS.values() for c in "to"]
     done: DataFrame | None = None
     for i, stem in enumerate(_STEMS):  # from the shortest beginning to the longest
         parent = F.first(_STEMS[i - 1]) if i else F.lit(0)
-        types = [F.sum((n > 0).cast("long")).alias(f"_n{x}") for x, n in counts.items()]
-        rows = words.where(F.col(stem) != 0).groupBy(F.col(stem).alias("_key")).agg(parent.cast("long").alias("_parent"), F.count(F.lit(1)).alias("_all"), *types)
-        level = scratch(_quotients(_backed(rows, done, list(counts)), None, True), f"stems-{i}")
+        types = F.array(*[F.sum((n > 0).cast("long")) for n in counts])
+        rows = words.where(F.col(stem) != 0).groupBy(F.col(stem).alias("_key")).agg(parent.cast("long").alias("_parent"), F.count(F.lit(1)).alias("_all"), types.alias("_n"))
+        level = scratch(_quotients(_backed(rows, done), None, True), f"stems-{i}")
         done = level if done is None else done.unionByName(level)
-    rows = words.select("_key", F.coalesce(*[F.nullif(F.col(s), F.lit(0)) for s in reversed(_STEMS)], F.lit(0)).alias("_parent"), *[n.alias(f"_n{x}") for x, n in counts.items()])
-    every = _quotients(_backed(rows.join(shared, "_key"), done, list(counts)), total, False).unionByName(done)
-    return every.select("_key", *[(F.log(f"_qt{v}") - F.log(f"_qo{v}")).cast("float").alias(f"_r{v}") for v in _VARIANTS])
+    rows = words.select("_key", F.coalesce(*[F.nullif(F.col(s), F.lit(0)) for s in reversed(_STEMS)], F.lit(0)).alias("_parent"), F.array(*counts).alias("_n"))
+    every = _quotients(_backed(rows.join(shared, "_key"), done), total, False).unionByName(done)
+    return every.select("_key", *[(F.log(F.col("_q")[2 * i]) - F.log(F.col("_q")[2 * i + 1])).cast("float").alias(f"_r{v}") for i, v in enumerate(_VARIANTS)])
 
 
-def _backed(rows: DataFrame, done: DataFrame | None, names: list[str]) -> DataFrame:
-    """rows with the quotients of their _parent (1 at the root)."""
+def _backed(rows: DataFrame, done: DataFrame | None) -> DataFrame:
+    """rows with _b, the quotients of their _parent (1 at the root)."""
+    one = _constant([1.0] * (2 * len(_VARIANTS)))
     if done is None:
-        return rows.select("*", *[F.lit(1.0).alias(f"_b{x}") for x in names])
-    above = done.select(F.col("_key").alias("_parent"), *[F.col(f"_q{x}").alias(f"_b{x}") for x in names])
-    return rows.join(above, "_parent", "left").na.fill(1.0, [f"_b{x}" for x in names])
+        return rows.withColumn("_b", one)
+    above = done.select(F.col("_key").alias("_parent"), F.col("_q").alias("_above"))
+    return rows.join(above, "_parent", "left").withColumn("_b", F.coalesce("_above", one)).drop("_above")
 
 
 def differences(term: np.ndarray, x: Expressions) -> np.ndarray:

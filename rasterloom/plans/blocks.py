@@ -181,12 +181,31 @@ f AS (SELECT set, bits, bits >> 31 AS s, (bits >> 23) & 255 AS e, bits & 8388607
 SELECT set, bits, CAST(s * 32768 + CASE WHEN e = 255 AND m > 0 THEN 32256 | (m >> 13) WHEN e >= 143 THEN 31744 WHEN e >= 113 THEN {normal} WHEN e >= 102 THEN {tiny} ELSE 0 END AS INTEGER) AS half FROM f"""
 
 
+# ------------------------------------------------------------------ directories and their layout's status
+
+
+def _directories(s: SparkSession, d: str) -> DataFrame:
+    """Tags, types and sizes of every entry of the rasters' files, with the status that the rules' column gives their layout."""
+    from .queries import _files
+
+    rows = relations.layout_status(relations.ifds(_files(s, d), "FAILFAST"))
+    entries = rows.select("path", "page_index", "byte_order", F.col("_layout").alias("layout"), F.explode("entries").alias("e"))
+    return entries.select("path", "page_index", "byte_order", "layout", "e.tag", "e.field_type", F.col("e.count").cast("bigint").alias("count"), F.octet_length("e.data").cast("bigint").alias("nbytes"))
+
+
+_DIRECTORIES = """, h AS (SELECT y // 100 AS p, max(y % 100) + 1 AS h FROM r GROUP BY 1), k AS (SELECT p, CAST((h + 15) // 16 AS BIGINT) AS n FROM h),
+t(tag, field_type, count, size) AS (VALUES (254, 4, 1, 4), (256, 4, 1, 4), (257, 4, 1, 4), (258, 3, 1, 2), (259, 3, 1, 2), (262, 3, 1, 2), (273, 4, 0, 4), (274, 3, 1, 2), (277, 3, 1, 2), (278, 4, 1, 4), (279, 4, 0, 4), (284, 3, 1, 2), (305, 2, 11, 1))
+SELECT 'raster-' || p AS path, CAST(0 AS INTEGER) AS page_index, 'II' AS byte_order, 'ok' AS layout, CAST(tag AS INTEGER) AS tag, CAST(field_type AS INTEGER) AS field_type,
+CAST(CASE WHEN count = 0 THEN n ELSE count END AS BIGINT) AS count, CAST(CASE WHEN count = 0 THEN n ELSE count END * size AS BIGINT) AS nbytes FROM k CROSS JOIN t"""
+
+
 def found() -> dict:
     base = _base()
     units = {f"unit_{kind}_{sh}x{sv}": (query(sh, sv), _units_sql(sh, sv)[k]) for sh, sv in ((2, 1), (1, 2), (4, 1), (4, 2)) for k, (kind, query) in enumerate((("bytes", _unit_bytes), ("samples", _unit_samples)))}
     whole = "SELECT CAST(y // 100 AS INTEGER) AS raster, CAST(y % 100 AS INTEGER) AS y, x, CAST(0 AS INTEGER) AS c, v FROM r"
     four = "SELECT CAST(y // 100 AS INTEGER) AS raster, CAST(y % 100 AS INTEGER) AS y, CAST(x // 4 AS INTEGER) AS x, CAST(x % 4 AS INTEGER) AS c, v FROM r WHERE x % 4 < 3"
     return units | {
+        "read_entries_layout": (_directories, f"WITH {base}\n{_DIRECTORIES}"),
         "float_bits_to_half": (_halves, _halves_sql()),
         "decode_blocks_tiles": (_tiled, f"WITH {base}\n{whole}"),
         "decode_blocks_webp": (_webp, f"WITH {base}\n{four}"),

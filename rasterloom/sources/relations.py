@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..functions import rules
 from ..operators import container, decode
 from ..operators import metadata as meta
 from ..operators.errors import RasterError
@@ -34,7 +35,7 @@ IMAGE = "struct<width: int, height: int, pixel_format: string, stride: int, data
 ENTRY = "struct<tag: int, field_type: int, count: decimal(20,0), data: binary>"
 PAGES = f"path string, page_index int, ifd_offset bigint, metadata {METADATA}, format {FORMAT}, image {IMAGE}, _status string, _error string"
 META = f"path string, page_index int, ifd_offset bigint, byte_order string, variant string, metadata {METADATA}, format {FORMAT}, _status string, _error string"
-IFDS = f"path string, ifd_offset bigint, page_index int, parent_offset bigint, link string, depth int, entries array<{ENTRY}>, next_ifd bigint, _status string, _error string"
+IFDS = f"path string, ifd_offset bigint, page_index int, parent_offset bigint, link string, depth int, entries array<{ENTRY}>, next_ifd bigint, byte_order string, _status string, _error string"
 SEGMENTS = (
     "path string, page_index int, plane int, seg_index int, x0 int, y0 int, seg_w int, seg_h int, vis_w int, vis_h int, offset bigint, nbytes bigint, "
     "expected_len bigint, compression string, raw binary, _status string, _error string"
@@ -128,13 +129,13 @@ def ifd_rows(path: str, content: bytes) -> Iterator[dict]:
                 continue
             seen.add(at)
             entries, after = container.parse_directory(content, header, at)
-            yield {"path": path, "ifd_offset": at, "page_index": page, "parent_offset": parent, "link": link, "depth": depth, "entries": [{"tag": e.tag, "field_type": e.kind, "count": e.count, "data": e.data} for e in entries], "next_ifd": after, "_status": "ok", "_error": None}
+            yield {"path": path, "ifd_offset": at, "page_index": page, "parent_offset": parent, "link": link, "depth": depth, "entries": [{"tag": e.tag, "field_type": e.kind, "count": e.count, "data": e.data} for e in entries], "next_ifd": after, "byte_order": header.byte_order, "_status": "ok", "_error": None}
             for tag, name in ((K.SUB_IFDS, "sub"), (K.EXIF, "exif"), (K.GPS, "gps")):
                 e = container.find(entries, tag)
                 if e is not None and depth < 8:
                     todo += [(x, page, at, name, depth + 1) for x in e.unsigned()]
     except RasterError as e:
-        yield {"path": path, "ifd_offset": None, "page_index": None, "parent_offset": None, "link": None, "depth": None, "entries": None, "next_ifd": None, "_status": e.status, "_error": str(e)}
+        yield {"path": path, "ifd_offset": None, "page_index": None, "parent_offset": None, "link": None, "depth": None, "entries": None, "next_ifd": None, "byte_order": None, "_status": e.status, "_error": str(e)}
 
 
 def segment_rows(path: str, content: bytes) -> Iterator[dict]:
@@ -218,6 +219,15 @@ def ifds(source: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
     return _mode(source.select("path", "content").mapInArrow(_mapped(ifd_rows, IFDS), IFDS), mode)
 
 
+def layout_status(directories: DataFrame) -> DataFrame:
+    """Directories (of ``ifds``) with ``_layout``: what decoding would say of their tags.
+
+    A Spark expression, so that a filter on it keeps pages that can't be decoded from reaching the decoder.
+    """
+    found = rules.of_entries(F.col("entries"), F.col("byte_order") == "MM")
+    return directories.withColumn("_layout", F.when(F.col("_status") == "ok", rules.status(rules.rules(found))).otherwise(F.col("_status")))
+
+
 def segments(source: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
     """Strips and tiles, still compressed: for very large images these can be dealt out before decoding."""
     return _mode(source.select("path", "content").mapInArrow(_mapped(segment_rows, SEGMENTS), SEGMENTS), mode)

@@ -101,3 +101,22 @@ def test_segment_rules_equal_the_reader(spark):
     df = spark.createDataFrame(rows, "i int, o array<bigint>, n array<bigint>, grid int, tiled boolean, total bigint")
     got = df.select("i", rules.status(rules.segment_rules(F.col("o"), F.col("n"), F.col("grid"), F.col("tiled"), F.col("total"))).alias("s")).orderBy("i").collect()
     assert [r.s for r in got] == want and set(want) == {"ok", "invalid"}
+
+
+def test_layout_status_of_files(spark):
+    """Directories of files in both byte orders, with the status that decoding's layout gets."""
+    from rasterloom.plans.proofs import hand_file
+    from rasterloom.sources import relations, sink
+
+    from .test_blocks import ROWS, frame
+
+    files = {r.path: r.content for r in sink.encode_files(frame(spark, ROWS)).collect()}
+    hand = lambda order, big, *more: hand_file(order, [(K.WIDTH, 3, (5,)), (K.LENGTH, 4, (3,)), (K.PHOTOMETRIC, 3, (1,)), *more], bytes(15), big)
+    files["bad"] = hand(">", False, (K.BITS_PER_SAMPLE, 3, (8,)), (K.ORIENTATION, 3, (9,)))
+    files["odd"] = hand(">", True, (K.BITS_PER_SAMPLE, 3, (12,)))
+    files["cut"] = files["a.tif"][:200]
+    src = spark.createDataFrame(list(files.items()), "path string, content binary")
+    directories = relations.layout_status(relations.ifds(src))
+    got = {(r.path, r.page_index or 0): r._layout for r in directories.where("link = 'chain' OR link IS NULL").collect()}
+    want = {(r.path, r.page_index): r._status for r in relations.page_metadata(src).collect()}
+    assert got == want and set(want.values()) == {"ok", "invalid", "unsupported"}

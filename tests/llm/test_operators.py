@@ -725,3 +725,34 @@ def test_near_dedup_texts_by_join(docs, monkeypatch):
     own = Counter(tuple(r) for r in near_dedup.near_duplicates(docs).select(*names).collect())
     monkeypatch.setattr(near_dedup, "MOST_SENT", 0)
     assert Counter(tuple(r) for r in near_dedup.near_duplicates(docs).select(*names).collect()) == own
+
+
+def test_texts_larger_than_a_slice(spark):
+    """A text beyond every slice limit (2 MB), once more under another id, among short ones: whole results, by plain loops."""
+    from rasterloom.llm import common, token_counts
+
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    rnd = random.Random(8)
+    long = " ".join(rnd.choice(["alpha", "béta", "gamma", "delta"]) + str(rnd.randrange(50_000)) for _ in range(220_000))
+    assert len(long.encode()) > common.SLICE_BYTES
+    rows = [(0, "short text"), (1, long), (2, long), (3, "short text"), (4, None)]
+    df = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string").repartition(2)
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(5)], "doc_id long, quality int, toxic int")
+    words, vocabulary = words_of(long), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokens = len(vocabulary.encode(long, add_special_tokens=False))
+    base = {r.doc_id: r for r in fertility.op1(df).collect()}
+    assert [base[i].n_words for i in range(5)] == [2, len(words), len(words), 2, 0] and base[1].word_chars == sum(map(len, words))
+    near = {r.doc_id: r for r in near_dedup.op2(df).collect()}
+    assert near[1].n_shingles == near[2].n_shingles == len(shingles_of(long, 2)) and (near[2].component_id, near[2].kept, near[3].component_id) == (1, False, 0)
+    cut = {r.doc_id: r for r in substring_dedup.op8(df).collect()}
+    assert (cut[1].n_words, cut[1].n_removed, cut[2].n_removed, cut[3].n_removed) == (len(words), 0, len(words), 0)
+    assert cut[1].kept_sha256 == hashlib.sha256(" ".join(words).encode()).hexdigest() and cut[2].kept_sha256 == hashlib.sha256(b"").hexdigest()
+    pieces = packing.op9(df).collect()
+    assert sum(r.length for r in pieces if r.doc_id == 2) == tokens + 1 and max(r.length for r in pieces) == 2048
+    counts = {r.doc_id: r for r in token_counts.op12(df).collect()}
+    assert (counts[1].n_tokens, counts[1].n_bytes, counts[1].over_limit) == (tokens, len(long.encode()), True)
+    for op in (toxicity.op10, pu_classifier.op4):
+        scores = {r.doc_id: r.score for r in op(df, labels).collect()}
+        assert scores[1] == scores[2] and all(0 <= v <= 1 for v in scores.values())

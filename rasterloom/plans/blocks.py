@@ -199,12 +199,42 @@ SELECT 'raster-' || p AS path, CAST(0 AS INTEGER) AS page_index, 'II' AS byte_or
 CAST(CASE WHEN count = 0 THEN n ELSE count END AS BIGINT) AS count, CAST(CASE WHEN count = 0 THEN n ELSE count END * size AS BIGINT) AS nbytes FROM k CROSS JOIN t"""
 
 
+# ------------------------------------------------------------------ first pages, pages at an offset, attachments
+
+
+def _two_pages(s: SparkSession, d: str) -> DataFrame:
+    """Rasters as files of two pages: as they are, and upside down."""
+    p = _pages(s, d).withColumn("kind", F.lit("gray8")).withColumn("compression", F.lit("packbits"))
+    second = p.withColumn("page_index", F.lit(1)).withColumn("metadata", F.create_map(F.lit("orientation"), F.lit("4")))
+    return sink.encode_files(p.withColumn("metadata", F.create_map(F.lit("orientation"), F.lit("1"))).unionByName(second)).select("path", "content")
+
+
+def _first_page(s: SparkSession, d: str) -> DataFrame:
+    rows = relations.samples(relations.pages(_two_pages(s, d), "first", "FAILFAST"))
+    return rows.select(F.substring("path", 8, 9).cast("int").alias("raster"), "page_index", "y", "x", "v")
+
+
+def _attached(s: SparkSession, d: str) -> DataFrame:
+    """Attachments of each raster's file: XMP that names it, and a profile."""
+    p = _pages(s, d).withColumn("kind", F.lit("gray8")).withColumn("xmp", F.encode(F.concat(F.lit("<x>"), "path", F.lit("</x>")), "utf-8"))
+    p = p.withColumn("icc_profile", F.unhex(F.concat(F.lit("000000C8"), F.repeat(F.lit("00"), 196))))
+    info = relations.stream_info(relations.page_metadata(sink.encode_files(p).select("path", "content"), mode="FAILFAST"))
+    return info.select("path", F.explode("attachments").alias("a")).select("path", "a.name", "a.mime", F.octet_length("a.data").cast("bigint").alias("nbytes"), F.sha2("a.data", 256).alias("sha"))
+
+
 def found() -> dict:
     base = _base()
     units = {f"unit_{kind}_{sh}x{sv}": (query(sh, sv), _units_sql(sh, sv)[k]) for sh, sv in ((2, 1), (1, 2), (4, 1), (4, 2)) for k, (kind, query) in enumerate((("bytes", _unit_bytes), ("samples", _unit_samples)))}
     whole = "SELECT CAST(y // 100 AS INTEGER) AS raster, CAST(y % 100 AS INTEGER) AS y, x, CAST(0 AS INTEGER) AS c, v FROM r"
     four = "SELECT CAST(y // 100 AS INTEGER) AS raster, CAST(y % 100 AS INTEGER) AS y, CAST(x // 4 AS INTEGER) AS x, CAST(x % 4 AS INTEGER) AS c, v FROM r WHERE x % 4 < 3"
     return units | {
+        "read_first_page": (_first_page, f"WITH {base}\nSELECT CAST(y // 100 AS INTEGER) AS raster, CAST(0 AS INTEGER) AS page_index, CAST(y % 100 AS INTEGER) AS y, x, v FROM r"),
+        "read_attachments": (
+            _attached,
+            f"""WITH {base}, p AS (SELECT DISTINCT 'raster-' || (y // 100) AS path FROM r)
+SELECT path, 'packet.xmp' AS name, 'application/rdf+xml' AS mime, CAST(strlen('<x>' || path || '</x>') AS BIGINT) AS nbytes, sha256('<x>' || path || '</x>') AS sha FROM p
+UNION ALL SELECT path, 'profile.icc', 'application/vnd.iccprofile', CAST(200 AS BIGINT), sha256(unhex('000000C8' || repeat('00', 196))) FROM p""",
+        ),
         "read_entries_layout": (_directories, f"WITH {base}\n{_DIRECTORIES}"),
         "float_bits_to_half": (_halves, _halves_sql()),
         "decode_blocks_tiles": (_tiled, f"WITH {base}\n{whole}"),

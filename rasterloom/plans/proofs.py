@@ -211,6 +211,66 @@ FROM (SELECT DISTINCT kind, compression, tile, rows, flags % 2 = 1 AS predictor,
 
 FOUND["rules_writer"] = (_writer, _writer_sql())
 
+def _checked(columns: dict[str, tuple[tuple, str, int]], types: str, tell, rule: str):
+    """Statuses that ``tell`` (a row's dict -> status) gives to combinations of lineitem numbers; the SQL states the rules."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([*batch.columns, pa.array([tell(r) for r in batch.to_pylist()], pa.string())], [*batch.schema.names, "status"])
+
+    kinds = dict(f.rsplit(" ", 1) for f in types.split(", "))
+
+    def query(s: SparkSession, d: str) -> DataFrame:
+        t = s.read.parquet(f"{d}/lineitem.parquet").select(*[pick(*c).cast(kinds[n]).alias(n) for n, c in columns.items()]).distinct()
+        return t.mapInArrow(each, f"{types}, status string")
+
+    chosen = ", ".join(f"CAST({sql_pick(*c)} AS {kinds[n].replace('string', 'varchar')}) AS {n}" for n, c in columns.items())
+    return query, f"SELECT *, CASE {rule} ELSE 'ok' END AS status FROM (SELECT DISTINCT {chosen} FROM lineitem)"
+
+
+def _subsampled(r: dict) -> str:
+    page = encode.Page(np.zeros((12, 16, 3), np.uint8), "ycbcr_sub24", "none", r["predictor"] == 1, r["planar"] == 1, (r["tile"], 16) if r["tile"] else None, r["rows"] or None, subsampling=(r["sh"], r["sv"]))
+    return guarded(encode.check, page)[1] or "ok"
+
+
+FOUND["rules_subsampled"] = _checked(
+    {"sh": ((1, 2, 4, 3), "l_partkey", 1), "sv": ((1, 2, 3), "l_suppkey", 1), "tile": ((0, 16, 24), "l_quantity", 1), "rows": ((0, 2, 3), "l_extendedprice", 7), "planar": ((0, 1), "l_orderkey", 1), "predictor": ((0, 1), "l_orderkey", 2)},
+    "sh int, sv int, tile int, rows int, planar int, predictor int",
+    _subsampled,
+    "WHEN tile = 24 OR tile > 0 AND rows > 0 THEN 'invalid' WHEN NOT (sh = 1 AND sv = 1 OR sh IN (2, 4) AND sv IN (1, 2)) THEN 'invalid' "
+    "WHEN sh > 1 AND (tile > 0 AND planar = 1 OR predictor = 1 AND planar = 0 OR rows % sv <> 0) THEN 'invalid'",
+)
+
+_SIZED = ("gray4", "gray8", "gray16", "rgb24", "rgb48", "rgba32", "cmyk32", "lab8", "lab_l8", "gray_i16", "gray_f16", "gray_f32", "rgb_f64", "ycbcr24", "mask")
+
+
+def _sized(r: dict) -> str:
+    _, n, bits, _ = encode.KINDS[r["kind"]]
+    row = {"kind": r["kind"], "width": 5, "height": 4, "samples": bytes(max(20 * n * max(bits, 8) // 8 + r["more"], 0)), "tile_w": None}
+    return guarded(lambda: encode.check(sink.page_of(row)))[1] or "ok"
+
+
+FOUND["rules_buffer"] = _checked({"kind": (_SIZED, "l_partkey", 1), "more": ((0, -1, 1, -20, 8), "l_suppkey", 1)}, "kind string, more int", _sized, "WHEN more <> 0 THEN 'invalid'")
+
+
+def _described(r: dict) -> str:
+    m = {k: r[k] for k in ("date_time", "artist") if r[k] != "-"} | {k: r[k] for k in ("orientation", "resolution_unit") if r[k] >= 0}
+    m |= {"x_resolution": (300, r["den"])} if r["den"] >= 0 else {}
+    m |= {"xmp": bytes(r["xmp"])} if r["xmp"] >= 0 else {}
+    m |= {"icc_profile": (200).to_bytes(4, "big") + bytes(r["icc"] - 4)} if r["icc"] > 0 else {}
+    return guarded(encode.metadata_slots, m)[1] or "ok"
+
+
+FOUND["rules_metadata"] = _checked(
+    {
+        "orientation": ((-1, 1, 8, 0, 9), "l_partkey", 1), "resolution_unit": ((-1, 1, 3, 4), "l_suppkey", 1), "date_time": (("-", "2020:01:02 03:04:05", "2020-01-02", "2020:01:02"), "l_quantity", 1),
+        "artist": (("-", "plain", "naïve"), "l_orderkey", 1), "den": ((-1, 1, 0), "l_extendedprice", 7), "xmp": ((-1, 3, 0), "l_orderkey", 3), "icc": ((-1, 200, 199), "l_partkey", 5),
+    },
+    "orientation int, resolution_unit int, date_time string, artist string, den int, xmp int, icc int",
+    _described,
+    "WHEN orientation IN (0, 9) OR resolution_unit = 4 OR date_time IN ('2020-01-02', '2020:01:02') OR artist = 'naïve' OR den = 0 OR xmp = 0 OR icc = 199 THEN 'invalid'",
+)
+
 # ------------------------------------------------------------------ files built by hand
 
 

@@ -71,6 +71,18 @@ def of_entries(entries: Column, big_endian: Column) -> Tags:
     return tag
 
 
+def taken(entries: Column, big_endian: Column) -> Column:
+    """The tags that rules look at, as one struct: as a column of its own each is read once, not once for each rule."""
+    found = of_entries(entries, big_endian)
+    numbers = {n: v for n, v in vars(K).items() if n in _USED}
+    return F.struct(*[F.struct(found(v).present.alias("present"), found(v).unsigned.alias("unsigned"), found(v).values.alias("values")).alias(f"t{v}") for v in numbers.values()])
+
+
+def of_taken(tags: Column) -> Tags:
+    """Tags of a column that ``taken`` made."""
+    return lambda tag: Tag(tags[f"t{tag}"]["present"], tags[f"t{tag}"]["unsigned"], tags[f"t{tag}"]["values"])
+
+
 def _differ(values: Column) -> Column:
     return F.size(F.array_distinct(values)) > 1
 

@@ -224,8 +224,9 @@ def layout_status(directories: DataFrame) -> DataFrame:
 
     A Spark expression, so that a filter on it keeps pages that can't be decoded from reaching the decoder.
     """
-    found = rules.of_entries(F.col("entries"), F.col("byte_order") == "MM")
-    return directories.withColumn("_layout", F.when(F.col("_status") == "ok", rules.status(rules.rules(found))).otherwise(F.col("_status")))
+    rows = directories.withColumn("_tags", rules.taken(F.col("entries"), F.col("byte_order") == "MM"))
+    found = rules.of_taken(F.col("_tags"))
+    return rows.withColumn("_layout", F.when(F.col("_status") == "ok", rules.status(rules.rules(found))).otherwise(F.col("_status"))).drop("_tags")
 
 
 def segments(source: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:

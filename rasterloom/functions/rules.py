@@ -73,9 +73,9 @@ def of_entries(entries: Column, big_endian: Column) -> Tags:
 
 def taken(entries: Column, big_endian: Column) -> Column:
     """The tags that rules look at, as one struct: as a column of its own each is read once, not once for each rule."""
-    found = of_entries(entries, big_endian)
-    numbers = {n: v for n, v in vars(K).items() if n in _USED}
-    return F.struct(*[F.struct(found(v).present.alias("present"), found(v).unsigned.alias("unsigned"), found(v).values.alias("values")).alias(f"t{v}") for v in numbers.values()])
+    numbers = [v for n, v in vars(K).items() if n in _USED]
+    tags = [*zip(numbers, map(of_entries(entries, big_endian), numbers))]
+    return F.struct(*[F.struct(t.present.alias("present"), t.unsigned.alias("unsigned"), t.values.alias("values")).alias(f"t{v}") for v, t in tags])
 
 
 def of_taken(tags: Column) -> Tags:
@@ -196,7 +196,8 @@ def segment_rules(offsets: Column, sizes: Column, expected: Column, tiled: Colum
 
 def status(table: list[tuple[str, Column]]) -> Column:
     """The first rule that holds, as one CASE; conditions that can't be told (null) don't hold."""
-    out = F.lit(OK)
-    for name, condition in reversed(table):
-        out = F.when(F.coalesce(condition, F.lit(False)), F.lit(name)).otherwise(out)
-    return out
+    (name, condition), *rest = table
+    out = F.when(F.coalesce(condition, F.lit(False)), F.lit(name))
+    for name, condition in rest:
+        out = out.when(F.coalesce(condition, F.lit(False)), F.lit(name))
+    return out.otherwise(F.lit(OK))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..functions import directories as in_columns
 from ..functions import rules
 from ..operators import container, decode
 from ..operators import metadata as meta
@@ -219,6 +220,16 @@ def ifds(source: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
     return _mode(source.select("path", "content").mapInArrow(_mapped(ifd_rows, IFDS), IFDS), mode)
 
 
+def directories(source: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
+    """The rows of ``ifds`` by Spark expressions alone: no Python worker."""
+    found = source.select("path", in_columns.directories(F.col("content")).alias("_found"))
+    rows = found.select("path", F.col("_found.byte_order").alias("byte_order"), F.explode("_found.rows").alias("_row"))
+    kept = [F.col(f"_row.{n}").alias(n) for n in ("ifd_offset", "page_index", "parent_offset", "link", "depth", "entries", "next_ifd")]
+    bad = F.col("_row.error").isNotNull()
+    order = F.when(~bad, F.col("byte_order")).alias("byte_order")
+    return _mode(rows.select("path", *kept, order, F.when(bad, F.lit("invalid")).otherwise(F.lit("ok")).alias("_status"), F.col("_row.error").alias("_error")), mode)
+
+
 def layout_status(directories: DataFrame) -> DataFrame:
     """Directories (of ``ifds``) with ``_layout``: what decoding would say of their tags.
 

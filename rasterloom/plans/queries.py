@@ -377,6 +377,40 @@ _add("read_segments", lambda s, d: relations.segments(_files(s, d), "FAILFAST").
 _add("read_metadata", lambda s, d: relations.page_metadata(_files(s, d), mode="FAILFAST").select("path", "byte_order", "variant", "metadata.software", "metadata.orientation", "format.width", "format.height", "format.compression"), f"SELECT 'raster-' || p AS path, 'II' AS byte_order, 'classic' AS variant, 'rasterloom' AS software, CAST(6 AS BIGINT) AS orientation, CAST(100 AS BIGINT) AS width, CAST(h AS BIGINT) AS height, CAST(32773 AS BIGINT) AS compression FROM {_PAGES}")
 _add("read_stream_info", lambda s, d: relations.stream_info(relations.page_metadata(_files(s, d), mode="FAILFAST")).select("path", "width", "height", "pixel_format", F.element_at("fields", "software").alias("software"), F.size("attachments").alias("attachments")), f"SELECT 'raster-' || p AS path, CAST(100 AS BIGINT) AS width, CAST(h AS BIGINT) AS height, 'Gray8' AS pixel_format, 'rasterloom' AS software, CAST(0 AS INTEGER) AS attachments FROM {_PAGES}")
 _add("read_directories", lambda s, d: relations.ifds(_files(s, d), "FAILFAST").select("path", "page_index", "link", "depth", F.transform("entries", lambda e: e["tag"]).alias("tags")).select("path", "link", "depth", F.array_join(F.transform("tags", lambda t: t.cast("string")), ",").alias("tags")), f"SELECT 'raster-' || p AS path, 'chain' AS link, CAST(0 AS INTEGER) AS depth, '254,256,257,258,259,262,273,274,277,278,279,284,305' AS tags FROM {_PAGES}")
+def _column_directories(s: SparkSession, d: str) -> DataFrame:
+    """What ``read_directories`` gives, and the width, by Spark expressions from file bytes to rows."""
+    found = relations.directories(_files(s, d), "FAILFAST")
+    tags = F.array_join(F.transform("entries", lambda e: e["tag"].cast("string")), ",").alias("tags")
+    wide = F.get(F.filter("entries", lambda e: e["tag"] == constants.WIDTH), F.lit(0))["data"]
+    return found.select("path", "link", "depth", tags, F.conv(F.substring(F.hex(wide), 1, 2), 16, 10).cast("int").alias("width"))  # below 256, lowest byte first
+
+
+def _tree_pages(s: SparkSession, d: str) -> DataFrame:
+    """Suppliers as pages, up to 200 a file, each the child of the one at half its place: a tree of eight levels at most."""
+    t = _table(s, d, "supplier").select("s_suppkey", F.concat_ws("-", F.col("s_nationkey"), F.floor(F.col("s_suppkey") / 200)).alias("path"), (F.col("s_nationkey") % 2 == 1).alias("big"))
+    k = F.row_number().over(Window.partitionBy("path").orderBy("s_suppkey")) - 1
+    wide = (F.col("s_suppkey") % 90 + 1).cast("int")
+    page = t.withColumn("page_index", k).withColumn("parent", F.when(k > 0, F.floor((k - 1) / 2).cast("int")))
+    return page.select("path", "page_index", "parent", "big", wide.alias("width"), F.lit(1).alias("height"), F.lit("gray8").alias("kind"), F.unhex(F.repeat(F.lit("5A"), wide)).alias("samples"))
+
+
+def _tree(s: SparkSession, d: str) -> DataFrame:
+    found = relations.directories(sink.encode_files(_tree_pages(s, d)).select("path", "content"), "FAILFAST")
+    entry = lambda tag: F.get(F.filter("entries", lambda e: e["tag"] == tag), F.lit(0))
+    children = F.coalesce(entry(constants.SUB_IFDS)["count"].cast("int"), F.lit(0))
+    wide = F.conv(F.substring(F.hex(entry(constants.WIDTH)["data"]), 1, 2), 16, 10).cast("int")  # below 256, lowest byte first
+    return found.select("path", "link", "depth", "page_index", wide.alias("width"), children.alias("children"))
+
+
+_add("directories_in_columns", _column_directories, f"SELECT 'raster-' || p AS path, 'chain' AS link, CAST(0 AS INTEGER) AS depth, '254,256,257,258,259,262,273,274,277,278,279,284,305' AS tags, CAST(100 AS INTEGER) AS width FROM {_PAGES}")
+_add(
+    "directory_tree",
+    _tree,
+    "WITH t AS (SELECT s_nationkey || '-' || s_suppkey // 200 AS path, s_suppkey % 90 + 1 AS width, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY s_nationkey, s_suppkey // 200) AS n "
+    "FROM supplier WINDOW w AS (PARTITION BY s_nationkey, s_suppkey // 200 ORDER BY s_suppkey)) "
+    "SELECT path, CASE WHEN k = 0 THEN 'chain' ELSE 'sub' END AS link, CAST(floor(log2(k + 1)) AS INTEGER) AS depth, CAST(0 AS INTEGER) AS page_index, CAST(width AS INTEGER) AS width, "
+    "CAST((2 * k + 1 < n)::INT + (2 * k + 2 < n)::INT AS INTEGER) AS children FROM t",
+)
 _CODE_LIST = (*constants.COMPRESSIONS, 9, 34712)
 
 

@@ -29,15 +29,10 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _digits(data: Column, at: Column, size: Column) -> Column:
-    """Hexadecimal digits of some bytes; places must lie in the data."""
-    return F.hex(F.substring(data, (at + 1).cast("int"), size.cast("int")))
-
-
-def _text(digits: Column, first: int, size: int, msb: Column) -> Column:
-    """An unsigned number among digits, in decimal."""
-    little = F.concat(*[F.substring(digits, 2 * k + 1, 2) for k in reversed(range(first, first + size))])
-    return F.conv(F.when(msb, F.substring(digits, 2 * first + 1, 2 * size)).otherwise(little), 16, 10)
+def _text(data: Column, at: Column, size: Column, msb: Column) -> Column:
+    """The unsigned number of ``size`` bytes at a place of the data, in decimal."""
+    digits = F.hex(F.substring(data, (at + 1).cast("int"), size.cast("int")))
+    return _let(digits, lambda d: F.conv(F.when(msb, d).otherwise(F.reverse(F.regexp_replace(d, "(.)(.)", "$2$1"))), 16, 10))  # bytes turned round
 
 
 def _long(text: Column) -> Column:
@@ -45,24 +40,28 @@ def _long(text: Column) -> Column:
     return F.coalesce(text.try_cast("bigint"), F.lit(2**63 - 1))
 
 
+def _number(f: Column, at: Column, size: Column) -> Column:
+    return _long(_text(f["content"], at, size, f["msb"]))
+
+
 def _header(content: Column) -> Column:
-    total = F.length(content).cast("bigint")
+    bytes_at = lambda at, size: _long(_text(content, F.lit(at) if isinstance(at, int) else at, size, msb))
+    total, mark = F.length(content).cast("bigint"), F.hex(F.substring(content, 1, 2))
+    msb = mark == "4D4D"
 
-    def read(d: Column) -> Column:
-        msb = F.substring(d, 1, 4) == "4D4D"
-        magic = _long(_text(d, 2, 2, msb))
+    def read(magic: Column) -> Column:
         error = (
             F.when(total < 8, F.lit("shorter than a header"))
-            .when(~F.substring(d, 1, 4).isin("4949", "4D4D"), F.lit("no byte order mark"))
+            .when(~mark.isin("4949", "4D4D"), F.lit("no byte order mark"))
             .when(magic == 42, F.lit(None).cast("string"))
             .when(magic != 43, F.concat(F.lit("magic number "), magic.cast("string")))
             .when(total < 16, F.lit("shorter than a BigTIFF header"))
-            .when((_long(_text(d, 4, 2, msb)) != 8) | (_long(_text(d, 6, 2, msb)) != 0), F.lit("BigTIFF offset size"))
+            .when((bytes_at(4, F.lit(2)) != 8) | (bytes_at(6, F.lit(2)) != 0), F.lit("BigTIFF offset size"))
         )
-        first = F.when(magic == 43, _long(_text(d, 8, 8, msb))).otherwise(_long(_text(d, 4, 4, msb)))
-        return F.struct(content.alias("content"), total.alias("total"), msb.alias("msb"), (magic == 43).alias("big"), first.alias("first"), error.alias("error"))
+        wide = F.when(magic == 43, F.lit(8)).otherwise(F.lit(4))
+        return F.struct(content.alias("content"), total.alias("total"), msb.alias("msb"), (magic == 43).alias("big"), bytes_at(wide, wide).alias("first"), error.alias("error"))
 
-    return _let(F.hex(F.substring(content, 1, 16)), read)
+    return _let(bytes_at(2, F.lit(2)), read)
 
 
 def _sizes(f: Column) -> tuple[Column, Column, Column]:
@@ -77,12 +76,11 @@ def _frame(f: Column, at: Column) -> Column:
     def counted(n: Column) -> Column:
         room = f["total"] - at - head - slot
         cut = n > F.floor(room / step)
-        end = F.when(~cut, _let(_digits(f["content"], at + head + n * step, slot), lambda d: _long(F.when(f["big"], _text(d, 0, 8, f["msb"])).otherwise(_text(d, 0, 4, f["msb"])))))
+        end = F.when(~cut, _number(f, at + head + n * step, slot))
         return F.struct(n.alias("n"), end.alias("after"), F.when(cut, F.lit("directory is cut off")).alias("error"))
 
-    count = _let(_digits(f["content"], at, head), lambda d: _long(F.when(f["big"], _text(d, 0, 8, f["msb"])).otherwise(_text(d, 0, 2, f["msb"]))))
     outside = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("bigint").alias("after"), F.lit("directory lies outside the file").alias("error"))
-    return F.when(at > f["total"] - head, outside).otherwise(_let(count, counted))
+    return F.when(at > f["total"] - head, outside).otherwise(_let(_number(f, at, head), counted))
 
 
 def _chain(f: Column) -> Column:
@@ -113,40 +111,38 @@ def _unit(kind: Column) -> Column:
 def _entry(f: Column, at: Column) -> Column:
     """The entry at a place, with its value from wherever it lies."""
     _, step, slot = _sizes(f)
-    msb, total = f["msb"], f["total"]
+    two, total = F.lit(2), f["total"]
 
-    def read(d: Column) -> Column:
-        tag, kind = (_text(d, k, 2, msb).cast("int") for k in (0, 2))
-        count = F.when(f["big"], _text(d, 4, 8, msb)).otherwise(_text(d, 4, 4, msb))
-        unit = _unit(kind)
-        size = F.coalesce(unit * F.least(_long(count), total + 1), slot)
-        there = F.when(f["big"], _long(_text(d, 12, 8, msb))).otherwise(_long(_text(d, 8, 4, msb)))
+    def read(e: Column) -> Column:
+        size = F.coalesce(e["unit"] * F.least(_long(e["count"]), total + 1), slot)
+        own = e["unit"].isNull() | (size <= slot)
+        place = F.when(own, at + step - slot).otherwise(_number(f, at + step - slot, slot))
+        return _let(F.struct(size.alias("size"), place.alias("place")), lambda p: placed(e, p))
 
-        def placed(p: Column) -> Column:
-            outside = (unit.isNotNull()) & (p["place"] > total - p["size"])
-            data = F.when(~outside, F.substring(f["content"], (p["place"] + 1).cast("int"), p["size"].cast("int")))
-            error = F.when(outside, F.concat(F.lit("tag "), tag.cast("string"), F.lit(": value lies outside the file")))
-            return F.struct(tag.alias("tag"), kind.alias("field_type"), count.cast("decimal(20,0)").alias("count"), data.alias("data"), error.alias("error"))
+    def placed(e: Column, p: Column) -> Column:
+        outside = e["unit"].isNotNull() & (p["place"] > total - p["size"])
+        data = F.when(~outside, F.substring(f["content"], (p["place"] + 1).cast("int"), p["size"].cast("int")))
+        error = F.when(outside, F.concat(F.lit("tag "), e["tag"].cast("string"), F.lit(": value lies outside the file")))
+        return F.struct(e["tag"].alias("tag"), e["kind"].alias("field_type"), e["count"].cast("decimal(20,0)").alias("count"), data.alias("data"), error.alias("error"))
 
-        own = (unit.isNull()) | (size <= slot)
-        return _let(F.struct(size.alias("size"), F.when(own, at + step - slot).otherwise(there).alias("place")), placed)
+    def typed(k: Column) -> Column:
+        return F.struct(_number(f, at, two).cast("int").alias("tag"), k.alias("kind"), _text(f["content"], at + 4, slot, f["msb"]).alias("count"), _unit(k).alias("unit"))
 
-    return _let(_digits(f["content"], at, step), read)
+    return _let(_let(_number(f, at + 2, two).cast("int"), typed), read)
 
 
 def _values(f: Column, e: Column) -> Column:
     """All values of an entry of unsigned numbers."""
-    unit, msb = _unit(e["field_type"]), f["msb"]
 
-    def value(i: Column) -> Column:
-        number = lambda d: _long(F.when(unit == 1, _text(d, 0, 1, msb)).when(unit == 2, _text(d, 0, 2, msb)).when(unit == 4, _text(d, 0, 4, msb)).otherwise(_text(d, 0, 8, msb)))
-        return _let(_digits(e["data"], i * unit, unit), number)
+    def read(unit: Column) -> Column:
+        n = F.floor(F.length(e["data"]) / unit)
+        value = lambda i: _long(_text(e["data"], i * unit, unit, f["msb"]))
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), value)).otherwise(F.array().cast("array<bigint>"))
 
-    n = F.floor(F.length(e["data"]) / unit)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), value)).otherwise(F.array().cast("array<bigint>"))
+    return _let(_unit(e["field_type"]), read)
 
 
-def _linked(entries: Column, tag: int) -> Column:
+def _linked(entries: Column, tag: Column | int) -> Column:
     return F.get(F.filter(entries, lambda e: e["tag"] == tag), F.lit(0))
 
 
@@ -176,12 +172,13 @@ def _row(f: Column, node: Column, depth: Column) -> Column:
 def _children(f: Column, row: Column) -> Column:
     """Nodes that a directory links to, in the order of LINKS."""
     none = F.array().cast(f"array<{NODE}>")
+    links = F.array(*[F.struct(F.lit(tag).alias("tag"), F.lit(name).alias("name")) for tag, name in LINKS])
 
-    def linked(tag: int, name: str) -> Column:
-        as_node = lambda at: F.struct(at.alias("at"), row["page_index"].alias("page"), row["ifd_offset"].alias("parent"), F.lit(name).alias("link")).cast(NODE)
-        return _let(_linked(row["entries"], tag), lambda e: F.when(e["field_type"].isin(list(K.UNSIGNED)), F.transform(_values(f, e), as_node)).otherwise(none))
+    def linked(link: Column) -> Column:
+        as_node = lambda at: F.struct(at.alias("at"), row["page_index"].alias("page"), row["ifd_offset"].alias("parent"), link["name"].alias("link")).cast(NODE)
+        return _let(_linked(row["entries"], link["tag"]), lambda e: F.when(e["field_type"].isin(list(K.UNSIGNED)), F.transform(_values(f, e), as_node)).otherwise(none))
 
-    return F.when(row["error"].isNull() & (row["depth"] < DEEPEST), F.concat(*[linked(*link) for link in LINKS])).otherwise(none)
+    return F.when(row["error"].isNull() & (row["depth"] < DEEPEST), F.flatten(F.transform(links, linked))).otherwise(none)
 
 
 def _error(text: Column) -> Column:
@@ -200,15 +197,15 @@ def _tree(f: Column, chain: Column) -> Column:
         grown = lambda rows: state(F.concat(acc["rows"], rows), F.flatten(F.transform(rows, lambda r: _children(f, r))), F.array_union(acc["seen"], F.transform(rows, lambda r: r["ifd_offset"])))
         return F.when(F.size(front) == 0, acc).otherwise(_let(F.transform(new, lambda x: _row(f, x, depth)), grown))
 
-    def from_chain(first: Column) -> Column:
-        bad = F.coalesce(F.get(F.filter(first, lambda r: r["error"].isNotNull()), F.lit(0))["error"], chain["error"], F.when(F.size(first) == 0, F.lit("no directory")))
-        start = state(first, F.flatten(F.transform(first, lambda r: _children(f, r))), chain["places"])
-        rows = F.aggregate(F.sequence(F.lit(1), F.lit(DEEPEST)), start, level, lambda acc: acc["rows"])
+    def finished(rows: Column) -> Column:
+        in_chain = F.get(F.filter(rows, lambda r: r["error"].isNotNull() & (r["depth"] == 0)), F.lit(0))["error"]
+        bad = F.coalesce(in_chain, chain["error"], F.when(F.size(rows) == 0, F.lit("no directory")))
         each = lambda r: F.when(r["error"].isNotNull(), F.array(_error(r["error"]))).when(r["stop"].isNotNull(), F.array(r, _error(r["stop"]))).otherwise(F.array(r))
         cut = lambda every: _let(F.array_position(F.transform(every, lambda r: r["error"].isNotNull()), F.lit(True)).cast("int"), lambda k: F.when(k > 0, F.slice(every, F.lit(1), k)).otherwise(every))
-        return F.when(bad.isNotNull(), F.array(_error(bad))).otherwise(_let(F.flatten(F.transform(rows, each)), cut))
+        return _let(bad, lambda b: F.when(b.isNotNull(), F.array(_error(b))).otherwise(_let(F.flatten(F.transform(rows, each)), cut)))
 
-    return _let(F.transform(nodes, lambda x: _row(f, x, F.lit(0))), from_chain)
+    start = state(F.array().cast(f"array<{ROW}>"), nodes, F.array().cast("array<bigint>"))
+    return _let(F.aggregate(F.sequence(F.lit(0), F.lit(DEEPEST)), start, level, lambda acc: acc["rows"]), finished)
 
 
 def directories(content: Column) -> Column:

@@ -9,10 +9,11 @@ where a relation needs it, and metadata and directory relations don't decode pix
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -220,9 +221,14 @@ def ifds(source: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
     return _mode(source.select("path", "content").mapInArrow(_mapped(ifd_rows, IFDS), IFDS), mode)
 
 
+@lru_cache(maxsize=1)
+def _found(application: str) -> Column:  # the expression is large, so it is built once for an application
+    return in_columns.directories(F.col("content")).alias("_found")
+
+
 def directories(source: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
     """The rows of ``ifds`` by Spark expressions alone: no Python worker."""
-    found = source.select("path", in_columns.directories(F.col("content")).alias("_found"))
+    found = source.select("path", _found(source.sparkSession.sparkContext.applicationId))
     rows = found.select("path", F.col("_found.byte_order").alias("byte_order"), F.explode("_found.rows").alias("_row"))
     kept = [F.col(f"_row.{n}").alias(n) for n in ("ifd_offset", "page_index", "parent_offset", "link", "depth", "entries", "next_ifd")]
     bad = F.col("_row.error").isNotNull()

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, InputPartition, WriterCommitMessage
 
 from . import relations as R
+from .page_stream import PageStreamReader
 from .ranges import RangeBytes, listing
 
 FILES_PER_TASK = 16
@@ -136,6 +137,11 @@ class TiffSource(DataSource):
     def reader(self, schema) -> TiffReader:
         return TiffReader(dict(self.options))
 
+    def streamReader(self, schema) -> PageStreamReader:
+        if self.options.get("relation", "pages") not in ("pages", "meta"):
+            raise ValueError("a stream gives the relation pages or meta")
+        return PageStreamReader(dict(self.options))
+
     def writer(self, schema, overwrite: bool) -> TiffWriter:
         return TiffWriter(dict(self.options), overwrite)
 

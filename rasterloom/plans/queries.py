@@ -425,10 +425,11 @@ _CASES = " ".join(f"WHEN {k} THEN '{v}'" for k, v in constants.COMPRESSIONS.item
 _add("compression_names", _names, f"SELECT code, CASE code {_CASES} END AS name, count(*) AS n FROM (SELECT CAST({proofs.sql_pick(_CODE_LIST, 'l_partkey')} AS INTEGER) AS code FROM lineitem) GROUP BY 1")
 
 
-from . import blocks  # noqa: E402  its queries use those above
+from . import blocks, streams  # noqa: E402  queries of blocks use those above
 
 FOUND.update(proofs.FOUND)
 FOUND.update(blocks.found())
+FOUND.update(streams.found())
 
 
 def queries() -> dict[str, Query]:

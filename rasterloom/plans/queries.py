@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import ccitt, codecs, constants
+from ..functions import ccitt, codecs, constants, jvm
 from ..functions import samples as S
 from ..sources import relations, sink
 from . import proofs
@@ -290,12 +290,23 @@ def _text_codec(name: str):
     return each
 
 
+def _text_in_python(s: SparkSession, d: str, codec: str) -> DataFrame:
+    return _table(s, d, "documents").select("doc_id", "text").mapInArrow(_text_codec(codec), "doc_id long, packed_len long, text string").select("doc_id", F.sha2("text", 256).alias("sha"))
+
+
+def _text_lzw(s: SparkSession, d: str) -> DataFrame:
+    """Texts packed and unpacked on the JVM; by Python workers where Spark runs without a compiler."""
+    lzw = jvm.lzw(s)
+    if lzw is None:
+        return _text_in_python(s, d, "lzw")
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    return _table(s, d, "documents").select("doc_id", F.sha2(lzw.decode(lzw.encode(text), F.length(text)), 256).alias("sha"))
+
+
+_TEXT_SHA = "SELECT doc_id, sha256(coalesce(text, '')) AS sha FROM documents"
 for _n in ("packbits", "lzw", "deflate", "zstd"):
-    _add(
-        f"codec_text_{_n}",
-        lambda s, d, n=_n: _table(s, d, "documents").select("doc_id", "text").mapInArrow(_text_codec(n), "doc_id long, packed_len long, text string").select("doc_id", F.sha2("text", 256).alias("sha")),
-        "SELECT doc_id, sha256(coalesce(text, '')) AS sha FROM documents",
-    )
+    _add("codec_text_lzw_python" if _n == "lzw" else f"codec_text_{_n}", lambda s, d, n=_n: _text_in_python(s, d, n), _TEXT_SHA)
+_add("codec_text_lzw", _text_lzw, _TEXT_SHA)
 
 H = 100
 

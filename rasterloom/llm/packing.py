@@ -27,8 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..batches import bounded
 from .common import scratch, slices
 
+SLICE = 1_000_000  # bytes of text worked on at once
 SPECIAL = {"<|endoftext|>": 50256}  # added to the vocabulary by byte_bpe_50k.json; a mark inside a text is this one id
 
 
@@ -52,7 +54,7 @@ def encoder(path: str):
 def _pieces(path: str, capacity: int):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        for batch, texts in slices(batches, "_text"):
+        for batch, texts in slices(batches, "_text", SLICE):
             known: dict[bytes, list[tuple[int, int, int]]] = {}
             rows, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(texts):
@@ -174,7 +176,7 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, group_pieces: int = 8192) -> DataFrame:
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
     pieces = scratch(rows.mapInArrow(_pieces(vocabulary, capacity), PIECE), "pieces").withColumn("_row", F.monotonically_increasing_id())
     whole = pieces.where(F.col("length") == capacity).select("doc_id", "piece", "start", "length", "ids_crc32", (-F.col("_row") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = pieces.where(F.col("length") < capacity)

@@ -42,6 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..batches import bounded
 from .common import LOWER, _at, mix, scratch, signed, slices
 
 LEVELS = (3, 4, 5, 6, 7, 8)  # letters of the beginnings
@@ -394,7 +395,7 @@ def _free(name: str, taken: list[str]) -> str:
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, fold: int = 1, max_labelled: int = 65_536, broadcast_rows: int = 8_000_000) -> DataFrame:
     """All columns of ``docs``, then EVIDENCE (log odds) and SCORE."""
     names = docs.columns
-    docs = docs.toDF(*[f"_s{i}" for i in range(len(names))])
+    docs = bounded(docs).toDF(*[f"_s{i}" for i in range(len(names))])
     text = names.index(text_col)
     sample = labelled_sample(labels, label_col, id_col, folds, fold, max_labelled)
     sample = scratch(sample.select("_lid", F.col("_label").alias("_class"), F.pmod(F.xxhash64("_lid", F.lit(99)), F.lit(FOLDS)).cast("int").alias("_fold")), "labelled")

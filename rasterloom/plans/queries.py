@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..batches import bounded, parts
 from ..functions import ccitt, codecs, constants, jvm
 from ..functions import samples as S
 from ..sources import relations, sink
@@ -279,7 +280,7 @@ for _n, _bits in (("packbits", 8), ("lzw", 8), ("deflate", 8), ("zstd", 8), ("mh
 
 def _text_codec(name: str):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, "text"):
             packed, back = [], []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 p = getattr(codecs, f"{name}_encode")(text or b"")
@@ -291,7 +292,7 @@ def _text_codec(name: str):
 
 
 def _text_in_python(s: SparkSession, d: str, codec: str) -> DataFrame:
-    return _table(s, d, "documents").select("doc_id", "text").mapInArrow(_text_codec(codec), "doc_id long, packed_len long, text string").select("doc_id", F.sha2("text", 256).alias("sha"))
+    return bounded(_table(s, d, "documents")).select("doc_id", "text").mapInArrow(_text_codec(codec), "doc_id long, packed_len long, text string").select("doc_id", F.sha2("text", 256).alias("sha"))
 
 
 def _text_lzw(s: SparkSession, d: str) -> DataFrame:

@@ -39,3 +39,14 @@ def test_parts_lose_nothing():
     cut = list(parts(iter([batch, batch.slice(0, 0)]), "text", 10, 4))
     assert [x for p in cut for x in p.column("text").to_pylist()] == texts[1:]
     assert all(len(p) <= 4 and (len(p) == 1 or sum(len(t or "") for t in p.column("text").to_pylist()) <= 10) for p in cut)
+
+
+def test_text_codecs_work_on_parts(spark):
+    from rasterloom.plans.queries import _text_codec
+
+    texts = [None, "", "héllo " * 9, *["word " * 400] * 1500]
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+    for codec in ("zstd", "packbits", "deflate"):
+        out = list(_text_codec(codec)(iter([batch])))
+        assert len(out) > 2 and max(sum(len(t) for t in b.column("text").to_pylist()) for b in out) <= 1_000_000
+        assert [t for b in out for t in b.column("text").to_pylist()] == [t or "" for t in texts]

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..batches import bounded
 from ..functions import constants as K
 from ..functions import rules
 from ..operators import container
@@ -301,16 +302,28 @@ def _rows_of_events(s: SparkSession, d: str) -> DataFrame:
     return rows.select("y", F.transform("cells", lambda c: c["value"]).alias("values"))
 
 
-def _by_hand(make):
-    """One file for each row of the raster, decoded by the reader: rows (y, x, c, v)."""
+FILES_AT_ONCE = 256
+
+
+def hand_files(make):
+    """Rows (y, values) as files (path, content), some at once."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            files = [make(np.asarray(v, float)) for v in batch.column("values").to_pylist()]
-            yield pa.record_batch([batch.column("y").cast(pa.string()), pa.array(files, pa.binary())], ["path", "content"])
+            for at in range(0, len(batch), FILES_AT_ONCE):
+                part = batch.slice(at, FILES_AT_ONCE)
+                files = [make(v.values.to_numpy(zero_copy_only=False).astype(float)) for v in part.column("values")]
+                yield pa.record_batch([part.column("y").cast(pa.string()), pa.array(files, pa.binary())], ["path", "content"])
+        pa.default_memory_pool().release_unused()
+
+    return each
+
+
+def _by_hand(make):
+    """One file for each row of the raster, decoded by the reader: rows (y, x, c, v)."""
 
     def query(s: SparkSession, d: str) -> DataFrame:
-        source = _rows_of_events(s, d).mapInArrow(each, "path string, content binary")
+        source = bounded(_rows_of_events(s, d)).mapInArrow(hand_files(make), "path string, content binary")
         return relations.samples(relations.pages(source, mode="FAILFAST")).select(F.col("path").cast("int").alias("y"), "x", "c", "v")
 
     return query

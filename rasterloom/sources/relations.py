@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..batches import bounded, parts
 from ..functions import constants as K
 from ..functions import directories as in_columns
 from ..functions import rules
@@ -188,11 +189,14 @@ def arrow_rows(rows: Iterator[dict], ddl: str, at_once: int = 64) -> Iterator[pa
         yield from pa.Table.from_pylist(some, schema).to_batches()
 
 
+ROWS_AT_ONCE = 16  # rows of small files that are one batch; an image each at most
+
+
 def _mapped(rows_of, ddl: str):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                yield from arrow_rows(iter(rows_of(path, content or b"")), ddl)
+        for batch in parts(batches, "content"):
+            files = zip(batch.column("path").to_pylist(), batch.column("content").to_pylist())
+            yield from arrow_rows((row for path, content in files for row in rows_of(path, content or b"")), ddl, ROWS_AT_ONCE)
 
     return each
 
@@ -209,16 +213,16 @@ def _mode(df: DataFrame, mode: str) -> DataFrame:
 
 def pages(source: DataFrame, which: str = "all", mode: str = "PERMISSIVE", ifd_offset: int | None = None) -> DataFrame:
     """Decoded pages of (path, content).  which: all or first; ifd_offset decodes the directory there."""
-    return _mode(source.select("path", "content").mapInArrow(_mapped(lambda p, c: page_rows(p, c, which, ifd_offset), PAGES), PAGES), mode)
+    return _mode(bounded(source).select("path", "content").mapInArrow(_mapped(lambda p, c: page_rows(p, c, which, ifd_offset), PAGES), PAGES), mode)
 
 
 def page_metadata(source: DataFrame, which: str = "all", mode: str = "PERMISSIVE") -> DataFrame:
     """Metadata and structure; pixels aren't decoded."""
-    return _mode(source.select("path", "content").mapInArrow(_mapped(lambda p, c: page_rows(p, c, which, pixels=False), META), META), mode)
+    return _mode(bounded(source).select("path", "content").mapInArrow(_mapped(lambda p, c: page_rows(p, c, which, pixels=False), META), META), mode)
 
 
 def ifds(source: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
-    return _mode(source.select("path", "content").mapInArrow(_mapped(ifd_rows, IFDS), IFDS), mode)
+    return _mode(bounded(source).select("path", "content").mapInArrow(_mapped(ifd_rows, IFDS), IFDS), mode)
 
 
 @lru_cache(maxsize=1)
@@ -248,12 +252,12 @@ def layout_status(directories: DataFrame) -> DataFrame:
 
 def segments(source: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
     """Strips and tiles, still compressed: for very large images these can be dealt out before decoding."""
-    return _mode(source.select("path", "content").mapInArrow(_mapped(segment_rows, SEGMENTS), SEGMENTS), mode)
+    return _mode(bounded(source).select("path", "content").mapInArrow(_mapped(segment_rows, SEGMENTS), SEGMENTS), mode)
 
 
 def plan(source: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
     """Blocks (strips, tiles) of the pages of (path, content), each with its own bytes: what ``tiles`` decodes."""
-    return _mode(source.select("path", "content").mapInArrow(_mapped(plan_rows, PLAN), PLAN), mode)
+    return _mode(bounded(source).select("path", "content").mapInArrow(_mapped(plan_rows, PLAN), PLAN), mode)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], use) -> Iterator[list[dict]]:
@@ -355,7 +359,8 @@ def samples(pages_df: DataFrame) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, page, image in zip(*(batch.column(n).to_pylist() for n in ("path", "page_index", "image"))):
+            for at in range(len(batch)):  # an image at a time: pages of a batch needn't be small
+                path, page, image = (batch.column(n)[at].as_py() for n in ("path", "page_index", "image"))
                 if image is not None:
                     yield from _sample_rows(path, page, image["pixel_format"], image["width"], image["height"], image["data"])
 

@@ -50,3 +50,17 @@ def test_text_codecs_work_on_parts(spark):
         out = list(_text_codec(codec)(iter([batch])))
         assert len(out) > 2 and max(sum(len(t) for t in b.column("text").to_pylist()) for b in out) <= 1_000_000
         assert [t for b in out for t in b.column("text").to_pylist()] == [t or "" for t in texts]
+
+
+def test_files_by_hand_come_in_small_batches(spark, tmp_path):
+    """Files made of rows of events, and their pages, go from worker to worker in batches of bounded rows."""
+    from rasterloom.plans import proofs
+    from rasterloom.sources import relations
+
+    cells = pa.record_batch([pa.array(range(1000), pa.int32()), pa.array([[float(k % 2)] * 100 for k in range(1000)])], ["y", "values"])
+    made = proofs.hand_files(proofs._bilevel(2))
+    out = list(made(iter([cells])))
+    assert [len(b) for b in out] == [256, 256, 256, 232]
+    pages = relations._mapped(lambda p, c: relations.page_rows(p, c, "all"), relations.PAGES)
+    got = list(pages(iter(out)))
+    assert max(len(b) for b in got) == relations.ROWS_AT_ONCE and [p for b in got for p in b.column("path").to_pylist()] == [str(k) for k in range(1000)]

@@ -32,6 +32,7 @@ get underscores where their names are taken.  An empty table gives an empty resu
 
 from __future__ import annotations
 
+import functools
 import gc
 import warnings
 from collections.abc import Iterator
@@ -224,41 +225,61 @@ def _constant(values: list[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
-def _quotients(rows: DataFrame, total: float | None, ones: bool) -> DataFrame:
+def _discounted(n: Column, ones: bool) -> Column:
+    rest = F.greatest(n - F.lit(DISCOUNT), F.lit(0.0))
+    return F.when(n <= 1, F.lit(0.0)).otherwise(rest) if ones else rest
+
+
+_PLACES = range(2 * len(_VARIANTS))
+
+
+def _sums(ones: bool) -> list[Column]:
+    """Sums over rows with class counts _n and shared counts _all; what ``_quotients`` needs of them."""
+    return [F.sum("_all").alias("_all"), *[F.sum(F.col("_n")[i]).alias(f"n{i}") for i in _PLACES], *[F.sum(_discounted(F.col("_n")[i], ones)).alias(f"k{i}") for i in _PLACES]]
+
+
+def _quotients(rows: DataFrame, sums: dict, total: float | None, ones: bool) -> DataFrame:
     """_key and _q, the class quotients of rows with class counts _n, shared counts _all and the quotients _b that they back off to.
 
-    Arrays have a place for each class and variant.  total: sum of all shared counts, those of expressions outside
-    the rows included.  ones: counts of one are discounted wholly (continuation counts).
+    Arrays have a place for each class and variant.  sums: ``_sums`` of the rows.  total: sum of all shared counts, those of
+    expressions outside the rows included.  ones: counts of one are discounted wholly (continuation counts).
     """
     trust = TRUST_STEM if ones else TRUST_WORD
-
-    def kept(n: Column) -> Column:
-        rest = F.greatest(n - F.lit(DISCOUNT), F.lit(0.0))
-        return F.when(n <= 1, F.lit(0.0)).otherwise(rest) if ones else rest
-
-    places = range(2 * len(_VARIANTS))
-    sums = rows.agg(F.sum("_all").alias("_all"), *[F.sum(F.col("_n")[i]).alias(f"n{i}") for i in places], *[F.sum(kept(F.col("_n")[i])).alias(f"k{i}") for i in places]).first()
-    n = _constant([sums[f"n{i}"] or 0 for i in places])
-    freed = _constant([(sums[f"n{i}"] or 0) - (sums[f"k{i}"] or 0) for i in places])
+    n = _constant([sums[f"n{i}"] or 0 for i in _PLACES])
+    freed = _constant([(sums[f"n{i}"] or 0) - (sums[f"k{i}"] or 0) for i in _PLACES])
     inside = _constant([sums["_all"] or 1, max(total or sums["_all"] or 1, 1.0)])
     part, expected = F.col("_all") / inside[0], F.col("_all") / inside[1]
-    up = F.zip_with(F.zip_with("_n", freed, lambda v, f: kept(v) + f * part), "_b", lambda v, b: v + b * trust)
+    up = F.zip_with(F.zip_with("_n", freed, lambda v, f: _discounted(v, ones) + f * part), "_b", lambda v, b: v + b * trust)
     return rows.select("_key", F.zip_with(up, n, lambda v, c: v / (c * expected + trust)).alias("_q"))
 
 
+def _beginnings(words: DataFrame, counts: list[Column]) -> DataFrame:
+    """_level, _key, _parent (0: none), _all and _n of all beginnings of all levels, counted in one exchange."""
+    flags = [(n > 0).cast("long").alias(f"_n{i}") for i, n in enumerate(counts)]
+    own = [F.struct(F.lit(i).alias("_level"), F.col(stem).alias("_key"), (F.col(_STEMS[i - 1]) if i else F.lit(0)).cast("long").alias("_parent")) for i, stem in enumerate(_STEMS)]
+    each = words.select(*flags, F.explode(F.array(*own)).alias("_s")).where("_s._key != 0").select("_s.*", *[f"_n{i}" for i in _PLACES])
+    found = each.groupBy("_level", "_key").agg(F.first("_parent").alias("_parent"), F.count(F.lit(1)).alias("_all"), *[F.sum(f"_n{i}").alias(f"_n{i}") for i in _PLACES])
+    return found.select("_level", "_key", "_parent", "_all", F.array(*[f"_n{i}" for i in _PLACES]).alias("_n"))
+
+
 def log_ratios(words: DataFrame, shared: DataFrame) -> DataFrame:
-    """_key and log p(toxic) - log p(ordinary) of words and beginnings, by all folds (_r) and without fold f (_r0, ...)."""
+    """_key and log p(toxic) - log p(ordinary) of words and beginnings, by all folds (_r) and without fold f (_r0, ...).
+
+    Beginnings of all levels are counted and summed up at once; only their quotients follow level by level, each by one join with the level
+    before it (a beginning backs off to none but that), so that the driver's plans stay small.
+    """
     total = float(shared.where("_key IS NULL").agg(F.sum("_all")).first()[0] or 0)
     counts = [_class_count(c, out) for out in _VARIANTS.values() for c in "to"]
-    done: DataFrame | None = None
-    for i, stem in enumerate(_STEMS):  # from the shortest beginning to the longest
-        parent = F.first(_STEMS[i - 1]) if i else F.lit(0)
-        types = F.array(*[F.sum((n > 0).cast("long")) for n in counts])
-        rows = words.where(F.col(stem) != 0).groupBy(F.col(stem).alias("_key")).agg(parent.cast("long").alias("_parent"), F.count(F.lit(1)).alias("_all"), types.alias("_n"))
-        level = scratch(_quotients(_backed(rows, done), None, True), f"stems-{i}")
-        done = level if done is None else done.unionByName(level)
-    rows = words.select("_key", F.coalesce(*[F.nullif(F.col(s), F.lit(0)) for s in reversed(_STEMS)], F.lit(0)).alias("_parent"), F.array(*counts).alias("_n"))
-    every = _quotients(_backed(rows.join(shared, "_key"), done), total, False).unionByName(done)
+    stems = scratch(_beginnings(words, counts), "stems")
+    sums = {r["_level"]: r.asDict() for r in stems.groupBy("_level").agg(*_sums(True)).collect()}  # a row for each of LEVELS
+    levels: list[DataFrame] = []
+    for i in sorted(sums):
+        rows = stems.where(F.col("_level") == i)
+        levels.append(scratch(_quotients(_backed(rows, levels[-1] if levels else None), sums[i], None, True), f"stems-{i}"))
+    done = functools.reduce(DataFrame.unionByName, levels) if levels else None
+    rows = words.select("_key", F.coalesce(*[F.nullif(F.col(s), F.lit(0)) for s in reversed(_STEMS)], F.lit(0)).alias("_parent"), F.array(*counts).alias("_n")).join(shared, "_key")
+    every = _quotients(_backed(rows, done), rows.agg(*_sums(False)).first().asDict(), total, False)
+    every = every.unionByName(done) if levels else every
     return every.select("_key", *[(F.log(F.col("_q")[2 * i]) - F.log(F.col("_q")[2 * i + 1])).cast("float").alias(f"_r{v}") for i, v in enumerate(_VARIANTS)])
 
 
@@ -416,14 +437,13 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     table = log_ratios(words, shared) if fits else words.select("_key", *[F.lit(0.0).cast("float").alias(r) for r in _RATIOS])
     table = scratch(table, "log-ratios")
     if size <= broadcast_rows:
-        chosen.unpersist()
+        chosen.destroy()  # on the driver too
     if table.count() <= broadcast_rows:
         more = [T.StructField(_MEAN, T.DoubleType())]
         without = _model(table, _RATIOS[1:])
         seen = known.mapInArrow(_score(without, 3, 2), T.StructType([*known.schema.fields, *more])).groupBy("_lid").agg(F.first("_class").alias("_class"), F.max(_MEAN).alias(_MEAN))
         mean, kind = _arrays(seen.select(_MEAN, "_class"), ["f8", "f8"])  # max_labelled rows at most
-        without.unpersist()
-        del without
+        without.destroy()
         scored = docs.mapInArrow(_score(_model(table, _RATIOS[:1]), text), T.StructType([*docs.schema.fields, *more]))
     else:
         seen = _joined(known, table, F.element_at(F.array(*[F.col(r) for r in _RATIOS[1:]]), F.col("_fold") + 1), ("_fold",))

@@ -6,8 +6,9 @@ and a stream offset is a number of extents.  Offsets only grow, a batch repeated
 query that restarts goes on in the middle of a file.  Files are recognised by path, whatever their times or the order in
 which they appear; as in Spark's file sources, a file is complete when its name appears and doesn't change.
 
-The driver lists names and reads directories by ranges, of no more files than a batch has pages; tasks jump to their own directories
-and decode no other page.  A file that can't be parsed is one row with its error.  The log folder belongs to one query, as its checkpoint does.
+The driver lists names when the files of its last list are used up, so not once a batch, and reads directories by ranges, of no more
+files than a batch has pages; tasks jump to their own directories and decode no other page.  A task has up to ``pages_per_task`` pages, of several
+files if these are small.  A file that can't be parsed is one row with its error.  The log folder belongs to one query, as its checkpoint does.
 """
 
 from __future__ import annotations
@@ -15,8 +16,9 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from collections import deque
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql.datasource import DataSourceStreamReader, InputPartition
@@ -33,10 +35,11 @@ PAGES_PER_TASK = 16
 
 @dataclass
 class Share(InputPartition):
-    """Some pages of a file: (page_index, place of its directory); a place of None stands for a file that can't be parsed."""
+    """Some pages of a file: (page_index, place of its directory); a place of None stands for a file that can't be parsed.  ``more``: shares that the same task reads."""
 
     path: str
     pages: list[tuple[int, int | None]]
+    more: list[Share] = field(default_factory=list)
 
 
 class Extents:
@@ -87,6 +90,7 @@ class PageStreamReader(DataSourceStreamReader):
         if self.per_batch < 1 or self.per_task < 1:
             raise ValueError("pages_per_batch and pages_per_task must be 1 or more")
         self._extents: Extents | None = None
+        self._waiting: deque[str] = deque()  # files of the last list that no extent has
 
     def _load(self) -> None:
         self._extents = Extents(self.options["log"])
@@ -103,18 +107,21 @@ class PageStreamReader(DataSourceStreamReader):
         """One more extent of up to ``pages_per_batch`` pages, if there are pages that no extent has."""
         if self._extents is None:
             self._load()
-        shares, left, still = [], self.per_batch, self._open
-        waiting = ([(still[0], still[1])] if still else []) + [(p, 0) for p in listing(self.options["path"], EXTENSIONS) if p not in self._seen]
-        still = None
-        for path, first in waiting:
-            if left == 0:
+        shares, left, still, listed = [], self.per_batch, self._open, False
+        while left:
+            if not still and not self._waiting and not listed:
+                own, listed = {path for path, _ in shares}, True
+                self._waiting.extend(p for p in listing(self.options["path"], EXTENSIONS) if p not in self._seen and p not in own)
+            if not still and not self._waiting:
                 break
+            path, first = still or (self._waiting[0], 0)
             places = list(enumerate(directory_places(path)))[first:]
+            if not still:
+                self._waiting.popleft()
             taken, rest = places[:left], places[left:]
             left -= len(taken)
             shares += [(path, taken[a : a + self.per_task]) for a in range(0, len(taken), self.per_task)]
-            if rest:
-                still = (path, rest[0][0])
+            still = (path, rest[0][0]) if rest else None
         if shares:
             self._extents.write(self._count, {"shares": shares, "open": still})
             self._count, self._open = self._count + 1, still
@@ -123,20 +130,33 @@ class PageStreamReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[Share]:
         log = self._extents or Extents(self.options["log"])
-        return [Share(path, [tuple(p) for p in pages]) for k in range(start["extents"], end["extents"]) for path, pages in log.read(k)["shares"]]
+        tasks: list[Share] = []
+        for k in range(start["extents"], end["extents"]):
+            room = 0
+            for path, pages in log.read(k)["shares"]:
+                pages = [tuple(p) for p in pages]
+                if 0 < room:
+                    tasks[-1].more.append(Share(path, pages[:room]))
+                    pages, room = pages[room:], max(room - len(pages), 0)
+                if pages:
+                    tasks.append(Share(path, pages))
+                    room = self.per_task - len(pages)
+        return tasks
 
     def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
         pixels = self.options.get("relation", "pages") == "pages"
         mode = self.options.get("mode", "PERMISSIVE").upper()
 
         def rows() -> Iterator[dict]:
-            with RangeBytes(partition.path) as content:
-                for k, at in partition.pages:
-                    for row in R.page_rows(partition.path, content, "all", at, pixels):
-                        yield row | {"page_index": k}
+            for share in (partition, *partition.more):
+                with RangeBytes(share.path) as content:
+                    for k, at in share.pages:
+                        for row in R.page_rows(share.path, content, "all", at, pixels):
+                            yield row | {"page_index": k}
 
         for out in R.arrow_rows(rows(), R.PAGES if pixels else R.META):
             bad = [s != "ok" for s in out.column("_status").to_pylist()]
             if any(bad) and mode == "FAILFAST":
-                raise ValueError(f"{partition.path}: {out.column('_error').to_pylist()[bad.index(True)]}")
+                first = bad.index(True)
+                raise ValueError(f"{out.column('path')[first].as_py()}: {out.column('_error')[first].as_py()}")
             yield out.filter(pa.array([not b for b in bad])) if mode == "DROPMALFORMED" else out

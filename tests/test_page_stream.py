@@ -87,3 +87,24 @@ def test_an_empty_folder_waits(spark, tmp_path):
     put(tmp_path / "in", "a.tif", 2)
     run(spark, tmp_path)
     assert sorted(result(spark, tmp_path)) == [("a.tif", 0), ("a.tif", 1)]
+
+
+def test_small_files_share_tasks_and_one_list_of_names(tmp_path, monkeypatch):
+    """A task is filled with pages of several files; names are listed when the files of the last list are used up, not once a batch."""
+    from rasterloom.sources import page_stream
+
+    os.makedirs(tmp_path / "in")
+    for k in range(30):
+        put(tmp_path / "in", f"f{k:02d}.tif", 1 + k % 5, k)
+    lists, listing = [], page_stream.listing
+    monkeypatch.setattr(page_stream, "listing", lambda *a: lists.append(a) or listing(*a))
+    reader = PageStreamReader({"path": str(tmp_path / "in"), "log": str(tmp_path / "log"), "pages_per_batch": "40"})
+    assert reader.latestOffset() == {"extents": 1} and reader.latestOffset() == {"extents": 2} and len(lists) == 1
+    put(tmp_path / "in", "a.tif", 3, 99)  # comes when the others are used up
+    assert reader.latestOffset() == {"extents": 3} == reader.latestOffset()
+    got = []
+    for k, tasks in ((0, 3), (1, 3), (2, 1)):
+        shares = reader.partitions({"extents": k}, {"extents": k + 1})
+        assert len(shares) == tasks and all(len(s.pages) + sum(len(m.pages) for m in s.more) <= 16 for s in shares)
+        got += [(os.path.basename(r["path"]), r["page_index"], r["image"]["data"][0]) for s in shares for b in reader.read(s) for r in b.to_pylist()]
+    assert got == [(f"f{k:02d}.tif", i, k + i) for k in range(30) for i in range(1 + k % 5)] + [("a.tif", i, 99 + i) for i in range(3)]
